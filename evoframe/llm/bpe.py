@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,22 +15,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.llm.common import checkpointed
+from evoframe.llm.common import blob, unblob
 from evoframe.llm.packing import load_ranks, word_encoder
 from evoframe.llm.pretokens import Words, gather
 
 #: Characters of text split at once, words of a block (then the next block begins), documents in one blob.
 BLOCK, BLOCK_WORDS, BLOB_DOCS = 1 << 21, 600_000, 512
 STEPS = pa.schema(
-    [("block", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("payload", pa.binary())]
+    [("block", pa.int64()), ("bucket", pa.int32()), ("print", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("payload", pa.binary())]
 )
-STEPS_SQL = "block long, bucket int, doc_ids array<long>, counts array<int>, payload binary"
+STEPS_SQL = "block long, bucket int, print long, doc_ids array<long>, counts array<int>, payload binary"
 
 
 def _planes(codes: np.ndarray) -> bytes:
     """Little numbers by byte planes: frequent words have small numbers, so the upper planes are nearly empty."""
     raw = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(raw.T).tobytes())
 
 
 def _unplanes(blob: bytes) -> np.ndarray:
@@ -39,7 +40,7 @@ def _unplanes(blob: bytes) -> np.ndarray:
 
 def _pack_words(words: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, words), "<u4", len(words))
-    return zstandard.ZstdCompressor(level=1).compress(len(words).to_bytes(8, "little") + sizes.tobytes() + b"".join(words))
+    return zstandard.ZstdCompressor(level=3).compress(len(words).to_bytes(8, "little") + sizes.tobytes() + b"".join(words))
 
 
 def _unpack_words(blob: bytes) -> list[bytes]:
@@ -67,10 +68,11 @@ class _Block:
         self.counts.append(counts)
         self.doc_ids += doc_ids
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        """Words dealt to buckets (by a hash of their bytes), then the positions, in which word numbers go by bucket, then frequency."""
-        import zlib
+    def rows(self, part: str) -> Iterator[pa.RecordBatch]:
+        """words: the words dealt to buckets by a hash of their bytes; documents: word numbers, which go by frequency, at all positions.
 
+        Both carry a print of the block, so that rows of unlike evaluations of a table never meet unseen.
+        """
         codes, counts = np.concatenate(self.codes), np.concatenate(self.counts)
         words = [w.encode() for w in self.words.words]
         n = len(words)
@@ -79,25 +81,30 @@ class _Block:
         by_use = np.argsort(-often, kind="stable")
         place = np.empty(n, np.uint32)
         place[by_use] = np.arange(n, dtype=np.uint32)
+        own_print = zlib.crc32(codes, zlib.crc32(bucket))
+        if part == "documents":
+            ranked, ends = place[codes], np.append(0, np.cumsum(counts))
+            for i in range(0, len(counts), BLOB_DOCS):
+                j = min(len(counts), i + BLOB_DOCS)
+                yield self._row(-1, own_print, self.doc_ids[i:j], counts[i:j].tolist(), _planes(ranked[ends[i] : ends[j]]))
+            return
         order = by_use[np.argsort(bucket[by_use], kind="stable")]
         edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for b in np.unique(bucket).tolist():
             mine = order[edges[b] : edges[b + 1]]
-            yield self._row(b, [], place[mine].tolist(), _pack_words([words[i] for i in mine.tolist()]))
-        ranked, ends = place[codes], np.append(0, np.cumsum(counts))
-        for i in range(0, len(counts), BLOB_DOCS):
-            j = min(len(counts), i + BLOB_DOCS)
-            yield self._row(-1, self.doc_ids[i:j], counts[i:j].tolist(), _planes(ranked[ends[i] : ends[j]]))
+            yield self._row(b, own_print, [], place[mine].tolist(), _pack_words([words[i] for i in mine.tolist()]))
 
-    def _row(self, bucket: int, doc_ids: list, counts: list, payload: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"block": self.block, "bucket": bucket, "doc_ids": doc_ids, "counts": counts, "payload": payload}], STEPS)
+    def _row(self, bucket: int, own_print: int, doc_ids: list, counts: list, payload: bytes) -> pa.RecordBatch:
+        row = {"block": self.block, "bucket": bucket, "print": own_print, "doc_ids": doc_ids, "counts": counts, "payload": payload}
+        return pa.RecordBatch.from_pylist([row], STEPS)
 
 
-def positions(docs: DataFrame, buckets: int) -> DataFrame:
+def positions(docs: DataFrame, buckets: int, part: str) -> DataFrame:
     """The pre-tokens of all documents with their positions, pre-aggregated in each task.
 
-    Rows with bucket >= 0 hold distinct words of a block (payload) and their numbers (counts); rows with bucket -1
-    hold documents: how many pre-tokens each has, and the word number at every position.
+    part "words": distinct words of a block (payload) and their numbers (counts); part "documents": how many
+    pre-tokens each document has, and the word number at every position. Each part splits the texts anew: that costs
+    less than to keep the positions on disk until the words are encoded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +119,12 @@ def positions(docs: DataFrame, buckets: int) -> DataFrame:
                         block.add(doc_ids[i:j], texts[i:j])
                     i, size = j, 0
                     if len(block.words.words) > BLOCK_WORDS:
-                        yield from block.rows()
+                        yield from block.rows(part)
                         number += 1
                         block = _Block(number, buckets)
                 size += len(texts[j]) if j < len(texts) else 0
         if block.doc_ids:
-            yield from block.rows()
+            yield from block.rows(part)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, STEPS_SQL)
 
@@ -135,18 +142,11 @@ def encode_words(steps: DataFrame, ranks_path: str) -> DataFrame:
                     x = seen[w] = word(w.decode())
                 ids += x
                 sizes.append(len(x))
-            payload = len(sizes).to_bytes(8, "little") + np.array(sizes, "<u2" if max(sizes) < 65536 else "<u4").tobytes() + np.array(ids, "<u4").tobytes()
-            head = b"\x02" if max(sizes) < 65536 else b"\x04"
-            out.append({"block": t["block"][r].as_py(), "bucket": t["bucket"][r].as_py(), "doc_ids": [], "counts": t["counts"][r].as_py(), "payload": zstandard.ZstdCompressor(level=1).compress(head + payload)})
+            payload = blob(np.array(sizes, "<u4"), np.array(ids, "<u4"))
+            out.append({"block": t["block"][r].as_py(), "bucket": t["bucket"][r].as_py(), "print": t["print"][r].as_py(), "doc_ids": [], "counts": t["counts"][r].as_py(), "payload": payload})
         return pa.Table.from_pylist(out, STEPS)
 
-    return steps.where("bucket >= 0").groupBy("bucket").applyInArrow(run, STEPS_SQL)
-
-
-def _unpack_ids(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, width = int.from_bytes(raw[1:9], "little"), raw[0]
-    return np.frombuffer(raw, f"<u{width}", n, 9).astype(np.int64), np.frombuffer(raw, "<u4", -1, 9 + width * n)
+    return steps.groupBy("bucket").applyInArrow(run, STEPS_SQL)
 
 
 def token_bytes(ranks_path: str) -> list[bytes]:
@@ -167,13 +167,15 @@ def encode_decode(docs: DataFrame, ranks: str | None = None, buckets: int | None
     """
     ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     buckets = buckets or min(8192, max(8, docs.rdd.getNumPartitions()))
-    steps = checkpointed(positions(docs, buckets))
-    words = encode_words(steps, ranks)
+    words = encode_words(positions(docs, buckets, "words"), ranks)
 
     def together(docs_of: pa.Table, words_of: pa.Table) -> pa.Table:
         table, sizes_by, at, parts, total = token_bytes(ranks), [], [], [], 0
+        if len({*docs_of["print"].to_pylist(), *words_of["print"].to_pylist()}) > 1:
+            raise RuntimeError("the documents came in another order when they were read again; checkpoint them first")
         for r in range(words_of.num_rows):
-            sizes, ids = _unpack_ids(words_of["payload"][r].as_py())
+            sizes, ids = unblob(words_of["payload"][r].as_py())
+            sizes = sizes.astype(np.int64)
             at.append(words_of["counts"].chunk(0)[r].values.to_numpy() if words_of["counts"].num_chunks == 1 else np.array(words_of["counts"][r].as_py()))
             sizes_by.append(sizes)
             parts.append(ids)
@@ -213,7 +215,7 @@ def encode_decode(docs: DataFrame, ranks: str | None = None, buckets: int | None
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=named)
 
     return (
-        steps.where("bucket < 0").groupBy("block").cogroup(words.groupBy("block"))
+        positions(docs, buckets, "documents").groupBy("block").cogroup(words.groupBy("block"))
         .applyInArrow(together, DIGEST_SQL if digests else ENCODED_SQL)
     )
 
