@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,3 +120,37 @@ class Forest:
         if x != y:
             self.up[max(x, y)] = min(x, y)
         return x != y
+
+
+_KINDS = [np.dtype(k) for k in ("u1", "<u4", "<u8", "<i4", "<i8", "<f8", "<u2")]
+
+
+def blob(*arrays: np.ndarray) -> bytes:
+    """Number columns in one compressed string, byte plane by byte plane: a shuffle's rows of one task for one target."""
+    parts = [len(arrays).to_bytes(1, "little")]
+    for a in arrays:
+        parts.append(bytes([_KINDS.index(a.dtype)]) + len(a).to_bytes(8, "little"))
+    for a in arrays:
+        parts.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"")
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unblob(raw: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    at, out = 1 + 9 * raw[0], []
+    for i in range(raw[0]):
+        kind, n = _KINDS[raw[1 + 9 * i]], int.from_bytes(raw[2 + 9 * i : 10 + 9 * i], "little")
+        size = n * kind.itemsize
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n) if n else np.zeros((kind.itemsize, 0), np.uint8)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size
+    return out
+
+
+def dealt(target: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The rows of each target, in their order."""
+    order = np.argsort(target, kind="stable")
+    target = target[order]
+    edges = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.zeros(0, np.int64)
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(target)], strict=True):
+        yield int(target[a]), [x[order[a:b]] for x in arrays]
