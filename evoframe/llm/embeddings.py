@@ -100,8 +100,11 @@ def cells(classes: DataFrame, n: int, cosine: float) -> DataFrame:
 FOUND_SQL = "cid long, links long, other long"
 
 
-def _links(cell: int, left: pd.DataFrame, right: pd.DataFrame | None, n: int, cosine: float) -> Iterator[tuple[int, int, int | None]]:
-    """Links found in a cell (or between two blocks of it), each counted only in the first cell that both vectors share."""
+def _links(cell: int, left: pd.DataFrame, right: pd.DataFrame | None, n: int, cosine: float) -> Iterator[tuple[int, int, int]]:
+    """What a cell (or two blocks of it) shows: (cid, links, 0) and, with 0 links, edges (cid, 0, other) of a spanning forest.
+
+    A link is counted only in the first cell that both vectors share.
+    """
     sides = [left] if right is None else [left, right]
     ids = [s["cid"].to_numpy() for s in sides]
     x = [np.stack(s["embedding"]).astype(np.float64) for s in sides]
@@ -131,7 +134,7 @@ def _links(cell: int, left: pd.DataFrame, right: pd.DataFrame | None, n: int, co
         if forest.join(i, j):
             yield int(every[i]), 0, int(every[j])
     for i in np.flatnonzero(total).tolist():
-        yield int(every[i]), int(total[i]), None
+        yield int(every[i]), int(total[i]), 0
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -169,12 +172,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         else:
             left, right = pdf[pdf["s"] == s1], pdf[pdf["s"] == s2]
             found = _links(int(cell), left, right, n, cosine) if len(left) and len(right) else ()
-        out = pd.DataFrame(list(found), columns=["cid", "links", "other"])
-        return out.astype({"cid": "int64", "links": "int64", "other": "Int64"})
+        out = np.array(list(found), np.int64).reshape(-1, 3)
+        return pd.DataFrame(out, columns=["cid", "links", "other"])
 
     found = checkpointed(dealt.groupBy("label", "cell", "width", "s1", "s2").applyInPandas(one, FOUND_SQL))
-    links = found.where("other is null").groupBy("cid").agg(F.sum("links").alias("links"))
-    parts = components(found.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
+    links = found.where("links > 0").groupBy("cid").agg(F.sum("links").alias("links"))
+    parts = components(found.where("links = 0").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     out = (
         rows.select("vec_id", "cid").join(classes.select("cid", "m"), "cid", "left").join(links, "cid", "left")
         .join(parts.withColumnRenamed("id", "cid"), "cid", "left")
