@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evoframe.llm import bpe, embeddings, language, packing, passages, quality, search, urls
+from evoframe.llm import bpe, embeddings, language, ngrams, packing, passages, quality, search, urls
 from evoframe.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
 
+def op6_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.link(table(spark, sf_dir, "documents"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
