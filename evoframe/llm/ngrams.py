@@ -328,6 +328,19 @@ def _pressed(own: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "row long, text binary")
 
 
+#: Stands for a null doc_id, which Arrow's numbers don't have.
+NO_ID = -(1 << 63)
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with the component of their set, rows without words)."""
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_key"), "text")
+    sets, parts = classes(keyed)
+    sets = sets.withColumn("doc_id", F.when(F.col("doc_key") != NO_ID, F.col("doc_key")))
+    linked = sets.where("n_shingles > 0").join(parts.withColumnRenamed("id", "cls"), "cls", "left").withColumn("part", F.coalesce("component_id", "cls"))
+    return linked, sets.where("n_shingles = 0")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
@@ -335,13 +348,18 @@ def link(docs: DataFrame) -> DataFrame:
     is null where its doc_id is. Rows of a null doc_id lend no id to a component; rows of equal id stay rows of their own; an empty table
     gives no rows; further columns are ignored.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_key"), "text")
-    none = F.lit(-(1 << 63))  # stands for a null doc_id, which Arrow's numbers don't have
-    sets, parts = classes(keyed.withColumn("doc_key", F.coalesce("doc_key", none)))
-    sets = sets.withColumn("doc_id", F.when(F.col("doc_key") != none, F.col("doc_key")))
-    linked = sets.where("n_shingles > 0").join(parts.withColumnRenamed("id", "cls"), "cls", "left").withColumn("part", F.coalesce("component_id", "cls"))
+    linked, without = _linked(docs)
     smallest = linked.groupBy("part").agg(F.min("doc_id").alias("smallest"))
     return (
         linked.join(smallest, "part").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
-        .unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        .unionByName(without.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     )
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """One document of each component, that of the smallest id, with all its columns; documents without words stay. Rows of equal id and text are one."""
+    linked, without = _linked(docs)
+    chosen = linked.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("_row"))
+    kept = chosen.unionByName(without.select(F.col("row").alias("_row"))).distinct()
+    own = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.col("text").cast("binary")))
+    return own.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

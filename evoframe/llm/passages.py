@@ -160,7 +160,7 @@ class _Texts:
     def __init__(self, t: pa.Table, threshold: int) -> None:
         order = pa.compute.sort_indices(t["doc_id"])
         t = t.take(order)
-        self.ids = t["doc_id"].to_numpy()
+        self.ids, self.carried = t["doc_id"].to_numpy(), t.drop_columns(["target", "doc_id", "text"])
         unpress = zstandard.ZstdDecompressor().decompress
         self.data, self.offsets = text_bytes(pa.array([unpress(x) for x in t["text"].to_pylist()], pa.large_binary()))
         self.threshold = threshold
@@ -258,17 +258,17 @@ def _removed(own: _Texts, a: int, b: int, offsets: np.ndarray, found: Anchors, f
 DIGEST_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def dedup(docs: DataFrame, threshold: int = THRESHOLD, digests: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, threshold: int = THRESHOLD, digests: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document without the bytes covered by a string of `threshold` bytes that also starts in a document of smaller id.
 
-    Returns (doc_id, kept bytes), or with digests counts and a hash of them. Strings are judged on the input. A text of null
+    Returns (doc_id, kept bytes, the columns to carry), or with digests counts and a hash of the kept bytes. Strings are judged on the input. A text of null
     or shorter than the threshold stays as it is; a null doc_id counts as the largest; rows of equal id never remove bytes from
     each other, and what one of them loses at a position they all lose if they have the same text; an empty
     table gives no rows; further columns are ignored.
     """
     n = docs.count()
     ranks, texts = max(1, -(-n // DOCS_PER_RANKS)), max(1, -(-n // DOCS_PER_TEXTS))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"), *carry)
     by_text = _texts_by_group(own, texts)
     decided = checkpointed(resolve_anchors(send_anchors(own, ranks, texts, threshold), texts))
     windows = resolve_windows(send_windows(by_text, decided, ranks, threshold), texts)
@@ -276,14 +276,17 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, digests: bool = False) ->
 
 
 def _texts_by_group(own: DataFrame, texts: int) -> DataFrame:
+    names = ["target", "doc_id", "text", *own.columns[2:]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             target = _text_target(batch.column(0).to_numpy(), texts)
             packed = pa.array([press.compress(x or b"") for x in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(target.astype(np.int32)), batch.column(0), packed], ["target", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(target.astype(np.int32)), batch.column(0), packed, *batch.columns[2:]], names)
 
-    return own.mapInArrow(run, TEXT_SQL)
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[2:])
+    return own.mapInArrow(run, TEXT_SQL + kinds)
 
 
 def _finish(by_text: DataFrame, steps: DataFrame, threshold: int, digests: bool) -> DataFrame:
@@ -323,6 +326,24 @@ def _finish(by_text: DataFrame, steps: DataFrame, threshold: int, digests: bool)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] if digests else [pa.int64(), pa.binary()]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] if digests else ["doc_id", "kept"]
         columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        made = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        if not digests:
+            for name in own.carried.column_names:
+                made = made.append_column(name, own.carried[name])
+        return made
+
+    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in by_text.schema.fields[3:])
+    return by_text.groupBy("target").cogroup(steps.groupBy("target")).applyInArrow(run, DIGEST_SQL if digests else "doc_id long, kept binary" + carried)
+
+
+def drop_passages(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The documents, all their columns, with a text of the kept bytes (a character that lost some of its bytes goes); null texts stay null."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    named = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col("text").isNull().alias("was_null"))
+    out = dedup(named, threshold, carry=(*[f"c{i}" for i in range(len(rest))], "was_null"))
+    text = F.when(~F.col("was_null"), F.arrow_udf(_whole_characters, "string")(F.col("kept")))
+    return out.select("doc_id", text.alias("text"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)]).select(*docs.columns)
+
 
-    return by_text.groupBy("target").cogroup(steps.groupBy("target")).applyInArrow(run, DIGEST_SQL if digests else "doc_id long, kept binary")
+def _whole_characters(kept: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())

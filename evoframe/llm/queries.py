@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evoframe.llm import bpe, embeddings, language, ngrams, packing, passages, quality, search, urls
+from evoframe.llm import bpe, embeddings, language, lines, ngrams, packing, passages, quality, search, urls
 from evoframe.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -51,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_urls": urls.sql(), "op10_search": search.SQL}
+    return {"op7_urls": urls.sql(), "op9_lines": lines.SQL, "op10_search": search.SQL}
