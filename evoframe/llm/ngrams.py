@@ -111,17 +111,17 @@ def set_rows(first: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, often, buckets: int) -> DataFrame:
-    """Short-list entries of distinct sets, dealt by shingle: (shingle, set, whether it is found there)."""
+    """Short-list entries of distinct sets, dealt by shingle: (shingle, set, its size, the shingle's place in the set's order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, n_held, seen = often.value, [], 0, set()
 
         def out() -> Iterator[pa.RecordBatch]:
-            token, cls, size, found = (np.concatenate(x) for x in zip(*held, strict=True))
-            for k, (t, c, s, f) in dealt((token >> TOKEN_BITS).astype(np.int64) % buckets, token & ((U64(1) << TOKEN_BITS) - U64(1)), cls, size, found):
+            token, cls, size, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            for k, (t, c, s, f) in dealt((token >> TOKEN_BITS).astype(np.int64) % buckets, token & ((U64(1) << TOKEN_BITS) - U64(1)), cls, size, place):
                 by = np.argsort(t, kind="stable")
                 names, at, back = np.unique(c[by], return_index=True, return_inverse=True)
-                yield _row(k, blob(np.diff(t[by], prepend=U64(0)), back.astype("<u4"), f[by].astype("<u1"), names, s[by][at].astype("<u4")), "bucket")
+                yield _row(k, blob(np.diff(t[by], prepend=U64(0)), back.astype("<u4"), np.minimum(f[by], 65535).astype("<u2"), names, s[by][at].astype("<u4")), "bucket")
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
@@ -132,10 +132,10 @@ def postings(docs: DataFrame, often, buckets: int) -> DataFrame:
                 owner = np.repeat(np.arange(b - a), sizes)
                 order = np.lexsort((values, counts[_slot(values)], owner))
                 rank = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                found, probe = prefix_sizes(sizes)
+                _, probe = prefix_sizes(sizes)
                 keep = (rank < probe[owner]) & fresh[owner]
                 own = owner[keep]
-                held.append((values[order][keep], names[own], sizes[own], rank[keep] < found[own]))
+                held.append((values[order][keep], names[own], sizes[own], rank[keep]))
                 n_held += int(keep.sum())
                 if n_held > BLOCK_POSTINGS:
                     yield from out()
@@ -147,79 +147,93 @@ def postings(docs: DataFrame, often, buckets: int) -> DataFrame:
 
 
 def short_lists(sent: DataFrame) -> DataFrame:
-    """The distinct member lists of shingles that several sets hold: (list, cls, n, found) by rows."""
+    """The distinct member lists of shingles that several sets hold: (list, cls, n, place, size) by rows.
+
+    place is the first one that the set has for any of the shingles with this list.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         bucket, parts = t["bucket"][0].as_py(), []
         for p in t["payload"]:
-            step, at, found, names, sizes = unblob(p.as_py())
-            parts.append((np.cumsum(step, dtype=U64), names[at], sizes[at].astype(np.int64), found))
-        token, cls, size, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+            step, at, place, names, sizes = unblob(p.as_py())
+            parts.append((np.cumsum(step, dtype=U64), names[at], sizes[at].astype(np.int64), place.astype(np.int64)))
+        token, cls, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((cls, token))
-        token, cls, size, found = token[order], cls[order], size[order], found[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])  # a set that several tasks sent
-        token, cls, size, found = token[new], cls[new], size[new], found[new]
-        head = np.ones(len(token), bool)
-        head[1:] = token[1:] != token[:-1]
+        token, cls, size, place = token[order], cls[order], size[order], place[order]
+        new = _heads(token, cls)  # else a set that several tasks sent
+        token, cls, size, place = token[new], cls[new], size[new], place[new]
+        head = _heads(token)
         group = np.cumsum(head) - 1
-        count = np.bincount(group) if len(group) else np.zeros(0, np.int64)
-        some = np.bincount(group, found) > 0 if len(group) else np.zeros(0, bool)
-        with np.errstate(over="ignore"):
-            members = mix(cls + found.astype(U64) * GOLDEN)
-            starts = np.flatnonzero(head)
-            label = np.add.reduceat(members, starts) if len(starts) else members
-        use = (count > 1) & some
-        _, first = np.unique(np.where(use, label, U64(0)), return_index=True)
-        chosen = np.zeros(len(count), bool)
-        chosen[first] = True
-        keep = (chosen & use)[group] if len(group) else np.zeros(0, bool)
+        count = np.bincount(group)
+        found = place < prefix_sizes(size)[0]
+        use = ((count > 1) & (np.bincount(group, found) > 0))[group]
+        label = np.add.reduceat(mix(cls), np.flatnonzero(head))[group] if len(cls) else cls  # equal lists have equal sums of names
+        label, cls, size, place, count = label[use], cls[use], size[use], place[use], count[group[use]]
+        order = np.lexsort((place, cls, label))
+        label, cls, size, place, count = label[order], cls[order], size[order], place[order], count[order]
+        first = _heads(label, cls)
+        lists = np.cumsum(_heads(label)) - 1 if len(label) else np.zeros(0, np.int64)
         return pa.table({
-            "list": pa.array((group[keep].astype(np.int64) << 20) + bucket), "cls": pa.array(cls[keep].view(np.int64)), "n": pa.array(size[keep]),
-            "found": pa.array(found[keep] > 0), "size": pa.array(count[group[keep]]),
+            "list": pa.array((lists[first].astype(np.int64) << 20) + bucket), "cls": pa.array(cls[first].view(np.int64)), "n": pa.array(size[first]),
+            "place": pa.array(place[first]), "size": pa.array(count[first]),
         })
 
-    return sent.groupBy("bucket").applyInArrow(run, "list long, cls long, n long, found boolean, size long")
+    return sent.groupBy("bucket").applyInArrow(run, "list long, cls long, n long, place long, size long")
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    new = np.ones(len(keys[0]), bool)
+    for i, k in enumerate(keys):
+        new[1:] = k[1:] != k[:-1] if not i else new[1:] | (k[1:] != k[:-1])
+    return new
+
 
+def _may_link(n_a: np.ndarray, n_b: np.ndarray, place_a: np.ndarray, place_b: np.ndarray) -> np.ndarray:
+    """Whether sets whose first common shingle has these places can share enough: what is left from there on bounds it. A pair shows on its first one too."""
+    need = -(-NUMERATOR * (n_a + n_b) // (NUMERATOR + DENOMINATOR))
+    return (np.minimum(n_a - place_a, n_b - place_b) >= need) & (DENOMINATOR * np.minimum(n_a, n_b) >= NUMERATOR * np.maximum(n_a, n_b))
 
-def _fits(n_small: np.ndarray, n_large: np.ndarray) -> np.ndarray:
-    return DENOMINATOR * n_small >= NUMERATOR * n_large
+
+AT_ONCE = 1 << 20
 
 
 def _pairs_of_lists(t: pa.Table, across: bool) -> pa.Table:
     """Pairs to compare. across: only those of different components; else all of a small list, and of a large one those with leaders and neighbours."""
     order = np.lexsort((t["cls"].to_numpy(), t["n"].to_numpy(), t["list"].to_numpy()))
-    lists, cls, n, found = (t[c].to_numpy()[order] for c in ("list", "cls", "n", "found"))
+    lists, cls, n, place = (t[c].to_numpy()[order] for c in ("list", "cls", "n", "place"))
     part = t["part"].to_numpy()[order] if across else None
-    heads = np.flatnonzero(np.append(True, lists[1:] != lists[:-1])) if len(lists) else []
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    heads = np.flatnonzero(_heads(lists)) if len(lists) else []
+    out = [np.zeros((0, 2), np.int64)]
+
+    def add(a: int, i: np.ndarray, j: np.ndarray) -> None:
+        ok = (i != j) & _may_link(n[a + i], n[a + j], place[a + i], place[a + j])
+        if across:
+            ok &= part[a + i] != part[a + j]
+        x, y = cls[a + i[ok]], cls[a + j[ok]]
+        out.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
+
     for a, b in zip(heads, [*heads[1:], len(lists)], strict=True):
         m = b - a
         if across:
             where, label = np.argsort(part[a:b], kind="stable"), np.sort(part[a:b])
-            edges = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
+            edges = np.flatnonzero(_heads(label))
             if len(edges) < 2:
                 continue
             # All members against those of every component but the largest: the pairs within the largest are never made.
             sizes = np.diff(np.append(edges, m))
             big = edges[sizes.argmax()]
             others = np.concatenate([where[:big], where[big + sizes.max() :]])
-            i, j = np.repeat(others, m), np.tile(np.arange(m), len(others))
-            ok = part[a + i] != part[a + j]
-            i, j = np.minimum(i, j)[ok], np.maximum(i, j)[ok]
+            step = max(1, AT_ONCE // m)
+            for k in range(0, len(others), step):
+                some = others[k : k + step]
+                add(a, np.repeat(some, m), np.tile(np.arange(m), len(some)))
         elif m <= SMALL:
-            i, j = np.triu_indices(m, 1)
+            add(a, *np.triu_indices(m, 1))
         else:
-            names = cls[a:b].view(U64)
-            leaders = np.array([mix(names + U64(seed)).argmin() for seed in (1, 2)])
-            i = np.concatenate([np.repeat(leaders, m), np.arange(m - 1)])
-            j = np.concatenate([np.tile(np.arange(m), 2), np.arange(1, m)])
-            i, j = np.minimum(i, j), np.maximum(i, j)
-        ok = (i != j) & found[a + i] & _fits(n[a + i], n[a + j])
-        left.append(cls[a + i[ok]])
-        right.append(cls[a + j[ok]])
-    left, right = np.concatenate(left), np.concatenate(right)
-    pairs = np.unique(np.column_stack([np.minimum(left, right), np.maximum(left, right)]), axis=0)
+            # Leaders have few rarer shingles than this one: they are the least edited, and most like all others.
+            leaders = np.lexsort((mix(cls[a:b].view(U64)), place[a:b]))[:2]
+            add(a, np.concatenate([np.repeat(leaders, m), np.arange(m - 1)]), np.concatenate([np.tile(np.arange(m), 2), np.arange(1, m)]))
+    pairs = np.unique(np.concatenate(out), axis=0)
     return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
 
 
