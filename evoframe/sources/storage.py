@@ -19,16 +19,20 @@ STATE = (
 )
 
 
+def _parsed(rows: DataFrame, schema: str) -> DataFrame:
+    """value as JSON; what doesn't parse is left out."""
+    parsed = F.from_json("value", f"{schema}, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return rows.select(parsed.alias("j")).where("j is not null and j._bad is null").select("j.*").drop("_bad")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines that don't parse are left out."""
-    rows = spark.read.schema(f"{schema}, _bad STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where("_bad is null").drop("_bad")
+    return _parsed(spark.read.text(path), schema)
 
 
 def read_json_dir(spark: SparkSession, path: str, schema: str = PROGRAMS) -> DataFrame:
     """One JSON document a file; files that don't parse are left out."""
-    reader = spark.read.schema(f"{schema}, _bad STRING").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-    return reader.json(path).where("_bad is null").drop("_bad")
+    return _parsed(spark.read.option("wholetext", True).text(path), schema)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
