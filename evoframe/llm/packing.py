@@ -22,7 +22,7 @@ from evoframe.llm.pretokens import Words, gather
 WINDOW = 2048
 SPECIAL = "<|endoftext|>"
 END_ID = 1
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("row", pa.int64())]
 )
@@ -103,7 +103,7 @@ class Encoder:
     faster; only a text with the special token's string goes through the library itself.
     """
 
-    MOST = 500_000
+    MOST = 300_000
 
     def __init__(self, vocabulary: str, ranks: str) -> None:
         from tokenizers import Tokenizer

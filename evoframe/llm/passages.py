@@ -258,10 +258,10 @@ def _removed(own: _Texts, a: int, b: int, offsets: np.ndarray, found: Anchors, f
 DIGEST_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def dedup(docs: DataFrame, threshold: int = THRESHOLD, digests: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, threshold: int = THRESHOLD, digests: bool = False, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Every document without the bytes covered by a string of `threshold` bytes that also starts in a document of smaller id.
 
-    Returns (doc_id, kept bytes, the columns to carry), or with digests counts and a hash of the kept bytes. Strings are judged on the input. A text of null
+    Returns (doc_id, kept bytes, the columns to carry), with as_text whole characters as a string, or with digests counts and a hash of the kept bytes. Strings are judged on the input. A text of null
     or shorter than the threshold stays as it is; a null doc_id counts as the largest; rows of equal id never remove bytes from
     each other, and what one of them loses at a position they all lose if they have the same text; an empty
     table gives no rows; further columns are ignored.
@@ -272,7 +272,7 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, digests: bool = False, ca
     by_text = _texts_by_group(own, texts)
     decided = checkpointed(resolve_anchors(send_anchors(own, ranks, texts, threshold), texts))
     windows = resolve_windows(send_windows(by_text, decided, ranks, threshold), texts)
-    return _finish(by_text, decided.unionByName(windows), threshold, digests)
+    return _finish(by_text, decided.unionByName(windows), threshold, digests, as_text)
 
 
 def _texts_by_group(own: DataFrame, texts: int) -> DataFrame:
@@ -289,7 +289,7 @@ def _texts_by_group(own: DataFrame, texts: int) -> DataFrame:
     return own.mapInArrow(run, TEXT_SQL + kinds)
 
 
-def _finish(by_text: DataFrame, steps: DataFrame, threshold: int, digests: bool) -> DataFrame:
+def _finish(by_text: DataFrame, steps: DataFrame, threshold: int, digests: bool, as_text: bool) -> DataFrame:
     def run(t: pa.Table, steps: pa.Table) -> pa.Table:
         full, windows = ([], []), ([], [])
         for p in steps["payload"]:
@@ -322,8 +322,8 @@ def _finish(by_text: DataFrame, steps: DataFrame, threshold: int, digests: bool)
                     i, j = offsets[k], offsets[k + 1]
                     out.append((doc_id, int(j - i), int(removed[j] - removed[i]), int(spans_[j] - spans_[i]), hashlib.sha256(rest).hexdigest()))
                 else:
-                    out.append((doc_id, rest))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] if digests else [pa.int64(), pa.binary()]
+                    out.append((doc_id, rest.decode("utf-8", "ignore") if as_text else rest))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] if digests else [pa.int64(), pa.string() if as_text else pa.binary()]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] if digests else ["doc_id", "kept"]
         columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
         made = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -333,17 +333,14 @@ def _finish(by_text: DataFrame, steps: DataFrame, threshold: int, digests: bool)
         return made
 
     carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in by_text.schema.fields[3:])
-    return by_text.groupBy("target").cogroup(steps.groupBy("target")).applyInArrow(run, DIGEST_SQL if digests else "doc_id long, kept binary" + carried)
+    return by_text.groupBy("target").cogroup(steps.groupBy("target")).applyInArrow(run, DIGEST_SQL if digests else f"doc_id long, kept {'string' if as_text else 'binary'}{carried}")
 
 
 def drop_passages(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The documents, all their columns, with a text of the kept bytes (a character that lost some of its bytes goes); null texts stay null."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     named = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col("text").isNull().alias("was_null"))
-    out = dedup(named, threshold, carry=(*[f"c{i}" for i in range(len(rest))], "was_null"))
-    text = F.when(~F.col("was_null"), F.arrow_udf(_whole_characters, "string")(F.col("kept")))
+    out = dedup(named, threshold, carry=(*[f"c{i}" for i in range(len(rest))], "was_null"), as_text=True)
+    text = F.when(~F.col("was_null"), F.col("kept"))
     return out.select("doc_id", text.alias("text"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)]).select(*docs.columns)
 
-
-def _whole_characters(kept: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
