@@ -15,12 +15,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.llm.common import blob, unblob
+from evoframe.llm.common import blob, groups_for, unblob
 from evoframe.llm.packing import load_ranks, word_encoder
 from evoframe.llm.pretokens import Words, gather
 
 #: Characters of text split at once, words of a block (then the next block begins), documents in one blob.
 BLOCK, BLOCK_WORDS, BLOB_DOCS = 1 << 21, 600_000, 512
+DOCS_PER_BUCKET = 4000
 STEPS = pa.schema(
     [("block", pa.int64()), ("bucket", pa.int32()), ("print", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("payload", pa.binary())]
 )
@@ -166,7 +167,7 @@ def encode_decode(docs: DataFrame, ranks: str | None = None, buckets: int | None
     no rows; further columns are ignored.
     """
     ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    buckets = buckets or min(8192, max(8, docs.rdd.getNumPartitions()))
+    buckets = buckets or min(8192, groups_for(docs, DOCS_PER_BUCKET))
     words = encode_words(positions(docs, buckets, "words"), ranks)
 
     def together(docs_of: pa.Table, words_of: pa.Table) -> pa.Table:

@@ -32,6 +32,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that the frame's columns don't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def groups_for(df: DataFrame, rows_per_group: int) -> int:
     """How many groups of about that many rows the frame makes; grows with the data."""
     return max(1, -(-df.count() // rows_per_group))
@@ -149,8 +160,10 @@ def unblob(raw: bytes) -> list[np.ndarray]:
 
 def dealt(target: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The rows of each target, in their order."""
+    if not len(target):
+        return
     order = np.argsort(target, kind="stable")
     target = target[order]
-    edges = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.zeros(0, np.int64)
+    edges = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
     for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(target)], strict=True):
         yield int(target[a]), [x[order[a:b]] for x in arrays]

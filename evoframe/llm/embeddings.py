@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -164,7 +165,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     )
     dealt = dealt.withColumn("s1", F.least("s", "t")).withColumn("s2", F.greatest("s", "t"))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         _, cell, _, s1, s2 = key
         pdf = pdf.sort_values("cid", ignore_index=True)
         if s1 == s2:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evoframe.llm.common import fresh
+
 #: Edits between near-equal lines; shorter lines are only compared for equality.
 EDITS, MIN_BYTES = 2, 24
 #: A document without an id counts as the last.
@@ -148,17 +150,18 @@ def drop_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES)
 
     Null texts stay null, blank ones stay as they are.
     """
-    gone = (
+    d, gone, some, left = fresh(docs, "d", "gone", "some", "left")
+    goes = F.col("repeated") | F.col("near")
+    facts = (
         judged_lines(docs, edits, min_bytes)
-        .groupBy("d")
-        .agg(F.collect_set(F.when(F.col("repeated") | F.col("near"), F.col("pos"))).alias("_gone"), F.bool_or(~F.col("blank")).alias("_some"),
-             F.bool_or(~F.col("blank") & ~F.col("repeated") & ~F.col("near")).alias("_left"))
-        .where("size(_gone) > 0")
-    )
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    own = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    out = own.join(gone.withColumnRenamed("d", "_d"), "_d", "left").where("_gone is null or _left or not _some")
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+        .groupBy(F.col("d").alias(d))
+        .agg(F.collect_set(F.when(goes, F.col("pos"))).alias(gone), F.bool_or(~F.col("blank")).alias(some), F.bool_or(~F.col("blank") & ~goes).alias(left))
+        .where(F.size(gone) > 0)
+    )
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    own = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    out = own.join(facts, d, "left").where(F.col(gone).isNull() | F.col(left) | ~F.col(some))
+    return out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = f"""

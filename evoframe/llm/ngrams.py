@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.llm.common import GOLDEN, U64, blob, checkpointed, components, dealt, mix, spans, text_bytes, unblob
+from evoframe.llm.common import GOLDEN, U64, blob, checkpointed, components, dealt, fresh, mix, spans, text_bytes, unblob
 from evoframe.llm.shingles import WORDS, shingle_sets
 
 #: Similarity of at least NUMERATOR / DENOMINATOR.
@@ -373,7 +373,8 @@ def link(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest id, with all its columns; documents without words stay. Rows of equal id and text are one."""
     linked, without = _linked(docs)
-    chosen = linked.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("_row"))
-    kept = chosen.unionByName(without.select(F.col("row").alias("_row"))).distinct()
-    own = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.col("text").cast("binary")))
-    return own.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    (key,) = fresh(docs, "row")
+    chosen = linked.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")).select(F.col("best.row").alias(key))
+    kept = chosen.unionByName(without.select(F.col("row").alias(key))).distinct()
+    own = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.col("text").cast("binary")))
+    return own.join(kept, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

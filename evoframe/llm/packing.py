@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -188,7 +189,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = Non
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     groups = groups_for(docs, docs_per_group)
 
-    def one_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one_group(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row", ignore_index=True)
         number, offset = best_fit_decreasing(pdf["length"].tolist(), window)
         pdf["sequence_id"] = np.array(number, np.int64) * groups + int(key[0])
