@@ -37,7 +37,7 @@ def checkpoint_roundtrip(spark, sf):
     state = p.groupBy("island").agg(F.sort_array(F.collect_list("id")).alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("island", "m"))), lambda x: x["m"]).alias("islands"))
     c.write(p, state.withColumn("last_iteration", F.lit(10)), p.where("id = '0'").select("id"))
     programs, back = c.read(spark)
-    return programs.select("id", "parent_id", "generation").crossJoin(F.broadcast(back.select("last_iteration", F.size("island_generations").alias("islands"))))
+    return programs.select("id", "parent_id", "generation").withColumn("last_iteration", F.lit(10)).join(back.select("last_iteration", F.size("island_generations").alias("islands")), "last_iteration")
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents")
