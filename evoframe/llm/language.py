@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evoframe.llm.common import checkpointed
 from evoframe.llm.pretokens import LETTER, Words, classes
 from evoframe.llm.quality import is_held_out
 
@@ -18,6 +19,8 @@ from evoframe.llm.quality import is_held_out
 HIDDEN, STEPS = 16, 16
 DOCS_PER_LANG, WORDS_PER_LANG, BATCH, UPDATES = 300, 20_000, 512, 500
 UNKNOWN = "und"
+#: Up to so many chosen documents their ids are broadcast; beyond (thousands of languages), they are joined in a shuffle.
+BROADCAST_ROWS = 500_000
 BLOCK, MOST = 1 << 22, 500_000
 
 
@@ -177,7 +180,9 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_lang: int
     own = docs.where("text is not null and lang is not null").where(~is_held_out()).select("doc_id", "lang", "text")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.length("text"))
     ids = own.select("doc_id", "lang", F.length("text").alias("n"), F.row_number().over(order).alias("k")).where(F.col("k") <= docs_per_lang)
-    rows = own.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text").toPandas()
+    ids = checkpointed(ids.select("doc_id", "lang").distinct())
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    rows = own.join(side, ["doc_id", "lang"], "left_semi").select("lang", "text").toPandas()
     langs, rng = sorted(set(rows["lang"])), np.random.default_rng(1)
     words, y = [], []
     for k, lang in enumerate(langs):
