@@ -18,22 +18,26 @@ EDITS, MIN_BYTES = 2, 24
 #: A document without an id counts as the last.
 NO_ID = (1 << 63) - 1
 #: An edit changes at most two letters' counts, by one each, so far counts rule a pair out before its texts are fetched.
-LETTERS = "enta"
+LETTERS, MORE_LETTERS = "entaiorh", " sldcum.,"
 
 
-def letter_counts(line: str) -> Column:
-    """Four counts, at most 255 each, side by side in 32 bits. Replacing one letter is a search over bytes, much cheaper than a translation."""
+def _count(text: Column, letter: str) -> Column:
+    """Replacing one letter is a search over bytes, much cheaper than a translation."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letter), F.lit("")))
+
+
+def letter_counts(line: Column) -> Column:
+    """Eight counts modulo 16, side by side in 32 bits."""
     out = F.lit(0)
     for letter in LETTERS:
-        count = F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(letter), F.lit("")))
-        out = F.shiftleft(out, 8).bitwiseOR(F.least(count, F.lit(255)))
+        out = F.shiftleft(out, 4).bitwiseOR(_count(line, letter).bitwiseAND(15))
     return out
 
 
 def far_counts(a: str, b: str, edits: int) -> str:
-    """SQL: the letter counts differ by more than so many edits can change."""
-    parts = (f"abs((shiftrightunsigned({a}, {s}) & 255) - (shiftrightunsigned({b}, {s}) & 255))" for s in range(0, 32, 8))
-    return f"{' + '.join(parts)} > {2 * edits}"
+    """SQL: the counts differ, around the circle of 16, by more than so many edits can change."""
+    apart = (f"abs((shiftrightunsigned({a}, {s}) & 15) - (shiftrightunsigned({b}, {s}) & 15))" for s in range(0, 32, 4))
+    return f"{' + '.join(f'least({d}, 16 - {d})' for d in apart)} > {2 * edits}"
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -57,13 +61,16 @@ def index_keys(k: int) -> Column:
 
 
 def probe_keys(k: int) -> Column:
-    """Substrings that can be segment i of a line of n - shift bytes: i edits at most lie before it and k - i after it."""
+    """Substrings that can be segment i of a line of n - shift bytes: i edits at most lie before it and k - i after it.
+
+    Lines are long enough that none begins before the line does.
+    """
     keys = []
     for shift in range(k + 1):
         for i, (s, m) in enumerate(_segments(f"(n - {shift})", k)):
             for move in range(max(-i, shift - (k - i)), min(i, shift + (k - i)) + 1):
-                keys.append(f"if({s} + {move} < 0, null, xxhash64({i}, n - {shift}, substring(b, {s} + {move} + 1, {m})))")
-    return F.expr(f"array_distinct(array({', '.join(keys)}))")
+                keys.append(f"xxhash64({i}, n - {shift}, substring(b, {s} + {move} + 1, {m}))")
+    return F.expr(f"array({', '.join(keys)})")
 
 
 def banded_distance(a: str, b: str, k: int) -> Column:
@@ -92,15 +99,16 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES)
 
     Should two lines ever have one 64-bit name, a second name tells, and they are left out: both stay.
     """
+    if min_bytes < (edits + 1) ** 2:
+        raise ValueError("lines that are compared need at least (edits + 1) squared bytes")
     lines = places(docs).where("trim(line) <> ''")
     again = F.xxhash64(F.lit(1), "line")
-    distinct = lines.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.min(F.col("line").cast("binary")).alias("b"), F.min(again).alias("low"), F.max(again).alias("high"))
+    distinct = lines.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.min(F.col("line").cast("binary")).alias("b"), F.min(again).alias("low"), F.max(again).alias("high"), F.min(letter_counts(F.col("line"))).alias("counts"))
     # All that use the lines' bytes ask for the same columns, so that one exchange of them serves all.
-    distinct = distinct.where("low = high and first is not null").select("h", "first", "b")
-    long = distinct.withColumn("n", F.octet_length("b")).where(F.col("n") >= min_bytes).withColumn("s", F.col("b").cast("string"))
-    long = long.select("h", "b", "n", letter_counts("s").alias("counts"))
+    distinct = distinct.where("low = high and first is not null and counts is not null").select("h", "first", "b", "counts")
+    long = distinct.select("h", "b", F.octet_length("b").alias("n"), "counts").where(F.col("n") >= min_bytes)
     held = long.select("h", "counts", F.explode(index_keys(edits)).alias("key"))
-    asked = long.select(F.col("h").alias("g"), F.col("counts").alias("g_counts"), F.explode(probe_keys(edits)).alias("key")).where("key is not null")
+    asked = long.select(F.col("h").alias("g"), F.col("counts").alias("g_counts"), F.explode(probe_keys(edits)).alias("key"))
     met = held.join(asked, "key").where(f"h <> g and not ({far_counts('counts', 'g_counts', edits)})")
     pairs = met.select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
     other = distinct.select(F.col("h").alias("g"), F.col("first").alias("g_first"), F.col("b").alias("g_b"))
@@ -108,7 +116,10 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES)
     # The longer line runs along the columns; equal lines have met in their group, so no pair is equal.
     own = F.octet_length("b") >= F.octet_length("g_b")
     longer, shorter = F.when(own, F.col("b")).otherwise(F.col("g_b")), F.when(own, F.col("g_b")).otherwise(F.col("b"))
-    linked = both.withColumns({"longer": longer, "shorter": shorter}).where(banded_distance("shorter", "longer", edits) <= edits)
+    # The counts of all other letters cost little and spare most of the pairs the fold over their bytes.
+    apart = sum((F.abs(_count(F.col("b").cast("string"), c) - _count(F.col("g_b").cast("string"), c)) for c in MORE_LETTERS), F.lit(0))
+    both = both.where(apart <= 2 * edits)
+    linked = both.withColumns({"longer": longer, "shorter": shorter}).where(F.when(apart <= 2 * edits, banded_distance("shorter", "longer", edits)) <= edits)
     later = F.col("first") > F.col("g_first")
     near = linked.select(F.when(later, F.col("h")).otherwise(F.col("g")).alias("h"), F.least("first", "g_first").alias("near")).groupBy("h").agg(F.min("near").alias("near"))
     return distinct.select("h", "first").join(near, "h", "left")
