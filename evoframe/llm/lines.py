@@ -18,7 +18,7 @@ EDITS, MIN_BYTES = 2, 24
 #: A document without an id counts as the last.
 NO_ID = (1 << 63) - 1
 #: An edit changes at most two letters' counts, by one each, so far counts rule a pair out before its texts are fetched.
-LETTERS, MORE_LETTERS = "entaiorh", " sldcum.,"
+LETTERS = "entaiorh"
 
 
 def _count(text: Column, letter: str) -> Column:
@@ -63,16 +63,25 @@ def index_keys(k: int) -> Column:
 def probe_keys(k: int) -> Column:
     """Substrings that can be segment i of a line of n - shift bytes: i edits at most lie before it and k - i after it.
 
-    Lines are long enough that none begins before the line does.
+    Lines are long enough that none begins before the line does. The line's own segments, which a line of its length
+    can have at the same places, are left out: they are index keys, and meet as such.
     """
     keys = []
     for shift in range(k + 1):
         for i, (s, m) in enumerate(_segments(f"(n - {shift})", k)):
             for move in range(max(-i, shift - (k - i)), min(i, shift + (k - i)) + 1):
-                keys.append(f"xxhash64({i}, n - {shift}, substring(b, {s} + {move} + 1, {m}))")
+                if shift or move:
+                    keys.append(f"xxhash64({i}, n - {shift}, substring(b, {s} + {move} + 1, {m}))")
     return F.expr(f"array({', '.join(keys)})")
 
 
+def few_blocks_differ(a: str, b: str, k: int, size: int = 8) -> Column:
+    """What k edits imply: but for k at most, each short block of a stands in b, shifted by k at most. Much cheaper than the distance."""
+    shifts = sorted(range(-k, k + 1), key=abs)
+    same = " or ".join(f"substring({a}, {size} * j + 1, {size}) = substring({b}, {size} * j + {1 + s}, {size})" for s in shifts)
+    return F.expr(f"size(filter(sequence(0, greatest(octet_length({a}) div {size}, 1) - 1), j -> not ({same}))) <= {k}")
+
+
 def banded_distance(a: str, b: str, k: int) -> Column:
     """Edit distance of binary a and b if it is at most k, else more than k; octet lengths differ by at most k and are over k.
 
@@ -97,29 +106,29 @@ def banded_distance(a: str, b: str, k: int) -> Column:
 def near_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(h, first, near): the first place of every distinct line that isn't blank, and the first one of those within the edits that come before it.
 
-    Should two lines ever have one 64-bit name, a second name tells, and they are left out: both stay.
+    Should two lines ever have one 64-bit name, a second name of 32 bits tells, and they are left out: both stay.
     """
     if min_bytes < (edits + 1) ** 2:
         raise ValueError("lines that are compared need at least (edits + 1) squared bytes")
     lines = places(docs).where("trim(line) <> ''")
-    again = F.xxhash64(F.lit(1), "line")
+    again = F.hash(F.lit(1), "line")
     distinct = lines.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.min(F.col("line").cast("binary")).alias("b"), F.min(again).alias("low"), F.max(again).alias("high"), F.min(letter_counts(F.col("line"))).alias("counts"))
     # All that use the lines' bytes ask for the same columns, so that one exchange of them serves all.
-    distinct = distinct.where("low = high and first is not null and counts is not null").select("h", "first", "b", "counts")
+    distinct = distinct.where("low = high and first is not null and b is not null and counts is not null").select("h", "first", "b", "counts")
     long = distinct.select("h", "b", F.octet_length("b").alias("n"), "counts").where(F.col("n") >= min_bytes)
     held = long.select("h", "counts", F.explode(index_keys(edits)).alias("key"))
     asked = long.select(F.col("h").alias("g"), F.col("counts").alias("g_counts"), F.explode(probe_keys(edits)).alias("key"))
-    met = held.join(asked, "key").where(f"h <> g and not ({far_counts('counts', 'g_counts', edits)})")
+    near = f"not ({far_counts('counts', 'g_counts', edits)})"
+    same = held.select(F.col("h").alias("g"), F.col("counts").alias("g_counts"), "key")
+    met = held.join(same, "key").where(f"h < g and {near}").select("h", "g").unionByName(held.join(asked, "key").where(f"h <> g and {near}").select("h", "g"))
     pairs = met.select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
     other = distinct.select(F.col("h").alias("g"), F.col("first").alias("g_first"), F.col("b").alias("g_b"))
     both = pairs.join(distinct, "h").join(other, "g")
     # The longer line runs along the columns; equal lines have met in their group, so no pair is equal.
     own = F.octet_length("b") >= F.octet_length("g_b")
     longer, shorter = F.when(own, F.col("b")).otherwise(F.col("g_b")), F.when(own, F.col("g_b")).otherwise(F.col("b"))
-    # The counts of all other letters cost little and spare most of the pairs the fold over their bytes.
-    apart = sum((F.abs(_count(F.col("b").cast("string"), c) - _count(F.col("g_b").cast("string"), c)) for c in MORE_LETTERS), F.lit(0))
-    both = both.where(apart <= 2 * edits)
-    linked = both.withColumns({"longer": longer, "shorter": shorter}).where(F.when(apart <= 2 * edits, banded_distance("shorter", "longer", edits)) <= edits)
+    both = both.withColumns({"longer": longer, "shorter": shorter})
+    linked = both.where(F.when(few_blocks_differ("shorter", "longer", edits), banded_distance("shorter", "longer", edits)) <= edits)
     later = F.col("first") > F.col("g_first")
     near = linked.select(F.when(later, F.col("h")).otherwise(F.col("g")).alias("h"), F.least("first", "g_first").alias("near")).groupBy("h").agg(F.min("near").alias("near"))
     return distinct.select("h", "first").join(near, "h", "left")
