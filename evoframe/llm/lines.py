@@ -119,8 +119,10 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES)
     held = long.select("h", "counts", F.explode(index_keys(edits)).alias("key"))
     asked = long.select(F.col("h").alias("g"), F.col("counts").alias("g_counts"), F.explode(probe_keys(edits)).alias("key"))
     near = f"not ({far_counts('counts', 'g_counts', edits)})"
-    same = held.select(F.col("h").alias("g"), F.col("counts").alias("g_counts"), "key")
-    met = held.join(same, "key").where(f"h < g and {near}").select("h", "g").unionByName(held.join(asked, "key").where(f"h <> g and {near}").select("h", "g"))
+    # Both sides of the index with itself are one exchange.
+    x, y = held.alias("x"), held.alias("y")
+    same = x.join(y, F.col("x.key") == F.col("y.key")).where("x.h < y.h").select("x.h", "x.counts", F.col("y.h").alias("g"), F.col("y.counts").alias("g_counts"))
+    met = same.where(near).select("h", "g").unionByName(held.join(asked, "key").where(f"h <> g and {near}").select("h", "g"))
     pairs = met.select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
     other = distinct.select(F.col("h").alias("g"), F.col("first").alias("g_first"), F.col("b").alias("g_b"))
     both = pairs.join(distinct, "h").join(other, "g")
