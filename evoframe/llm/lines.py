@@ -40,9 +40,19 @@ def far_counts(a: str, b: str, edits: int) -> str:
     return f"{' + '.join(f'least({d}, 16 - {d})' for d in apart)} > {2 * edits}"
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """(d, pos, line, h) of every line of every document; a null text is one empty line. h names the line."""
-    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+def _row(by_row: bool) -> list[str]:
+    """The columns that tell documents apart, in their order: the id, and by row a name of id and text besides."""
+    return ["d", "row"] if by_row else ["d"]
+
+
+def _named() -> dict[str, Column]:
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return {"d": d, "row": F.xxhash64(d, F.col("text").cast("binary"))}
+
+
+def places(docs: DataFrame, by_row: bool = False) -> DataFrame:
+    """(d, by row also row, pos, line, h) of every line of every document; a null text is one empty line. h names the line."""
+    lines = docs.select(*[_named()[c].alias(c) for c in _row(by_row)], F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     return lines.withColumn("h", F.xxhash64("line"))
 
 
@@ -103,16 +113,16 @@ def banded_distance(a: str, b: str, k: int) -> Column:
     return F.expr(f"transform(array(octet_length({a})), m -> aggregate(sequence(0, octet_length({b}) - 1), {start}, (s, i) -> {body}, s -> s.d))[0]")
 
 
-def near_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
+def near_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES, by_row: bool = False) -> DataFrame:
     """(h, first, near): the first place of every distinct line that isn't blank, and the first one of those within the edits that come before it.
 
     Should two lines ever have one 64-bit name, a second name of 32 bits tells, and they are left out: both stay.
     """
     if min_bytes < (edits + 1) ** 2:
         raise ValueError("lines that are compared need at least (edits + 1) squared bytes")
-    lines = places(docs).where("trim(line) <> ''")
+    lines = places(docs, by_row).where("trim(line) <> ''")
     again = F.hash(F.lit(1), "line")
-    distinct = lines.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.min(F.col("line").cast("binary")).alias("b"), F.min(again).alias("low"), F.max(again).alias("high"), F.min(letter_counts(F.col("line"))).alias("counts"))
+    distinct = lines.groupBy("h").agg(F.min(F.struct(*_row(by_row), "pos")).alias("first"), F.min(F.col("line").cast("binary")).alias("b"), F.min(again).alias("low"), F.max(again).alias("high"), F.min(letter_counts(F.col("line"))).alias("counts"))
     # All that use the lines' bytes ask for the same columns, so that one exchange of them serves all.
     distinct = distinct.where("low = high and first is not null and b is not null and counts is not null").select("h", "first", "b", "counts")
     long = distinct.select("h", "b", F.octet_length("b").alias("n"), "counts").where(F.col("n") >= min_bytes)
@@ -136,15 +146,16 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES)
     return distinct.select("h", "first").join(near, "h", "left")
 
 
-def judged_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(d, pos, repeated, near) of every line: whether an equal one stands before it, and if not, whether one within the edits does."""
-    lines = places(docs)
-    place = F.struct("d", "pos")
-    own = lines.select("d", "pos", "h", (F.trim("line") == "").alias("blank"))
-    facts = near_lines(docs, edits, min_bytes)
+def judged_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES, by_row: bool = False) -> DataFrame:
+    """(d, by row also row, pos, blank, repeated, near) of every line: whether an equal one stands before it, and if not, whether one within the edits does."""
+    lines = places(docs, by_row)
+    key = [*_row(by_row), "pos"]
+    place = F.struct(*key)
+    own = lines.select(*key, "h", (F.trim("line") == "").alias("blank"))
+    facts = near_lines(docs, edits, min_bytes, by_row)
     out = own.join(facts, "h", "left")
     repeated = F.coalesce(~F.col("blank") & (F.col("first") < place), F.lit(False))
-    return out.select("d", "pos", "blank", repeated.alias("repeated"), (~repeated & F.coalesce(F.col("near") < place, F.lit(False))).alias("near"))
+    return out.select(*key, "blank", repeated.alias("repeated"), (~repeated & F.coalesce(F.col("near") < place, F.lit(False))).alias("near"))
 
 
 def line_report(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -170,19 +181,21 @@ def line_report(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES)
 def drop_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """The documents, all their columns, with a text without the lines that go; a document goes if all its lines that aren't blank do.
 
-    Null texts stay null, blank ones stay as they are.
+    Null texts stay null, blank ones stay as they are. Of rows of equal id (or none) with different texts each loses only its own
+    lines, and the one of the smaller hash of id and text comes first; rows of equal id and text are one document.
     """
-    d, gone, some, left = fresh(docs, "d", "gone", "some", "left")
+    d, row, gone, some, left = fresh(docs, "d", "row", "gone", "some", "left")
     goes = F.col("repeated") | F.col("near")
     facts = (
-        judged_lines(docs, edits, min_bytes)
-        .groupBy(F.col("d").alias(d))
+        judged_lines(docs, edits, min_bytes, by_row=True)
+        .groupBy(F.col("d").alias(d), F.col("row").alias(row))
         .agg(F.collect_set(F.when(goes, F.col("pos"))).alias(gone), F.bool_or(~F.col("blank")).alias(some), F.bool_or(~F.col("blank") & ~goes).alias(left))
         .where(F.size(gone) > 0)
     )
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    own = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    out = own.join(facts, d, "left").where(F.col(gone).isNull() | F.col(left) | ~F.col(some))
+    named = _named()
+    own = docs.withColumns({d: named["d"], row: named["row"]})
+    out = own.join(facts, [d, row], "left").where(F.col(gone).isNull() | F.col(left) | ~F.col(some))
     return out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -229,9 +229,9 @@ def resolve_windows(sent: DataFrame, texts: int) -> DataFrame:
         smallest = doc[fresh][np.cumsum(fresh) - 1]
         hit = doc > smallest
         rows = []
-        for k, (d, x) in dealt(_text_target(doc[hit], texts), doc[hit], at[hit]):
+        for k, (d, x, n) in dealt(_text_target(doc[hit], texts), doc[hit], at[hit], name[hit]):
             by = np.lexsort((x, d))
-            rows.append((k, blob(np.zeros(0, "<u1"), np.diff(d[by], prepend=0).astype("<i8"), np.diff(x[by], prepend=0).astype("<i4"))))
+            rows.append((k, blob(np.zeros(0, "<u1"), np.diff(d[by], prepend=0).astype("<i8"), np.diff(x[by], prepend=0).astype("<i4"), *_context_bytes(n[by]))))
         return _table(rows)
 
     return sent.groupBy("target").applyInArrow(run, STEP_SQL)
@@ -244,12 +244,16 @@ def _removed(own: _Texts, a: int, b: int, offsets: np.ndarray, found: Anchors, f
         hit = _is_listed(own.ids[a + found.owner], _low(found.context, CONTEXT_BITS), *full)
         np.add.at(edge, found.first[hit], 1)
         np.add.at(edge, found.last[hit] + threshold, -1)
-    doc, at = windows
-    for k in range(a, b):  # equal ids: each such text has the string at that position or is shorter
+    doc, at, name = windows
+    for k in range(a, b):  # equal ids: only a text that has the string at that position loses it
         i, j = np.searchsorted(doc, own.ids[k], "left"), np.searchsorted(doc, own.ids[k], "right")
         if j > i:
-            p = at[i:j]
-            p = p[p + threshold <= offsets[k - a + 1] - offsets[k - a]] + offsets[k - a]
+            p, n = at[i:j], name[i:j]
+            fits = p + threshold <= offsets[k - a + 1] - offsets[k - a]
+            if not fits.any():
+                continue
+            p, n = p[fits] + offsets[k - a], n[fits]
+            p = p[_low(found.names.of(p, p + threshold), CONTEXT_BITS) == n]
             np.add.at(edge, p, 1)
             np.add.at(edge, p + threshold, -1)
     return np.cumsum(edge[:-1]) > 0
@@ -263,7 +267,7 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, digests: bool = False, ca
 
     Returns (doc_id, kept bytes, the columns to carry), with as_text whole characters as a string, or with digests counts and a hash of the kept bytes. Strings are judged on the input. A text of null
     or shorter than the threshold stays as it is; a null doc_id counts as the largest; rows of equal id never remove bytes from
-    each other, and what one of them loses at a position they all lose if they have the same text; an empty
+    each other, and each loses only strings that its own text has; an empty
     table gives no rows; further columns are ignored.
     """
     n = docs.count()
@@ -291,19 +295,20 @@ def _texts_by_group(own: DataFrame, texts: int) -> DataFrame:
 
 def _finish(by_text: DataFrame, steps: DataFrame, threshold: int, digests: bool, as_text: bool) -> DataFrame:
     def run(t: pa.Table, steps: pa.Table) -> pa.Table:
-        full, windows = ([], []), ([], [])
+        full, windows = ([], []), ([], [], [])
         for p in steps["payload"]:
             x = unblob(p.as_py())
-            if len(x) == 3:
+            if len(x) == 5:
                 windows[0].append(np.cumsum(x[1]))
                 windows[1].append(np.cumsum(x[2], dtype=np.int64))
+                windows[2].append(_context(x[3], x[4]))
             else:
                 full[0].append(x[0])
                 full[1].append(_context(x[1], x[2]))
         join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-        full, doc, at = (join(full[0], np.int64), join(full[1], U64)), join(windows[0], np.int64), join(windows[1], np.int64)
+        full, doc, at, name = (join(full[0], np.int64), join(full[1], U64)), join(windows[0], np.int64), join(windows[1], np.int64), join(windows[2], U64)
         order = np.lexsort((at, doc))
-        windows, out = (doc[order], at[order]), []
+        windows, out = (doc[order], at[order], name[order]), []
         own = _Texts(t, threshold)
         for a, b, data, offsets, found in own.blocks():
             gone = _removed(own, a, b, offsets, found, full, windows, threshold)

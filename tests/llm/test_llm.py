@@ -202,6 +202,22 @@ def test_null_ids_come_last(spark):
     assert got == Counter({(None, True): 1, (9, True): 1, (7, False): 1})
 
 
+def test_passages_of_one_id_go_from_their_own_text(spark):
+    """The passage stands at one place of one text of the id; the other texts of the id have other bytes there."""
+    rng = random.Random(15)
+    shared = words(rng, 40)
+    lead = words(rng, 30)[:120]
+    texts, ids = [words(rng, 20) + shared], [1]
+    for i in (5, None):
+        texts += [lead[::-1] + shared + words(rng, 25), words(rng, 150), words(rng, 4)]
+        ids += [i] * 3
+    out = [(r.doc_id, r.text) for r in passages.drop_passages(documents(spark, texts, ids)).collect()]
+    for i, t in zip(ids, texts, strict=True):
+        if shared not in t or i == 1:
+            assert (i, t) in out
+    assert all(t not in [x for _, x in out] for i, t in zip(ids, texts, strict=True) if shared in t and i != 1)
+
+
 # --- 4 byte-level BPE
 
 
@@ -471,6 +487,20 @@ def test_lines(spark):
     assert lines.line_report(documents(spark, [])).count() == 0
 
 
+def test_lines_go_from_their_own_row(spark):
+    """Rows without an id, or of one id, with different texts: a repeated line at a place takes no other row's line there."""
+    own = [f"{chr(97 + k) * 30} first\n{chr(97 + k) * 30} second" for k in range(6)]
+    texts = ["common line of the corpus", f"{own[0]}\ncommon line of the corpus", f"{own[1]}\nonly here, third", f"{own[2]}\ncommon line of the corpus", f"{own[3]}\nonly there, third"]
+    ids = [1, None, None, 7, 7]
+    got = Counter((r.doc_id, r.text) for r in lines.drop_lines(documents(spark, texts, ids)).collect())
+    assert got == Counter(zip(ids, [texts[0], own[0], texts[2], own[2], texts[4]], strict=True))
+    # Equal lines at equal places of rows without an id: one stays; a document goes only with its own lines.
+    texts = [f"{own[0]}\nboth have this", f"{own[1]}\nboth have this", own[4], f"{own[4]}\n{own[5]}"]
+    out = [r.text for r in lines.drop_lines(documents(spark, texts, [None] * 4)).collect()]
+    every = [x for t in out for x in t.split("\n")]
+    assert Counter(every) == Counter({x for t in texts for x in t.split("\n")})
+
+
 # --- 10 search
 
 
