@@ -174,10 +174,10 @@ def starter_code(x: Column) -> Column:
     return F.when((x == "") | x.endswith(tail), x).otherwise(F.concat(strip(x), F.lit(tail)))
 
 
-#: What is taken out of logs, in this order, whatever the case.
+#: What is taken out of logs, in this order, whatever the case; letters and white space are Unicode's.
 SECRETS = (
     ("[A-Za-z0-9]{32,}", "<REDACTED_TOKEN>"), ("sk-[A-Za-z0-9]{48}", "<REDACTED_API_KEY>"),
-    (r"password[=:]\s*[^\s]+", "password=<REDACTED>"), (r"token[=:]\s*[^\s]+", "token=<REDACTED>"),
+    (f"password[=:]{WHITE}*{WHITE.replace('[', '[^', 1)}+", "password=<REDACTED>"), (f"token[=:]{WHITE}*{WHITE.replace('[', '[^', 1)}+", "token=<REDACTED>"),
 )
 ANSI = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 
@@ -185,7 +185,7 @@ ANSI = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 def redacted(x: Column) -> Column:
     out = F.regexp_replace(x, ANSI, "")
     for pattern, instead in SECRETS:
-        out = F.regexp_replace(out, f"(?i){pattern}", instead)
+        out = F.regexp_replace(out, f"(?iu){pattern}", instead)
     return out
 
 

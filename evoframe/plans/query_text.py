@@ -66,8 +66,18 @@ def judge_summary(spark, sf):
 @query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' Password= abc' || doc_id || ' token:x', '[A-Za-z0-9]{32,}', '<REDACTED_TOKEN>', 'gi'), 'sk-[A-Za-z0-9]{48}', '<REDACTED_API_KEY>', 'gi'),
 'password[=:]\\s*[^\\s]+', 'password=<REDACTED>', 'gi'), 'token[=:]\\s*[^\\s]+', 'token=<REDACTED>', 'gi') AS text FROM documents WHERE strlen(text) = length(text)""")
 def redact(spark, sf):
+    """The ASCII part of redact_all, which is what its SQL can be held against."""
+    return _redacted(_d(spark, sf).where(ASCII))
+
+
+@query()
+def redact_all(spark, sf):
+    return _redacted(_d(spark, sf))
+
+
+def _redacted(docs):
     text = F.concat("text", F.lit("\x1b[31m Password= abc\x1b[0m"), F.col("doc_id").cast("string"), F.lit(" token:x"))
-    return _d(spark, sf).where(ASCII).select("doc_id", T.redacted(text).alias("text"))
+    return docs.select("doc_id", T.redacted(text).alias("text"))
 
 
 @query("SELECT doc_id, 'a' || chr(10) || doc_id || chr(10) || 'b' AS text FROM documents")
