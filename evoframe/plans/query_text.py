@@ -187,11 +187,19 @@ def evolve_blocks(spark, sf):
 
 @query("SELECT a.doc_id, CAST(levenshtein(left(a.text, 200), left(b.text, 200)) AS INTEGER) AS distance FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE strlen(a.text) = length(a.text) AND strlen(b.text) = length(b.text)")
 def edit_distance(spark, sf):
+    """The first 200 characters of neighbours that are both ASCII, which is what its SQL can be held against."""
     d = _d(spark, sf).where(ASCII)
     b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.left("text", F.lit(200)).alias("other"))
     return d.join(b, "doc_id").select("doc_id", T.edit_distance(F.left("text", F.lit(200)), F.col("other")).alias("distance"))
 
 
+@query()
+def edit_distance_all(spark, sf):
+    d = _d(spark, sf).select("doc_id", "text")
+    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return d.join(b, "doc_id").select("doc_id", T.whole_edit_distance(F.col("text"), F.col("other")).alias("distance"))
+
+
 @query("SELECT id, 'score=' || printf('%.4f', score) || CASE WHEN quality IS NULL THEN '' ELSE '' END AS text FROM programs WHERE quality IS NULL AND id % 97 <> 0")
 def metric_format(spark, sf):
     p = views.programs(spark, sf, code=False).where((F.col("id") % 97 != 0) & ~F.map_contains_key("metrics", F.lit("quality")))

@@ -1,5 +1,6 @@
 """Queries and operators over all rows and whole texts, against brute force."""
 
+import random
 import re
 
 import pytest
@@ -30,3 +31,22 @@ def test_redact_all(spark, tmp_path):
     got = {r.doc_id: r.text for r in QUERIES["redact_all"](spark, sf).collect()}
     assert got == {i: brute_redacted(f"{t}\x1b[31m Password= abc\x1b[0m{i} token:x") for i, t in enumerate(texts)}
     assert spark.read.parquet(f"{SF}/documents.parquet").count() == QUERIES["redact_all"](spark, SF).count()
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distance_all(spark, tmp_path):
+    rng = random.Random(3)
+    texts = ["", "", "kitten", "sitting", "a" * 300 + "x", "a" * 300 + "yz", "caf\u00e9 \U0001f600", "cafe", None, "b"]
+    texts += ["".join(rng.choice("ab\u00e9c") for _ in range(rng.randint(0, 400))) for _ in range(25)]
+    texts += [texts[-1][:100] + "\u4e2d" + texts[-1][90:]]
+    sf = table(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.distance for r in QUERIES["edit_distance_all"](spark, sf).collect()}
+    assert got == {i: None if a is None or b is None else brute_distance(a, b) for i, (a, b) in enumerate(zip(texts, texts[1:]))}
