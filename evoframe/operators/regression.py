@@ -27,15 +27,44 @@ def regression_metrics(rows: DataFrame, by: str, y: str = "y", pred: str = "y_ha
     )
 
 
+def _inversions(ranks: np.ndarray, weights: np.ndarray) -> int:
+    """Weight of the pairs whose first rank is greater: bit by bit, the pairs that agree above it and differ in it."""
+    total = 0
+    for bit in range(int(ranks.max()).bit_length()):
+        order = np.argsort(ranks >> (bit + 1), kind="stable")
+        high, one, w = ranks[order] >> (bit + 1), (ranks[order] >> bit) & 1, weights[order]
+        ones = np.cumsum(one * w)
+        starts = np.flatnonzero(np.append(True, high[1:] != high[:-1]))
+        before = np.repeat(np.append(0, ones)[starts], np.diff(np.append(starts, len(high))))
+        total += int(np.sum((1 - one) * w * (ones - before)))
+    return total
+
+
+def _tau(y: np.ndarray, p: np.ndarray, weights: np.ndarray) -> float:
+    """Tau-b of distinct pairs of values with their counts, in n log n."""
+    if np.isnan(y).any():
+        return float("nan")
+    pairs = lambda n: int(np.sum(n * (n - 1) // 2))
+    y, p = np.unique(y, return_inverse=True)[1], np.unique(p, return_inverse=True)[1]
+    tied = lambda x: pairs(np.bincount(x, weights).astype(np.int64))
+    order = np.lexsort((p, y))
+    every = pairs(np.array([weights.sum()]))
+    u, v = every - tied(y), every - tied(p)
+    s = every - tied(y) - tied(p) + pairs(weights) - 2 * _inversions(p[order], weights[order])
+    return s / (np.sqrt(u) * np.sqrt(v)) if u and v else float("nan")
+
+
 def kendall_tau(rows: DataFrame, by: str, ordinal: str, y: str = "y", pred: str = "y_hat") -> DataFrame:
-    """Tau-b of each group: all pairs within a group, so groups are to be bounded first; under two rows, or without a spread, NaN."""
-    used = rows.where(~F.isnan(pred)).select(by, ordinal, F.col(y).alias("y"), F.col(pred).alias("p"))
-    a, b = used.alias("a"), used.alias("b")
-    pairs = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col(f"a.{ordinal}") < F.col(f"b.{ordinal}")))
-    sy, sp = F.signum(F.col("a.y") - F.col("b.y")), F.signum(F.col("a.p") - F.col("b.p"))
-    sums = pairs.groupBy(F.col(f"a.{by}").alias(by)).agg(F.sum(sy * sp).alias("s"), F.sum(sy * sy).alias("u"), F.sum(sp * sp).alias("v"))
-    tau = sums.select(by, F.coalesce(F.try_divide(F.col("s"), F.sqrt("u") * F.sqrt("v")), F.lit(float("nan"))).alias("tau"))
-    return used.select(by).distinct().join(tau, by, "left").na.fill(float("nan"), ["tau"])
+    """Tau-b of each whole group, without NaN predictions and nulls; under two rows, or without a spread, NaN. Equal pairs of values are counted
+    first, so a group's distinct pairs are to fit in memory. The ordinal isn't needed: pairs have no order."""
+    values = rows.where(~F.isnan(pred)).select(by, F.col(y).cast("double").alias("y"), F.col(pred).cast("double").alias("p"))
+    counts = values.where("y is not null and p is not null").groupBy(by, "y", "p").agg(F.count("*").alias("n"))
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({by: [t[by].iloc[0]], "tau": [_tau(t["y"].to_numpy(), t["p"].to_numpy(), t["n"].to_numpy())]})
+
+    tau = counts.groupBy(by).applyInPandas(run, f"{by} {rows.schema[by].dataType.simpleString()}, tau double")
+    return values.select(by).distinct().join(tau, by, "left").na.fill(float("nan"), ["tau"])
 
 
 def rolled_up(metrics: DataFrame, by: str, names: list[str]) -> DataFrame:

@@ -332,6 +332,7 @@ _FEW = "SELECT * FROM (SELECT l_suppkey AS grp, l_extendedprice AS y, l_quantity
 @query(f"""WITH f AS ({_FEW}), s AS (SELECT a.grp, sum(sign(a.y - b.y) * sign(a.p - b.p)) AS s, sum(abs(sign(a.y - b.y))) AS u, sum(abs(sign(a.p - b.p))) AS v FROM f a JOIN f b ON a.grp = b.grp AND a.k < b.k GROUP BY 1)
 SELECT grp, round(s / (sqrt(u) * sqrt(v)), 6) AS tau FROM s""")
 def kendall_tau(spark, sf):
+    """The first 60 lines of each supplier, which is what its SQL can be held against."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
@@ -340,6 +341,13 @@ def kendall_tau(spark, sf):
     return E.kendall_tau(rows, "grp", "k").select("grp", F.round("tau", 6).alias("tau"))
 
 
+@query()
+def kendall_tau_all(spark, sf):
+    line = views.read(spark, sf, "lineitem")
+    rows = line.select(F.col("l_suppkey").alias("grp"), F.col("l_linenumber").alias("k"), F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("y_hat"))
+    return E.kendall_tau(rows, "grp", "k").select("grp", F.round("tau", 6).alias("tau"))
+
+
 @query("""WITH t AS (SELECT grp, count(value) AS ok, count(*) AS n, avg(value) AS v, avg(sqrt((x + 1.704) ** 2 + (y - 0.678) ** 2)) FILTER (WHERE value IS NOT NULL) AS d, avg(seconds) FILTER (WHERE value IS NOT NULL) AS s,
 stddev_pop(x) FILTER (WHERE value IS NOT NULL) AS sd, arg_max(sqrt((x + 1.704) ** 2 + (y - 0.678) ** 2), trial) FILTER (WHERE value IS NOT NULL) AS last FROM trials GROUP BY grp),
 c AS (SELECT grp, last, 1 / (1 + abs(v + 1.519)) AS vs, 1 / (1 + d) AS ds, 1 / (1 + sd) AS ss, least(CASE WHEN s > 0 THEN 1 / s ELSE 0 END, 10) / 10 AS sp, ok / CAST(n AS DOUBLE) AS rel FROM t WHERE ok > 0),

@@ -1,6 +1,7 @@
 """Queries and operators over all rows and whole texts, against brute force."""
 
 import random
+import math
 import re
 
 import pytest
@@ -50,3 +51,17 @@ def test_edit_distance_all(spark, tmp_path):
     sf = table(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.distance for r in QUERIES["edit_distance_all"](spark, sf).collect()}
     assert got == {i: None if a is None or b is None else brute_distance(a, b) for i, (a, b) in enumerate(zip(texts, texts[1:]))}
+
+
+def brute_tau(rows):
+    sign = lambda x: (x > 0) - (x < 0)
+    d = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for i, a in enumerate(rows) for b in rows[:i]]
+    return sum(x * y for x, y in d) / (math.sqrt(sum(x * x for x, _ in d)) * math.sqrt(sum(y * y for _, y in d)))
+
+
+def test_kendall_tau_all(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(g, i, 1, i, float(rng.randrange(1, 90)) + i % 70, float(rng.randrange(1, 9 + 20 * g))) for g in (1, 2) for i in range(150 * g)]
+    sf = table(spark, tmp_path, "lineitem", rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double")
+    got = {r.grp: r.tau for r in QUERIES["kendall_tau_all"](spark, sf).collect()}
+    assert got == {g: pytest.approx(brute_tau([r[4:] for r in rows if r[0] == g]), abs=2e-6) for g in (1, 2)}
