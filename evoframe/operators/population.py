@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evoframe.functions.metrics import bin_of, cell_key, complexity_bin, fitness, hash_order, metric, safe_average
-from evoframe.functions.text import edit_distance
+from evoframe.functions.text import whole_edit_distance
 from evoframe.operators.relational import unit_interval
 
 
@@ -117,13 +117,15 @@ def island_stats(programs: DataFrame, islands: int) -> DataFrame:
     return every.join(stats, "island", "left").na.fill(0).na.fill(0.0)
 
 
-def island_diversity(programs: DataFrame, sample: int = 10, most: int = 200) -> DataFrame:
-    """Mean edit distance of the first `most` characters over all pairs of a fixed sample of each island; under two members 0."""
+def island_diversity(programs: DataFrame, sample: int = 10, most: int | None = None) -> DataFrame:
+    """Mean edit distance of whole code (or of its first `most` characters) over all pairs of a fixed sample of each island; under two members 0."""
     order = Window.partitionBy("island").orderBy(hash_order("div", F.col("id")), "id")
-    few = programs.select("island", "id", F.left("code", F.lit(most)).alias("code"), F.row_number().over(order).alias("k")).where(F.col("k") <= sample)
+    few = programs.select("island", "id", (F.left("code", F.lit(most)) if most else F.col("code")).alias("code"), F.row_number().over(order).alias("k")).where(F.col("k") <= sample)
     a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, (F.col("a.island") == F.col("b.island")) & (F.col("a.k") < F.col("b.k")))
-    mean = pairs.groupBy(F.col("a.island").alias("island")).agg(F.avg(edit_distance(F.col("a.code"), F.col("b.code"))).alias("diversity"))
+    # The pairs are dealt out, as the islands are few and whole texts may be long.
+    pairs = pairs.select(F.col("a.island").alias("island"), F.col("a.code").alias("code"), F.col("b.code").alias("other")).repartition("code", "other")
+    mean = pairs.select("island", whole_edit_distance(F.col("code"), F.col("other")).alias("distance")).groupBy("island").agg(F.avg("distance").alias("diversity"))
     return few.select("island").distinct().join(mean, "island", "left").na.fill(0.0)
 
 

@@ -171,8 +171,14 @@ def island_stats(spark, sf):
 @query("""WITH f AS (SELECT * FROM (SELECT island, id, left(code, 200) AS code, row_number() OVER (PARTITION BY island ORDER BY md5('div|' || id::VARCHAR), id) AS k FROM programs WHERE language = 'en' AND strlen(code) = length(code)) WHERE k <= 10)
 SELECT f.island, round(avg(levenshtein(f.code, g.code)), 6) AS diversity FROM f JOIN f g ON f.island = g.island AND f.k < g.k GROUP BY 1""")
 def island_diversity(spark, sf):
+    """English ASCII programs by their first 200 characters, which is what its SQL can be held against."""
     p = _p(spark, sf, True).where((F.col("language") == "en") & (F.octet_length("code") == F.length("code")))
-    return P.island_diversity(p).withColumn("diversity", F.round("diversity", 6))
+    return P.island_diversity(p, most=200).withColumn("diversity", F.round("diversity", 6))
+
+
+@query()
+def island_diversity_all(spark, sf):
+    return P.island_diversity(_p(spark, sf, True)).withColumn("diversity", F.round("diversity", 6))
 
 
 @query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY best_fit DESC, seq) AS rank, count(*) OVER (PARTITION BY island) AS n FROM bests), c AS (SELECT * FROM r WHERE rank <= greatest(1, floor(n * 0.1)))

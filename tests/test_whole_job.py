@@ -65,3 +65,14 @@ def test_kendall_tau_all(spark, tmp_path):
     sf = table(spark, tmp_path, "lineitem", rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double")
     got = {r.grp: r.tau for r in QUERIES["kendall_tau_all"](spark, sf).collect()}
     assert got == {g: pytest.approx(brute_tau([r[4:] for r in rows if r[0] == g]), abs=2e-6) for g in (1, 2)}
+
+
+def test_island_diversity_all(spark, tmp_path):
+    rng = random.Random(7)
+    docs = [(i, "a" * 250 + "".join(rng.choice("xy\u00e9") for _ in range(rng.randint(0, 60))), ("en", "de")[i % 2], 9) for i in range(23)]
+    table(spark, tmp_path, "labels", [(0, 1, 0)], "doc_id long, quality int, toxic int")
+    sf = table(spark, tmp_path, "documents", docs, "doc_id long, text string, lang string, n_chars long")
+    got = {r.island: r.diversity for r in QUERIES["island_diversity_all"](spark, sf).collect()}
+    members = {k: [t for i, t, *_ in docs if i % 5 == k] for k in range(5)}
+    mean = lambda x: sum(x) / len(x)
+    assert got == {k: pytest.approx(mean([brute_distance(a, b) for i, a in enumerate(m) for b in m[:i]]), abs=1e-6) for k, m in members.items()}
