@@ -377,7 +377,7 @@ def random_search_min(spark, sf):
 
 @query()
 def multi_restart_fit(spark, sf):
-    rows = views.regression(spark, sf).where("grp <= 10").select("grp", F.array(F.col("x") / 50).alias("x"), (F.col("y") / 1e5).alias("y"))
+    rows = views.regression(spark, sf).select("grp", F.array(F.col("x") / 50).alias("x"), (F.col("y") / 1e5).alias("y"))
     return E.multi_restart_fit(rows, "grp", 1)
 
 

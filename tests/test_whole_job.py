@@ -2,6 +2,7 @@
 
 import random
 import math
+import numpy as np
 import re
 
 import pytest
@@ -76,3 +77,22 @@ def test_island_diversity_all(spark, tmp_path):
     members = {k: [t for i, t, *_ in docs if i % 5 == k] for k in range(5)}
     mean = lambda x: sum(x) / len(x)
     assert got == {k: pytest.approx(mean([brute_distance(a, b) for i, a in enumerate(m) for b in m[:i]]), abs=1e-6) for k, m in members.items()}
+
+
+def test_multi_restart_fit_of_every_group(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [(g, i, float(x), float(x * 900 + rng.normal() * 1e4)) for g in range(1, 25) for i, x in enumerate(rng.integers(1, 51, 40))]
+    sf = table(spark, tmp_path, "lineitem", rows, "l_suppkey long, l_orderkey long, l_quantity double, l_extendedprice double")
+    got = {r.grp: (r.params, r.mse) for r in QUERIES["multi_restart_fit"](spark, sf).collect()}
+    assert sorted(got) == list(range(1, 25))
+    for g, (params, mse) in got.items():
+        x = np.array([[r[2] / 50, 1.0] for r in rows if r[0] == g])
+        y = np.array([r[3] / 1e5 for r in rows if r[0] == g])
+        draw, best = np.random.default_rng(0), (np.inf, None)
+        rate = 1.0 / np.linalg.eigvalsh(x.T @ x / len(x))[-1]
+        for _ in range(10):
+            p = draw.standard_normal(2)
+            for _ in range(200):
+                p -= rate * (x.T @ (x @ p - y) / len(x))
+            best = min(best, (float(np.mean((x @ p - y) ** 2)), p.tolist()))
+        assert mse == pytest.approx(best[0], rel=1e-6) and params == pytest.approx(best[1], rel=1e-6)
