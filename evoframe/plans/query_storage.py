@@ -50,20 +50,15 @@ def jsonl_roundtrip(spark, sf):
 
 
 def _files(spark: SparkSession, df: DataFrame, name: str, text: str) -> str:
-    """Few small files for the readers: one folder, a file for each row."""
+    """Small files for the readers: one folder, a file for each row; the executors write them. A name can hold folders. Null rows have no file."""
     path = scratch(spark)
-    conf, hadoop = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(conf)
-    for r in df.select(name, text).orderBy(name).limit(20).collect():
-        out = fs.create(hadoop(f"{path}/{r[0]}"))
-        out.write(bytearray(r[1].encode() if isinstance(r[1], str) else r[1]))
-        out.close()
+    S.write_files(df.select(F.col(name).alias("name"), F.col(text).cast("binary").alias("content")), path)
     return path
 
 
 @query()
 def dir_of_json(spark, sf):
-    p = _programs(spark, sf).where("cast(id as int) < 10").drop("island")
+    p = _programs(spark, sf).drop("island")
     text = F.when(F.col("id") == "3", "{broken").otherwise(F.to_json(F.struct(*p.columns)))
     path = _files(spark, p.select(F.concat("id", F.lit(".json")).alias("name"), text.alias("text")), "name", "text")
     return S.read_json_dir(spark, path).select("id", "parent_id", "generation")
@@ -71,26 +66,28 @@ def dir_of_json(spark, sf):
 
 @query()
 def event_log(spark, sf):
-    c = views.read(spark, sf, "conversations").where("conv_id = 0").select(F.concat(F.col("turn").cast("string"), F.lit(".json")).alias("name"), F.to_json(F.struct("role", "text")).alias("text"))
-    return S.read_event_log(spark, _files(spark, c, "name", "text"), "role STRING, text STRING").orderBy("seq")
+    """A folder for each conversation, a file for each turn."""
+    name = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".json"))
+    c = views.read(spark, sf, "conversations").select(name.alias("name"), F.to_json(F.struct("role", "text")).alias("text"))
+    return S.read_event_logs(spark, _files(spark, c, "name", "text"), "role STRING, text STRING").withColumn("log", F.col("log").cast("long")).orderBy("log", "seq")
 
 
 @query()
 def artifact_dir(spark, sf):
-    d = views.read(spark, sf, "documents").where("doc_id < 6").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("name"), F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("FFFE"))).otherwise(F.left("text", F.lit(20)).cast("binary")).alias("content"))
+    d = views.read(spark, sf, "documents").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("name"), F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("FFFE"))).otherwise(F.col("text").cast("binary")).alias("content"))
     return S.read_artifacts(spark, _files(spark, d, "name", "content"))
 
 
 @query()
 def latest_checkpoint(spark, sf):
-    paths = views.read(spark, sf, "documents").where("doc_id < 30").select(F.concat(F.lit("base/checkpoint_"), F.col("doc_id").cast("string")).alias("path"))
+    paths = views.read(spark, sf, "documents").select(F.concat(F.lit("base/checkpoint_"), F.col("doc_id").cast("string")).alias("path"))
     return S.latest_by_number(paths)
 
 
 @query()
 def results_write(spark, sf):
     path = scratch(spark)
-    v = views.verification(spark, sf).where("instance < 50")
+    v = views.verification(spark, sf)
     S.write_results(v, path, "testing")
     return spark.read.schema("instance LONG, solution LONG, result BOOLEAN, testing LONG").json(path)
 
@@ -125,8 +122,8 @@ def evolve_smoke(spark, sf):
 def stream_counts(spark, sf):
     from evoframe.streaming.counts import arriving, running_counts
 
-    path, name = scratch(spark), f"counts_{uuid.uuid4().hex[:8]}"
-    views.verification(spark, sf).where("instance < 200").write.parquet(path)
-    q = running_counts(arriving(spark, path)).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    path, out = scratch(spark), scratch(spark)
+    views.verification(spark, sf).write.parquet(path)
+    q = running_counts(arriving(spark, path)).writeStream.foreachBatch(lambda counts, _: counts.write.mode("overwrite").parquet(out)).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(out)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from evoframe.functions.text import safe_file_name
@@ -59,6 +60,33 @@ def read_event_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("seq", F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.json$", 1).try_cast("long")).where("seq is not null")
 
 
+def read_event_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Folders of event logs, with the folder's name as log."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    seq = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.json$", 1).try_cast("long")
+    return rows.withColumns({"seq": seq, "log": F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)}).where("seq is not null")
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """name, content (binary): a file under the path for each row with both, written by the executors into a folder that all of them share."""
+
+    def write(part: Iterator[Row]) -> None:
+        from pyarrow.fs import FileSystem
+
+        fs, root = FileSystem.from_uri(path)
+        made = set()
+        for name, content in part:
+            at = f"{root}/{name}"
+            folder = at.rpartition("/")[0]
+            if folder not in made:
+                fs.create_dir(folder, recursive=True)
+                made.add(folder)
+            with fs.open_output_stream(at) as out:
+                out.write(content)
+
+    rows.select("name", "content").where("name is not null and content is not null").foreachPartition(write)
+
+
 def read_templates(spark: SparkSession, path: str, defaults: dict[str, str]) -> DataFrame:
     """(name, text): *.txt files override the defaults."""
     base = spark.createDataFrame(list(defaults.items()), "name STRING, text STRING")

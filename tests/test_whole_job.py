@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evoframe.functions import text as T
-from evoframe.plans import catalogue
+from collections import Counter
+from evoframe.plans import catalogue, views
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = catalogue.load()
@@ -96,3 +97,21 @@ def test_multi_restart_fit_of_every_group(spark, tmp_path):
                 p -= rate * (x.T @ (x @ p - y) / len(x))
             best = min(best, (float(np.mean((x @ p - y) ** 2)), p.tolist()))
         assert mse == pytest.approx(best[0], rel=1e-6) and params == pytest.approx(best[1], rel=1e-6)
+
+
+def test_storage_queries_take_whole_tables(spark):
+    docs, turns = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/conversations.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    programs = {int(r.id) for r in QUERIES["dir_of_json"](spark, SF).collect()}
+    assert programs == set(texts) - {3}
+    log = Counter((r.log, r.seq, r.role, r.text) for r in QUERIES["event_log"](spark, SF).collect())
+    assert log == Counter((r.conv_id, r.turn, r.role, r.text) for r in turns.collect())
+    files = {r.name: (r.text, r.bytes) for r in QUERIES["artifact_dir"](spark, SF).collect()}
+    assert files == {f"a{i}": (None, bytearray(b"\xff\xfe")) if i % 2 == 0 else (t, None) for i, t in texts.items()}
+    assert QUERIES["latest_checkpoint"](spark, SF).first().path == f"base/checkpoint_{max(texts)}"
+    v = views.verification(spark, SF)
+    names = ["instance", "solution", "result", "testing"]
+    assert QUERIES["results_write"](spark, SF).select(names).exceptAll(v.select(names)).count() == 0
+    assert QUERIES["results_write"](spark, SF).count() == v.count() > 1000
+    counts = QUERIES["stream_counts"](spark, SF)
+    assert counts.select("instance").distinct().count() == v.select("instance").distinct().count()
