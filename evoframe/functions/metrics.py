@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,8 +52,13 @@ def feedback(m: Column, name: str = "llm_", weight: float = 1.0) -> Column:
 
 
 def formatted(m: Column, pattern: str = "%s=%.4f", separator: str = ", ") -> Column:
+    """Sorted by name; nan and inf in small letters, with a sign where the pattern has one."""
     entries = F.array_sort(F.map_entries(m))
-    return F.array_join(F.transform(entries, lambda e: F.format_string(pattern, e["key"], e["value"])), separator)
+    odd, sign = re.sub(r"%\+?\.\d+f", "%s", pattern), F.lit("+" if "%+" in pattern else "")
+    v = lambda e: e["value"]
+    name = lambda e: F.when(F.isnan(v(e)), F.concat(sign, F.lit("nan"))).when(v(e) == float("inf"), F.concat(sign, F.lit("inf"))).when(v(e) == float("-inf"), "-inf")
+    one = lambda e: F.when(name(e).isNotNull(), F.format_string(odd, e["key"], name(e))).otherwise(F.format_string(pattern, e["key"], v(e)))
+    return F.array_join(F.transform(entries, one), separator)
 
 
 def improvement(parent: Column, child: Column) -> Column:

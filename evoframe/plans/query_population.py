@@ -237,8 +237,19 @@ def lineage_edges(spark, sf):
 
 @query("SELECT island, id, language FROM programs WHERE id < 100")
 def island_members(spark, sf):
+    """Programs with an id under 100, which is what its SQL can be held against."""
     p = _p(spark, sf)
-    members = p.where("id < 100").groupBy("island").agg(F.collect_list("id").alias("members"))
+    return _members(p.where("id < 100"), p)
+
+
+@query()
+def island_members_all(spark, sf):
+    p = _p(spark, sf)
+    return _members(p, p)
+
+
+def _members(chosen, p):
+    members = chosen.groupBy("island").agg(F.collect_list("id").alias("members"))
     members = members.withColumn("members", F.array_append("members", F.lit(-7).cast("long")))
     return L.island_nodes(members, p).select("island", "id", "language")
 

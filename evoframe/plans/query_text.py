@@ -202,10 +202,16 @@ def edit_distance_all(spark, sf):
 
 @query("SELECT id, 'score=' || printf('%.4f', score) || CASE WHEN quality IS NULL THEN '' ELSE '' END AS text FROM programs WHERE quality IS NULL AND id % 97 <> 0")
 def metric_format(spark, sf):
+    """Programs with one metric that is a number, which is what its SQL can be held against."""
     p = views.programs(spark, sf, code=False).where((F.col("id") % 97 != 0) & ~F.map_contains_key("metrics", F.lit("quality")))
     return p.select("id", M.formatted(F.col("metrics")).alias("text"))
 
 
+@query()
+def metric_format_all(spark, sf):
+    return views.programs(spark, sf, code=False).select("id", M.formatted(F.col("metrics")).alias("text"))
+
+
 @query("SELECT doc_id, CASE doc_id % 18 WHEN 0 THEN 'New' WHEN 1 THEN 'New' WHEN 2 THEN 'Waiting for compile' WHEN 3 THEN 'Compiling' WHEN 4 THEN 'Waiting for run' WHEN 5 THEN 'Running' WHEN 6 THEN 'Judge Error' WHEN 8 THEN 'Compile Error' WHEN 9 THEN 'Run Time Error' WHEN 10 THEN 'Memory Limit Exceeded' WHEN 11 THEN 'Output Limit Exceeded' WHEN 12 THEN 'Time Limit Exceeded' WHEN 13 THEN 'Illegal Function' WHEN 14 THEN 'Wrong Answer' WHEN 16 THEN 'Accepted' ELSE 'Unknown status ' || (doc_id % 18) END AS status FROM documents")
 def status_text(spark, sf):
     return _d(spark, sf).select("doc_id", T.status_text(F.col("doc_id") % 18).alias("status"))
@@ -317,7 +323,7 @@ def path_safe(spark, sf):
 
 @query()
 def byte_decode(spark, sf):
-    return _d(spark, sf).select("doc_id", T.decoded(F.concat(F.unhex(F.lit("FFFE")), F.left("text", F.lit(10)).cast("binary"))).alias("text"))
+    return _d(spark, sf).select("doc_id", T.decoded(F.concat(F.unhex(F.lit("FFFE")), F.col("text").cast("binary"))).alias("text"))
 
 
 @query()

@@ -115,3 +115,13 @@ def test_storage_queries_take_whole_tables(spark):
     assert QUERIES["results_write"](spark, SF).count() == v.count() > 1000
     counts = QUERIES["stream_counts"](spark, SF)
     assert counts.select("instance").distinct().count() == v.select("instance").distinct().count()
+
+
+def test_members_formats_and_bytes_of_every_row(spark):
+    p = {r.id: r for r in views.programs(spark, SF).collect()}
+    got = Counter((r.island, r.id, r.language) for r in QUERIES["island_members_all"](spark, SF).collect())
+    assert got == Counter((r.island, i, r.language) for i, r in p.items()) and max(p) >= 100
+    shown = {r.id: r.text for r in QUERIES["metric_format_all"](spark, SF).collect()}
+    assert shown == {i: ", ".join(f"{k}={v:.4f}" for k, v in sorted(r.metrics.items())) for i, r in p.items()}
+    assert "noise=nan" in shown[97] and any("quality=" in t for t in shown.values())
+    assert {r.doc_id: r.text for r in QUERIES["byte_decode"](spark, SF).collect()} == {i: (b"\xff\xfe" + r.code.encode()).decode(errors="replace") for i, r in p.items()}
