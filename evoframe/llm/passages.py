@@ -1,17 +1,25 @@
 """Removal of repeated passages: prefix doubling over the corpus's byte positions, as far as needed to compare strings of the threshold's length.
 
-Round 1 ranks strings of half the threshold; round 2 ranks, at the offset of another half, pairs of them, which names strings
-of the full threshold. A plain doubling sorts every byte position in each round. Here round 1 sorts only anchors (about one
-position in thirteen; every string of the threshold's length has one, fixed by its bytes), together with a name
-of the anchor's whole neighbourhood: strings around an anchor whose rank is unique are unique; neighbourhoods that agree as a
-whole are repeated past the threshold. Only positions that are neither go to round 2. Ranks are names (64-bit hashes), so
-equal strings in different tasks have equal ranks without a global sort; round 2 compares 88 bits.
+Ranks are 64-bit names, so equal strings of different tasks have equal ranks. Half the threshold is ranked where the text is read.
+From there on, Spark deals (position, rank pair) entries out by rank and they are sorted at growing offsets, reranked by the pair, and
+leave when they are unique or past the threshold:
+
+1. offset 0: anchors, sorted by their rank. One whose rank stands in one document only is unique, and so is each string around it.
+2. the offset between the two ends of the anchor's neighbourhood: neighbourhoods whose pair agrees are past the threshold as a whole.
+3. the offset that makes up the threshold (the last step overlaps where the threshold is odd): every remaining position, by the pair
+   of its own rank and that of the half after it.
+
+A plain doubling sorts every byte position in each round, some 20 times the text in each shuffle. Anchors (the least-ranked half of each string,
+about one position in thirteen, fixed by the string's bytes) are the reduction in front: every string of the threshold's length has one,
+equal strings have equal ones, and only the pairs decide what is removed. Entries travel in blobs, many to a Spark row, with delta-coded ranks; steps
+1 and 2 share one exchange, as the second key sorts within the first.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,38 +28,45 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.llm.common import U64, blob, checkpointed, dealt, mix, spans, text_bytes, unblob
+from evoframe.llm.common import U64, blob, checkpointed, dealt, lean, mix, spans, text_bytes, unblob
 from evoframe.llm.suffixes import Anchors
 
 THRESHOLD = 50
-BLOCK, BLOCK_ANCHORS = 1 << 21, 3_000_000
-#: Documents for each group of anchors, and for each group of texts.
-DOCS_PER_RANKS, DOCS_PER_TEXTS = 4000, 1000
-#: A document without an id counts as the last.
-NO_ID = (1 << 63) - 1
+BLOCK, BLOCK_ANCHORS = 1 << 20, 1_500_000
+#: Bytes of text for each group of ranks, and for each group of texts.
+BYTES_PER_RANKS, BYTES_PER_TEXTS = 6 << 20, 4 << 20
+#: Documents without an id are compared as the last of all, and dealt over so many addresses by their text.
+NO_ID_ADDRESSES = 4096
+NO_ID = (1 << 63) - 1 - NO_ID_ADDRESSES
+#: A rank with more neighbourhoods than this in one task is frequent: the rest of them is dealt by neighbourhood, for step 3 right away.
+FREQUENT = 8
 RANK_BITS, CONTEXT_BITS = U64(40), U64(48)
 STEP_SQL = "target int, payload binary"
-TEXT_SQL = "target int, doc_id long, text binary"
 
 
 def _low(x: np.ndarray, bits: np.uint64) -> np.ndarray:
     return x & ((U64(1) << bits) - U64(1))
 
 
-def _text_target(doc_ids: np.ndarray, groups: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (mix(doc_ids.astype(U64)) % U64(groups)).astype(np.int64)
+def _order(addresses: np.ndarray) -> np.ndarray:
+    """What "smaller" compares: the document's id, and one value for all that have none."""
+    return np.minimum(addresses, NO_ID)
+
+
+def _deal(x: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(x.astype(U64)) % U64(groups)).astype(np.int64)
 
 
-def _context_bytes(context: np.ndarray) -> list[np.ndarray]:
-    return [(context >> U64(32)).astype("<u2"), (context & U64(0xFFFFFFFF)).astype("<u4")]
+def _cut(x: np.ndarray) -> list[np.ndarray]:
+    """48 bits as two columns."""
+    return [(x >> U64(32)).astype("<u2"), (x & U64(0xFFFFFFFF)).astype("<u4")]
 
 
-def _context(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+def _joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return (high.astype(U64) << U64(32)) | low.astype(U64)
 
 
-def _groups(*keys: np.ndarray) -> np.ndarray:
+def _heads(*keys: np.ndarray) -> np.ndarray:
     """The start of each run of equal keys in sorted columns, as marks."""
     new = np.zeros(len(keys[0]), bool)
     if len(new):
@@ -61,11 +76,39 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _all(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts])
+
+
+def _table(rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"target": pa.array([t for t, _ in rows], pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
+
+
+class Piece(NamedTuple):
+    """A block of whole texts, or a part of a long one; parts overlap by one byte less than a string, so each string starts in one of them."""
+
+    text: int
+    start: int
+    stop: int
+    offsets: np.ndarray
+
+
+def pieces(offsets: np.ndarray, most: int, overlap: int) -> Iterator[Piece]:
+    for a, b in spans(offsets, most):
+        start, stop = int(offsets[a]), int(offsets[b])
+        if stop - start <= 2 * most:
+            yield Piece(a, start, stop, offsets[a : b + 1] - start)
+            continue
+        for x in range(start, stop, most):
+            y = min(stop, x + most + overlap)
+            yield Piece(a, x, y, np.array([0, y - x]))
+
+
 class _Sender:
-    """Anchors of one task, sent on by rank. Of equal neighbourhoods only the smallest document's goes on; the others are already decided."""
+    """Anchors of one task, sent on by rank. Of equal neighbourhoods only the smallest document's goes on; the others are decided already."""
 
-    def __init__(self, ranks: int, texts: int) -> None:
-        self.ranks, self.texts = ranks, texts
+    def __init__(self, ranks: int) -> None:
+        self.ranks = ranks
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n = 0
 
@@ -80,267 +123,276 @@ class _Sender:
         self.parts, self.n = [], 0
         order = np.lexsort((doc, context, rank))
         rank, context, doc = rank[order], context[order], doc[order]
-        again = ~_groups(rank, context)
-        same = again & ~_groups(rank, context, doc)
-        least = ~again
-        smallest = doc[np.flatnonzero(least)][np.cumsum(least) - 1]
-        decided = again & ~same & (doc > smallest)
-        target = (rank >> RANK_BITS).astype(np.int64) % self.ranks
-        passed = dict(dealt(target[decided], doc[decided], context[decided]))
-        for t, (r, c, d) in dealt(target[least], rank[least], context[least], doc[least]):
-            low = _low(r, RANK_BITS)
-            by = np.argsort(low, kind="stable")
-            low, c, d = low[by], c[by], d[by]
-            ids, at = np.unique(d, return_inverse=True)
-            done_doc, done = passed.pop(t, [np.zeros(0, np.int64), np.zeros(0, U64)])
-            yield _row(t, blob(np.diff(low, prepend=U64(0)), *_context_bytes(c), at.astype("<u4"), ids.astype("<i8"), done_doc.astype("<i8"), *_context_bytes(done)))
-
-
-def _row(target: int, payload: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([target], pa.int32()), pa.array([payload], pa.binary())], ["target", "payload"])
+        alike, each = _heads(rank, context), _heads(rank, context, doc)
+        smallest = _order(doc[alike])[np.cumsum(alike) - 1]
+        first = _order(doc) == smallest
+        decided, sent = each & ~first, each & first
+        # Frequent ranks: which of the entries to send come after the first few of their rank, and whether several documents hold it here.
+        r, c, d = rank[sent], context[sent], doc[sent]
+        new = _heads(r)
+        group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        place = np.arange(len(r)) - starts[group]
+        differ = np.minimum.reduceat(_order(d), starts) != np.maximum.reduceat(_order(d), starts)
+        open_ = ((np.bincount(group) > FREQUENT) & differ)[group]
+        target = (r >> RANK_BITS).astype(np.int64) % self.ranks
+        target = np.where(open_ & (place >= FREQUENT), _deal(c, self.ranks), target)
+        # What is decided only passes through on its way to its text, so any group will do: a frequent passage doesn't weigh on its own.
+        done = dict(dealt(_deal(doc[decided], self.ranks), doc[decided], context[decided]))
+        here = dict(dealt(target, r, c, d, open_))
+        none = [np.zeros(0, np.int64), np.zeros(0, U64)]
+        for t in sorted({*done, *here}):
+            rank_, context_, doc_, flag = here.get(t, [none[1], none[1], none[0], np.zeros(0, bool)])
+            by = np.argsort(rank_, kind="stable")
+            ids, at = np.unique(doc_[by], return_inverse=True)
+            done_doc, done_context = done.get(t, none)
+            high = _steps(rank_[by] >> RANK_BITS)
+            payload = blob(*high, np.diff(_low(rank_[by], RANK_BITS), prepend=U64(0)), *_cut(context_[by]), at.astype("<u4"), flag[by].astype("<u1"), ids.astype("<i8"), done_doc.astype("<i8"), *_cut(done_context))
+            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([payload], pa.binary())], ["target", "payload"])
 
 
-def _table(rows: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table({"target": pa.array([t for t, _ in rows], pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
+def _steps(x: np.ndarray) -> list[np.ndarray]:
+    return [np.diff(x, prepend=U64(0)).astype("<u4")]
 
 
-def send_anchors(docs: DataFrame, ranks: int, texts: int, threshold: int) -> DataFrame:
+def send_anchors(docs: DataFrame, ranks: int, threshold: int) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = _Sender(ranks, texts)
+        sender = _Sender(ranks)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in spans(offsets, BLOCK):
-                found = Anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], threshold)
-                sender.add(found.rank, found.context, ids[a:b][found.owner])
+            for piece in pieces(offsets, BLOCK, threshold - 1):
+                found = Anchors(data[piece.start : piece.stop], piece.offsets, threshold)
+                sender.add(found.rank, found.context, ids[piece.text + found.owner])
                 if sender.n > BLOCK_ANCHORS:
                     yield from sender.rows()
         yield from sender.rows()
 
-    return docs.select("doc_id", "text").mapInArrow(run, STEP_SQL)
+    return docs.select("address", "text").mapInArrow(run, STEP_SQL)
 
 
 def resolve_anchors(sent: DataFrame, texts: int) -> DataFrame:
-    """Round 1: sort (rank, neighbourhood, document). To each document's group go the neighbourhoods decided as repeated, and those that need round 2."""
+    """Steps 1 and 2: sort (rank, pair at the ends, document). To each document's group go the neighbourhoods decided as repeated, and those still open."""
 
+    @lean
     def run(t: pa.Table) -> pa.Table:
-        rank, context, doc, done_doc, done = [], [], [], [], []
+        rank, context, doc, flag, done_doc, done = [], [], [], [], [], []
         for p in t["payload"]:
-            step, high, low, at, ids, dd, dh, dl = unblob(p.as_py())
-            rank.append(np.cumsum(step, dtype=U64))
-            context.append(_context(high, low))
+            top, step, high, low, at, f, ids, dd, dh, dl = unblob(p.as_py())
+            rank.append((np.cumsum(top, dtype=U64) << RANK_BITS) | np.cumsum(step, dtype=U64))
+            context.append(_joined(high, low))
             doc.append(ids[at])
+            flag.append(f > 0)
             done_doc.append(dd)
-            done.append(_context(dh, dl))
-        rank, context, doc = np.concatenate(rank), np.concatenate(context), np.concatenate(doc)
+            done.append(_joined(dh, dl))
+        rank, context, doc, flag = (np.concatenate(x) for x in (rank, context, doc, flag))
         order = np.lexsort((doc, context, rank))
-        rank, context, doc = rank[order], context[order], doc[order]
-        new, fresh = _groups(rank), _groups(rank, context)
-        group = np.cumsum(new) - 1
-        smallest = doc[fresh][np.cumsum(fresh) - 1]
-        several = np.bincount(group, fresh)[group] > 1
-        starts = np.flatnonzero(new)
-        docs_differ = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))[group] if len(doc) else several
-        decided, open_ = doc > smallest, (doc == smallest) & several & docs_differ
-        full = dict(dealt(_text_target(np.concatenate([doc[decided], *done_doc]), texts), np.concatenate([doc[decided], *done_doc]), np.concatenate([context[decided], *done])))
-        more = dict(dealt(_text_target(doc[open_], texts), doc[open_], context[open_]))
+        rank, context, doc, flag = rank[order], context[order], doc[order], flag[order]
+        new, alike = _heads(rank), _heads(rank, context)
+        group, starts, own = np.cumsum(new) - 1, np.flatnonzero(new), _order(doc)
+        smallest = own[alike][np.cumsum(alike) - 1]
+        several = flag
+        if len(rank):
+            differ = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)
+            several = ((np.bincount(group, alike) > 1) & differ | (np.bincount(group, flag) > 0))[group]
+        decided, open_ = own > smallest, (own == smallest) & several
+        to, what = np.concatenate([doc[decided], *done_doc]), np.concatenate([context[decided], *done])
+        full, more = dict(dealt(_deal(to, texts), to, what)), dict(dealt(_deal(doc[open_], texts), doc[open_], context[open_]))
         none = [np.zeros(0, np.int64), np.zeros(0, U64)]
-        return _table([(k, blob(*_pairs(*full.get(k, none)), *_pairs(*more.get(k, none)))) for k in sorted({*full, *more})])
+        return _table([(k, blob(*_listed(*full.get(k, none)), *_listed(*more.get(k, none)))) for k in sorted({*full, *more})])
 
     return sent.groupBy("target").applyInArrow(run, STEP_SQL)
 
 
-def _pairs(doc: np.ndarray, context: np.ndarray) -> list[np.ndarray]:
-    return [doc.astype("<i8"), *_context_bytes(context)]
+def _listed(doc: np.ndarray, name: np.ndarray) -> list[np.ndarray]:
+    order = np.lexsort((name, doc))
+    new = _heads(doc[order], name[order])
+    return [np.diff(doc[order][new], prepend=0).astype("<i8"), *_cut(name[order][new])]
+
+
+def _read_list(parts: list[list[np.ndarray]]) -> np.ndarray:
+    """One sorted number for each listed (document, name)."""
+    return np.sort(np.concatenate([np.zeros(0, U64), *(_entry(np.cumsum(d), _joined(h, low)) for d, h, low in parts)]))
+
+
+def _entry(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(doc.astype(U64)) + name)
+
+
+def _is_in(entries: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    if not len(listed):
+        return np.zeros(len(entries), bool)
+    return listed[np.minimum(np.searchsorted(listed, entries), len(listed) - 1)] == entries
 
 
 class _Texts:
-    """A group of texts, block by block, with its anchors."""
+    """A group of texts."""
 
     def __init__(self, t: pa.Table, threshold: int) -> None:
-        order = pa.compute.sort_indices(t["doc_id"])
-        t = t.take(order)
-        self.ids, self.carried = t["doc_id"].to_numpy(), t.drop_columns(["target", "doc_id", "text"])
+        t = t.take(pa.compute.sort_indices(t["address"]))
+        self.ids, self.carried = t["address"].to_numpy(), t.drop_columns(["target", "address", "text"])
         unpress = zstandard.ZstdDecompressor().decompress
-        self.data, self.offsets = text_bytes(pa.array([unpress(x) for x in t["text"].to_pylist()], pa.large_binary()))
+        self.data, self.offsets = text_bytes(pa.array([unpress(x.as_py()) for x in t["text"]], pa.large_binary()))
         self.threshold = threshold
 
-    def blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Anchors]]:
-        for a, b in spans(self.offsets, BLOCK):
-            data, offsets = self.data[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a]
-            yield a, b, data, offsets, Anchors(data, offsets, self.threshold)
-
-
-def _is_listed(doc: np.ndarray, context: np.ndarray, listed_doc: np.ndarray, listed: np.ndarray) -> np.ndarray:
-    """Which (document, neighbourhood) pairs are in a list; both are named by one number to look them up, then compared."""
-    if not len(listed):
-        return np.zeros(len(doc), bool)
-    with np.errstate(over="ignore"):
-        names, own = mix(mix(listed_doc.astype(U64)) + listed), mix(mix(doc.astype(U64)) + context)
-    names = np.sort(names)
-    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-    return names[at] == own
+    def judged(self, full: np.ndarray, more: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], dict[str, np.ndarray]]:
+        """Intervals of bytes in neighbourhoods decided as repeated, and every window of the open ones: its anchor's rank, its name (the pair), its document, its place."""
+        intervals, out = [], {"rank": [], "name": [], "doc": [], "at": []}
+        for piece in pieces(self.offsets, BLOCK, self.threshold - 1):
+            found = Anchors(self.data[piece.start : piece.stop], piece.offsets, self.threshold)
+            if not len(found.first):
+                continue
+            doc = self.ids[piece.text + found.owner]
+            entries = _entry(doc, _low(found.context, CONTEXT_BITS))
+            hit = _is_in(entries, full)
+            intervals.append((piece.start + found.first[hit], piece.start + found.last[hit] + self.threshold))
+            runs = np.flatnonzero(_is_in(entries, more) & ~hit)
+            run, at = found.windows(runs)
+            out["rank"].append(found.rank[runs][run])
+            out["name"].append(_low(found.pairs(at, at + found.apart), CONTEXT_BITS))
+            out["doc"].append(doc[runs][run])
+            out["at"].append(piece.start + at)
+        return intervals, {k: _all(v, U64 if k in ("rank", "name") else np.int64) for k, v in out.items()}
+
+
+def _sorted_windows(windows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows by (rank, name, document), and whether the same string starts in a smaller document of the group."""
+    order = np.lexsort((windows["doc"], windows["name"], windows["rank"]))
+    rank, name, doc, at = (windows[k][order] for k in ("rank", "name", "doc", "at"))
+    alike = _heads(rank, name)
+    again = _order(doc) > _order(doc[alike])[np.cumsum(alike) - 1] if len(doc) else np.zeros(0, bool)
+    return rank, name, doc, at, again
 
 
 def send_windows(texts: DataFrame, decided: DataFrame, ranks: int, threshold: int) -> DataFrame:
-    """Round 2's positions: the names of the full strings at each position of an undecided neighbourhood, sent on by the anchor's rank."""
+    """Step 3's entries: the pair at each open position, once for the smallest document of a group that has it."""
 
+    @lean
     def run(t: pa.Table, steps: pa.Table) -> pa.Table:
         if not steps.num_rows or not t.num_rows:
             return _table([])
         lists = [unblob(p.as_py()) for p in steps["payload"]]
-        listed_doc, listed = np.concatenate([x[3] for x in lists]), np.concatenate([_context(x[4], x[5]) for x in lists])
-        own, out = _Texts(t, threshold), []
-        for a, _b, _data, offsets, found in own.blocks():
-            if not len(found.first):
-                continue
-            hit = np.flatnonzero(_is_listed(own.ids[a + found.owner], _low(found.context, CONTEXT_BITS), listed_doc, listed))
-            size = found.last[hit] - found.first[hit] + 1
-            run_of = np.repeat(np.arange(len(hit)), size)
-            at = found.first[hit][run_of] + np.arange(len(run_of)) - np.repeat(np.cumsum(size) - size, size)
-            out.append((found.rank[hit][run_of], _low(found.names.of(at, at + threshold), CONTEXT_BITS), own.ids[a + found.owner[hit]][run_of], at - offsets[found.owner[hit]][run_of]))
-        if not out:
-            return _table([])
-        rank, name, doc, at = (np.concatenate(x) for x in zip(*out, strict=True))
+        _, windows = _Texts(t, threshold).judged(_read_list([x[:3] for x in lists]), _read_list([x[3:] for x in lists]))
+        rank, name, doc, _, again = _sorted_windows(windows)
+        sent = _heads(rank, name, doc) & ~again
+        rank, name, doc = rank[sent], name[sent], doc[sent]
         rows = []
-        for k, (r, n, d, p) in dealt((rank >> RANK_BITS).astype(np.int64) % ranks, rank, name, doc, at):
-            # Positions of a run follow each other; the differences are mostly 0 and 1.
-            rows.append((k, blob(np.diff(_low(r, RANK_BITS), prepend=U64(0)), *_context_bytes(n), np.diff(d, prepend=0).astype("<i8"), np.diff(p, prepend=0).astype("<i4"))))
+        for k, (r, n, d) in dealt(_deal(rank ^ name, ranks), rank, name, doc):
+            # By document, then rank: a document's anchors stand together.
+            by = np.lexsort((n, r, d))
+            rows.append((k, blob(_low(r[by], RANK_BITS) - np.append(U64(0), _low(r[by][:-1], RANK_BITS)), *_cut(n[by]), np.diff(d[by], prepend=0).astype("<i8"))))
         return _table(rows)
 
     return texts.groupBy("target").cogroup(decided.groupBy("target")).applyInArrow(run, STEP_SQL)
 
 
 def resolve_windows(sent: DataFrame, texts: int) -> DataFrame:
-    """Round 2: sort (rank, name, document); a position whose string also starts in a smaller document goes back to its text."""
+    """Step 3: sort (rank, pair, document); a string that also starts in a smaller document goes back to its text by name."""
 
+    @lean
     def run(t: pa.Table) -> pa.Table:
-        rank, name, doc, at = [], [], [], []
+        rank, name, doc = [], [], []
         for p in t["payload"]:
-            r, high, low, d, x = unblob(p.as_py())
+            r, high, low, d = unblob(p.as_py())
             rank.append(np.cumsum(r, dtype=U64))
-            name.append(_context(high, low))
+            name.append(_joined(high, low))
             doc.append(np.cumsum(d))
-            at.append(np.cumsum(x, dtype=np.int64))
-        rank, name, doc, at = (np.concatenate(x) for x in (rank, name, doc, at))
+        rank, name, doc = (np.concatenate(x) for x in (rank, name, doc))
         order = np.lexsort((doc, name, rank))
-        rank, name, doc, at = rank[order], name[order], doc[order], at[order]
-        fresh = _groups(rank, name)
-        smallest = doc[fresh][np.cumsum(fresh) - 1]
-        hit = doc > smallest
-        rows = []
-        for k, (d, x, n) in dealt(_text_target(doc[hit], texts), doc[hit], at[hit], name[hit]):
-            by = np.lexsort((x, d))
-            rows.append((k, blob(np.zeros(0, "<u1"), np.diff(d[by], prepend=0).astype("<i8"), np.diff(x[by], prepend=0).astype("<i4"), *_context_bytes(n[by]))))
-        return _table(rows)
+        rank, name, doc = rank[order], name[order], doc[order]
+        alike = _heads(rank, name)
+        hit = _order(doc) > _order(doc[alike])[np.cumsum(alike) - 1]
+        return _table([(k, blob(*_listed(d, n))) for k, (d, n) in dealt(_deal(doc[hit], texts), doc[hit], name[hit])])
 
     return sent.groupBy("target").applyInArrow(run, STEP_SQL)
 
 
-def _removed(own: _Texts, a: int, b: int, offsets: np.ndarray, found: Anchors, full: tuple, windows: tuple, threshold: int) -> np.ndarray:
-    """Which bytes of a block lie in a repeated string: marks at the strings' ends, summed up."""
-    edge = np.zeros(int(offsets[-1]) + 1, np.int64)
-    if len(found.first):
-        hit = _is_listed(own.ids[a + found.owner], _low(found.context, CONTEXT_BITS), *full)
-        np.add.at(edge, found.first[hit], 1)
-        np.add.at(edge, found.last[hit] + threshold, -1)
-    doc, at, name = windows
-    for k in range(a, b):  # equal ids: only a text that has the string at that position loses it
-        i, j = np.searchsorted(doc, own.ids[k], "left"), np.searchsorted(doc, own.ids[k], "right")
-        if j > i:
-            p, n = at[i:j], name[i:j]
-            fits = p + threshold <= offsets[k - a + 1] - offsets[k - a]
-            if not fits.any():
-                continue
-            p, n = p[fits] + offsets[k - a], n[fits]
-            p = p[_low(found.names.of(p, p + threshold), CONTEXT_BITS) == n]
-            np.add.at(edge, p, 1)
-            np.add.at(edge, p + threshold, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
 DIGEST_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, digests: bool = False, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Every document without the bytes covered by a string of `threshold` bytes that also starts in a document of smaller id.
 
-    Returns (doc_id, kept bytes, the columns to carry), with as_text whole characters as a string, or with digests counts and a hash of the kept bytes. Strings are judged on the input. A text of null
-    or shorter than the threshold stays as it is; a null doc_id counts as the largest; rows of equal id never remove bytes from
-    each other, and each loses only strings that its own text has; an empty
-    table gives no rows; further columns are ignored.
+    Returns (doc_id, kept bytes, the columns to carry), with as_text whole characters as a string, or with digests counts and a hash
+    of the kept bytes. Strings are judged on the input. A text of null or shorter than the threshold stays as it is; a null doc_id
+    counts as the largest (so do the 4096 largest numbers there are); rows of equal id, or of none, never remove bytes from each other, and each loses only strings that its
+    own text has; an empty table gives no rows; further columns are ignored.
     """
-    n = docs.count()
-    ranks, texts = max(1, -(-n // DOCS_PER_RANKS)), max(1, -(-n // DOCS_PER_TEXTS))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"), *carry)
+    if threshold < 2:
+        raise ValueError("a string of the threshold's length has two halves")
+    own = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_ID_ADDRESSES))).alias("address"),
+        F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *carry,
+    )
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranks, texts = 1 + size // BYTES_PER_RANKS, 1 + size // BYTES_PER_TEXTS
     by_text = _texts_by_group(own, texts)
-    decided = checkpointed(resolve_anchors(send_anchors(own, ranks, texts, threshold), texts))
+    decided = checkpointed(resolve_anchors(send_anchors(own, ranks, threshold), texts))
     windows = resolve_windows(send_windows(by_text, decided, ranks, threshold), texts)
     return _finish(by_text, decided.unionByName(windows), threshold, digests, as_text)
 
 
 def _texts_by_group(own: DataFrame, texts: int) -> DataFrame:
-    names = ["target", "doc_id", "text", *own.columns[2:]]
+    names = ["target", "address", "text", *own.columns[2:]]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            target = _text_target(batch.column(0).to_numpy(), texts)
-            packed = pa.array([press.compress(x or b"") for x in batch.column(1).to_pylist()], pa.binary())
+            target = _deal(batch.column(0).to_numpy(), texts)
+            packed = pa.array([press.compress(x.as_py() or b"") for x in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(target.astype(np.int32)), batch.column(0), packed, *batch.columns[2:]], names)
 
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[2:])
-    return own.mapInArrow(run, TEXT_SQL + kinds)
+    return own.mapInArrow(run, f"target int, address long, text binary{kinds}")
 
 
 def _finish(by_text: DataFrame, steps: DataFrame, threshold: int, digests: bool, as_text: bool) -> DataFrame:
+    @lean
     def run(t: pa.Table, steps: pa.Table) -> pa.Table:
-        full, windows = ([], []), ([], [], [])
-        for p in steps["payload"]:
-            x = unblob(p.as_py())
-            if len(x) == 5:
-                windows[0].append(np.cumsum(x[1]))
-                windows[1].append(np.cumsum(x[2], dtype=np.int64))
-                windows[2].append(_context(x[3], x[4]))
-            else:
-                full[0].append(x[0])
-                full[1].append(_context(x[1], x[2]))
-        join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-        full, doc, at, name = (join(full[0], np.int64), join(full[1], U64)), join(windows[0], np.int64), join(windows[1], np.int64), join(windows[2], U64)
-        order = np.lexsort((at, doc))
-        windows, out = (doc[order], at[order], name[order]), []
-        own = _Texts(t, threshold)
-        for a, b, data, offsets, found in own.blocks():
-            gone = _removed(own, a, b, offsets, found, full, windows, threshold)
-            begins = gone.copy()
-            begins[1:] &= ~gone[:-1]
-            heads = offsets[:-1][np.diff(offsets) > 0]
-            begins[heads] = gone[heads]
-            removed, spans_ = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(begins))
-            kept = data[~gone].tobytes()
-            kept_at = offsets - removed[offsets]
+        lists = [unblob(p.as_py()) for p in steps["payload"]]
+        own, both = _Texts(t, threshold), [x for x in lists if len(x) == 6]
+        intervals, windows = own.judged(_read_list([x[:3] for x in both]), _read_list([x[3:] for x in both]))
+        _, name, doc, at, again = _sorted_windows(windows)
+        again |= _is_in(_entry(doc, name), _read_list([x for x in lists if len(x) == 3]))
+        intervals.append((at[again], at[again] + threshold))
+        lost, until = (np.sort(_all(x, np.int64)) for x in zip(*intervals, strict=True))
+        out = []
+        for a, b in spans(own.offsets, BLOCK):
+            start, stop = int(own.offsets[a]), int(own.offsets[b])
+            gone, offsets = _covered(lost, until, start, stop), (own.offsets[a : b + 1] - start).tolist()
             for k in range(b - a):
-                rest = kept[kept_at[k] : kept_at[k + 1]]
-                doc_id = int(own.ids[a + k])
-                doc_id = None if doc_id == NO_ID else doc_id
-                if digests:
-                    i, j = offsets[k], offsets[k + 1]
-                    out.append((doc_id, int(j - i), int(removed[j] - removed[i]), int(spans_[j] - spans_[i]), hashlib.sha256(rest).hexdigest()))
+                i, j = offsets[k], offsets[k + 1]
+                some = gone[i:j]
+                if some.any():
+                    raw, n = own.data[start + i : start + j][~some].tobytes(), int(np.count_nonzero(some))
+                    runs = int(some[0]) + int(np.count_nonzero(some[1:] & ~some[:-1]))
                 else:
-                    out.append((doc_id, rest.decode("utf-8", "ignore") if as_text else rest))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] if digests else [pa.int64(), pa.string() if as_text else pa.binary()]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] if digests else ["doc_id", "kept"]
+                    raw, n, runs = own.data[start + i : start + j].tobytes(), 0, 0
+                out.append((j - i, n, runs, hashlib.sha256(raw).hexdigest()) if digests else (raw.decode("utf-8", "ignore") if as_text else raw,))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] if digests else [pa.string() if as_text else pa.binary()]
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digests else ["kept"]
         columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
-        made = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-        if not digests:
-            for name in own.carried.column_names:
-                made = made.append_column(name, own.carried[name])
+        made = pa.table([own.carried["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *names])
+        for name in own.carried.column_names[1:] if not digests else ():
+            made = made.append_column(name, own.carried[name])
         return made
 
-    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in by_text.schema.fields[3:])
+    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in by_text.schema.fields[4:])
     return by_text.groupBy("target").cogroup(steps.groupBy("target")).applyInArrow(run, DIGEST_SQL if digests else f"doc_id long, kept {'string' if as_text else 'binary'}{carried}")
 
 
+def _covered(lost: np.ndarray, until: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Which bytes from start to stop lie in an interval: as many have begun as ended, or not. Both ends are sorted; none lies across texts."""
+    n = stop - start
+    begun = lost[np.searchsorted(lost, start) : np.searchsorted(lost, stop)] - start
+    ended = until[np.searchsorted(until, start, side="right") : np.searchsorted(until, stop, side="right")] - start
+    edge = np.bincount(begun, minlength=n + 1)
+    edge -= np.bincount(ended, minlength=n + 1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def drop_passages(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The documents, all their columns, with a text of the kept bytes (a character that lost some of its bytes goes); null texts stay null."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -348,4 +400,3 @@ def drop_passages(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     out = dedup(named, threshold, carry=(*[f"c{i}" for i in range(len(rest))], "was_null"), as_text=True)
     text = F.when(~F.col("was_null"), F.col("kept"))
     return out.select("doc_id", text.alias("text"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)]).select(*docs.columns)
-

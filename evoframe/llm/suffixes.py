@@ -61,26 +61,32 @@ def leftmost_minima(x: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def paired(rank: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The rank of strings whose two parts have these ranks, one step of doubling: equal pairs, and only they (but for a chance of 2**-64), have equal ranks."""
+    with np.errstate(over="ignore"):
+        return mix(mix(rank) + other * GOLDEN)
+
+
 class Anchors:
-    """Runs of neighbouring windows of `length` bytes that share an anchor: the least-named stretch of half that length in them.
+    """Runs of neighbouring windows of `length` bytes that share an anchor: the least-ranked stretch of half that length in them.
 
-    A window's anchor depends on its bytes alone, so equal windows meet at equal anchors. rank is the anchor's name, context
-    names all bytes of the run's windows together with their place around the anchor.
+    A window's anchor depends on its bytes alone, so equal windows meet at equal anchors. rank is the anchor's rank; context ranks
+    the run's neighbourhood, all bytes of its windows together with their place around the anchor: the anchor stands between
+    the two halves at its ends and touches both, so it is the pair of these halves' ranks, joined with the anchor's own.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int) -> None:
-        half = length // 2
-        self.length, none = length, np.zeros(0, np.int64)
+        half = (length + 1) // 2
+        self.apart, none = length - half, np.zeros(0, np.int64)
         self.first, self.last, self.owner, self.rank, self.context = none, none, none, none.astype(U64), none.astype(U64)
         if len(data) < length:
             return
-        self.names = Names(data)
-        grams = self.names.every(half)
+        self.grams = grams = Names(data).every(half)
         at = leftmost_minima(grams, length - half + 1)
         valid = np.zeros(len(at) + 1, bool)
         sizes = np.diff(offsets)
         whole = sizes >= length
-        edge = np.zeros(len(data) + 1, np.int64)
+        edge = np.zeros(len(data) + 1, np.int32)
         np.add.at(edge, offsets[:-1][whole], 1)
         np.add.at(edge, offsets[1:][whole] - length + 1, -1)
         valid[:-1] = np.cumsum(edge)[: len(at)] > 0
@@ -97,6 +103,16 @@ class Anchors:
         anchor = at[self.first].astype(np.int64)
         self.rank = grams[anchor]
         with np.errstate(over="ignore"):
-            place = ((anchor - self.first) * 64 + (self.last - self.first)).astype(U64)
-            self.context = mix(self.names.of(self.first, self.last + length) + place * GOLDEN)
+            place = ((anchor - self.first) * (2 * length) + (self.last - self.first)).astype(U64)
+            self.context = mix(self.pairs(self.first, self.last + self.apart) + place * GOLDEN)
         self.owner = np.searchsorted(offsets, self.first, side="right") - 1
+
+    def pairs(self, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Ranks of the strings that go from each place to the end of the half at the other one."""
+        return paired(self.grams[at], self.grams[other])
+
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every window of these runs: its run (numbered in the order given) and where it starts."""
+        size = self.last[runs] - self.first[runs] + 1
+        run = np.repeat(np.arange(len(runs)), size)
+        return run, self.first[runs][run] + np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
