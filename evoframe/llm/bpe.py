@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.llm.common import blob, groups_for, unblob
+from evoframe.llm.common import blob, checkpointed, groups_for, lean, unblob
 from evoframe.llm.packing import load_ranks, word_encoder
 from evoframe.llm.pretokens import Words, gather
 
@@ -108,6 +108,7 @@ def positions(docs: DataFrame, buckets: int, part: str) -> DataFrame:
     less than to keep the positions on disk until the words are encoded.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         block = _Block(number, buckets)
@@ -127,12 +128,13 @@ def positions(docs: DataFrame, buckets: int, part: str) -> DataFrame:
         if block.doc_ids:
             yield from block.rows(part)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, STEPS_SQL)
+    return docs.mapInArrow(run, STEPS_SQL)
 
 
 def encode_words(steps: DataFrame, ranks_path: str) -> DataFrame:
     """Each distinct word of a bucket is encoded once, whatever number of blocks hold it; its ids go back to those blocks."""
 
+    @lean
     def run(t: pa.Table) -> pa.Table:
         word, seen, out = word_encoder(load_ranks(ranks_path)), {}, []
         for r in range(t.num_rows):
@@ -163,13 +165,18 @@ ENCODED_SQL = "doc_id long, ids array<int>, decoded binary"
 def encode_decode(docs: DataFrame, ranks: str | None = None, buckets: int | None = None, digests: bool = False) -> DataFrame:
     """(doc_id, ids, decoded bytes) of every document; with digests, lengths and hashes of these instead.
 
+    The table is read twice, which a table of files answers alike; one that comes from a shuffle is checkpointed first.
     A text of null or "" has no ids; equal rows, even with equal ids, stay rows of their own; an empty table gives
     no rows; further columns are ignored.
     """
     ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    buckets = buckets or min(8192, groups_for(docs, DOCS_PER_BUCKET))
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = checkpointed(docs)
+    buckets = buckets or groups_for(docs, DOCS_PER_BUCKET)
     words = encode_words(positions(docs, buckets, "words"), ranks)
 
+    @lean
     def together(docs_of: pa.Table, words_of: pa.Table) -> pa.Table:
         table, sizes_by, at, parts, total = token_bytes(ranks), [], [], [], 0
         if len({*docs_of["print"].to_pylist(), *words_of["print"].to_pylist()}) > 1:

@@ -17,10 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.llm.common import groups_for
+from evoframe.llm.common import lean
 from evoframe.llm.pretokens import Words, gather
 
 WINDOW = 2048
+#: Bytes of text for each group that is packed alone; long texts have many pieces.
+BYTES_PER_GROUP = 32 << 20
 SPECIAL = "<|endoftext|>"
 END_ID = 1
 BLOCK = 1 << 20
@@ -104,7 +106,7 @@ class Encoder:
     faster; only a text with the special token's string goes through the library itself.
     """
 
-    MOST = 300_000
+    MOST = 200_000
 
     def __init__(self, vocabulary: str, ranks: str) -> None:
         from tokenizers import Tokenizer
@@ -160,6 +162,7 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
 def tokenized_pieces(docs: DataFrame, vocabulary: str, ranks: str, window: int = WINDOW) -> DataFrame:
     """One row per piece: full windows cut from the front of a document, then its rest."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, row = encoder(vocabulary, ranks), TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -182,12 +185,13 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = Non
 
     A text of null or "" is the single closing id; equal documents, even with equal ids, are pieces of their own; an
     empty table gives no rows; further columns are ignored. Tokens never leave the task that made them: only
-    piece lengths are dealt, by a hash of the row's place, to groups of about docs_per_group documents, and each group
-    is packed alone, so at most one window a group is left mostly empty.
+    piece lengths are dealt, by a hash of the row's place, to groups of about docs_per_group documents (fewer, if
+    they are long), and each group is packed alone, so at most one window a group is left mostly empty.
     """
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    groups = groups_for(docs, docs_per_group)
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    groups = max(1, -(-rows // docs_per_group), -(-(size or 0) // BYTES_PER_GROUP))
 
     def one_group(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row", ignore_index=True)

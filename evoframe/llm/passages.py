@@ -32,14 +32,15 @@ from evoframe.llm.common import U64, blob, checkpointed, dealt, lean, mix, spans
 from evoframe.llm.suffixes import Anchors
 
 THRESHOLD = 50
-BLOCK, BLOCK_ANCHORS = 1 << 20, 1_500_000
+BLOCK, BLOCK_ANCHORS = 1 << 20, 2_000_000
 #: Bytes of text for each group of ranks, and for each group of texts.
 BYTES_PER_RANKS, BYTES_PER_TEXTS = 6 << 20, 4 << 20
 #: Documents without an id are compared as the last of all, and dealt over so many addresses by their text.
 NO_ID_ADDRESSES = 4096
 NO_ID = (1 << 63) - 1 - NO_ID_ADDRESSES
-#: A rank with more neighbourhoods than this in one task is frequent: the rest of them is dealt by neighbourhood, for step 3 right away.
-FREQUENT = 8
+#: A rank with more neighbourhoods than this in one task, or with more open ones than that in all, is frequent: the rest of a task's are dealt by
+#: neighbourhood, for step 3 right away, and step 3 deals its positions by their pair instead of the anchor's rank.
+FREQUENT, FREQUENT_OPEN = 8, 256
 RANK_BITS, CONTEXT_BITS = U64(40), U64(48)
 STEP_SQL = "target int, payload binary"
 
@@ -191,15 +192,17 @@ def resolve_anchors(sent: DataFrame, texts: int) -> DataFrame:
         new, alike = _heads(rank), _heads(rank, context)
         group, starts, own = np.cumsum(new) - 1, np.flatnonzero(new), _order(doc)
         smallest = own[alike][np.cumsum(alike) - 1]
-        several = flag
+        several = often = flag
         if len(rank):
-            differ = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)
-            several = ((np.bincount(group, alike) > 1) & differ | (np.bincount(group, flag) > 0))[group]
+            differ, marked = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts), np.bincount(group, flag) > 0
+            several = ((np.bincount(group, alike) > 1) & differ | marked)[group]
+            often = (marked | (np.bincount(group, own == smallest) > FREQUENT_OPEN))[group]
         decided, open_ = own > smallest, (own == smallest) & several
+        rare, often = open_ & ~often, open_ & often
         to, what = np.concatenate([doc[decided], *done_doc]), np.concatenate([context[decided], *done])
-        full, more = dict(dealt(_deal(to, texts), to, what)), dict(dealt(_deal(doc[open_], texts), doc[open_], context[open_]))
+        lists = [dict(dealt(_deal(d, texts), d, c)) for d, c in ((to, what), (doc[rare], context[rare]), (doc[often], context[often]))]
         none = [np.zeros(0, np.int64), np.zeros(0, U64)]
-        return _table([(k, blob(*_listed(*full.get(k, none)), *_listed(*more.get(k, none)))) for k in sorted({*full, *more})])
+        return _table([(k, blob(*(column for x in lists for column in _listed(*x.get(k, none))))) for k in sorted({*lists[0], *lists[1], *lists[2]})])
 
     return sent.groupBy("target").applyInArrow(run, STEP_SQL)
 
@@ -236,9 +239,10 @@ class _Texts:
         self.data, self.offsets = text_bytes(pa.array([unpress(x.as_py()) for x in t["text"]], pa.large_binary()))
         self.threshold = threshold
 
-    def judged(self, full: np.ndarray, more: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], dict[str, np.ndarray]]:
-        """Intervals of bytes in neighbourhoods decided as repeated, and every window of the open ones: its anchor's rank, its name (the pair), its document, its place."""
-        intervals, out = [], {"rank": [], "name": [], "doc": [], "at": []}
+    def judged(self, lists: list[list[np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], dict[str, np.ndarray]]:
+        """Intervals of bytes in neighbourhoods decided as repeated, and every window of the open ones: its anchor's rank, whether that is frequent, its name (the pair), its document, its place."""
+        full, rare, often = (_read_list([x[i : i + 3] for x in lists]) for i in (0, 3, 6))
+        intervals, out = [], {"rank": [], "often": [], "name": [], "doc": [], "at": []}
         for piece in pieces(self.offsets, BLOCK, self.threshold - 1):
             found = Anchors(self.data[piece.start : piece.stop], piece.offsets, self.threshold)
             if not len(found.first):
@@ -247,22 +251,23 @@ class _Texts:
             entries = _entry(doc, _low(found.context, CONTEXT_BITS))
             hit = _is_in(entries, full)
             intervals.append((piece.start + found.first[hit], piece.start + found.last[hit] + self.threshold))
-            runs = np.flatnonzero(_is_in(entries, more) & ~hit)
+            frequent = _is_in(entries, often)
+            runs = np.flatnonzero((frequent | _is_in(entries, rare)) & ~hit)
             run, at = found.windows(runs)
             out["rank"].append(found.rank[runs][run])
+            out["often"].append(frequent[runs][run])
             out["name"].append(_low(found.pairs(at, at + found.apart), CONTEXT_BITS))
             out["doc"].append(doc[runs][run])
             out["at"].append(piece.start + at)
-        return intervals, {k: _all(v, U64 if k in ("rank", "name") else np.int64) for k, v in out.items()}
+        return intervals, {k: _all(v, {"rank": U64, "name": U64, "often": bool}.get(k, np.int64)) for k, v in out.items()}
 
 
-def _sorted_windows(windows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows by (rank, name, document), and whether the same string starts in a smaller document of the group."""
+def _sorted_windows(windows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Windows by (rank, name, document); again: the same string starts in a smaller document of the group."""
     order = np.lexsort((windows["doc"], windows["name"], windows["rank"]))
-    rank, name, doc, at = (windows[k][order] for k in ("rank", "name", "doc", "at"))
-    alike = _heads(rank, name)
-    again = _order(doc) > _order(doc[alike])[np.cumsum(alike) - 1] if len(doc) else np.zeros(0, bool)
-    return rank, name, doc, at, again
+    out = {k: x[order] for k, x in windows.items()}
+    alike, own = _heads(out["rank"], out["name"]), _order(out["doc"])
+    return out | {"again": own > own[alike][np.cumsum(alike) - 1]}
 
 
 def send_windows(texts: DataFrame, decided: DataFrame, ranks: int, threshold: int) -> DataFrame:
@@ -273,13 +278,12 @@ def send_windows(texts: DataFrame, decided: DataFrame, ranks: int, threshold: in
         if not steps.num_rows or not t.num_rows:
             return _table([])
         lists = [unblob(p.as_py()) for p in steps["payload"]]
-        _, windows = _Texts(t, threshold).judged(_read_list([x[:3] for x in lists]), _read_list([x[3:] for x in lists]))
-        rank, name, doc, _, again = _sorted_windows(windows)
-        sent = _heads(rank, name, doc) & ~again
-        rank, name, doc = rank[sent], name[sent], doc[sent]
+        w = _sorted_windows(_Texts(t, threshold).judged(lists)[1])
+        sent = _heads(w["rank"], w["name"], w["doc"]) & ~w["again"]
+        rank, name, doc, often = (w[k][sent] for k in ("rank", "name", "doc", "often"))
         rows = []
-        for k, (r, n, d) in dealt(_deal(rank ^ name, ranks), rank, name, doc):
-            # By document, then rank: a document's anchors stand together.
+        for k, (r, n, d) in dealt(_deal(np.where(often, rank ^ name, rank), ranks), rank, name, doc):
+            # By document, then rank: the positions around an anchor stand together.
             by = np.lexsort((n, r, d))
             rows.append((k, blob(_low(r[by], RANK_BITS) - np.append(U64(0), _low(r[by][:-1], RANK_BITS)), *_cut(n[by]), np.diff(d[by], prepend=0).astype("<i8"))))
         return _table(rows)
@@ -352,11 +356,11 @@ def _finish(by_text: DataFrame, steps: DataFrame, threshold: int, digests: bool,
     @lean
     def run(t: pa.Table, steps: pa.Table) -> pa.Table:
         lists = [unblob(p.as_py()) for p in steps["payload"]]
-        own, both = _Texts(t, threshold), [x for x in lists if len(x) == 6]
-        intervals, windows = own.judged(_read_list([x[:3] for x in both]), _read_list([x[3:] for x in both]))
-        _, name, doc, at, again = _sorted_windows(windows)
-        again |= _is_in(_entry(doc, name), _read_list([x for x in lists if len(x) == 3]))
-        intervals.append((at[again], at[again] + threshold))
+        own = _Texts(t, threshold)
+        intervals, windows = own.judged([x for x in lists if len(x) == 9])
+        w = _sorted_windows(windows)
+        at = w["at"][w["again"] | _is_in(_entry(w["doc"], w["name"]), _read_list([x for x in lists if len(x) == 3]))]
+        intervals.append((at, at + threshold))
         lost, until = (np.sort(_all(x, np.int64)) for x in zip(*intervals, strict=True))
         out = []
         for a, b in spans(own.offsets, BLOCK):

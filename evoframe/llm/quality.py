@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.llm.common import checkpointed, spans, text_bytes
+from evoframe.llm.common import checkpointed, lean, spans, text_bytes
 from evoframe.llm.suffixes import Names
 
 CUT = 0.7
@@ -67,6 +67,7 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, features) of every whole text; null counts as empty."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
