@@ -156,6 +156,10 @@ def spans(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+#: Edges in one file of a step of components(): few edges don't need as many files as there are shuffle partitions.
+EDGES_PER_FILE = 200_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component_id) of every vertex of an edge: the smallest id that edges lead to.
 
@@ -164,6 +168,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     e, before = checkpointed(e), None
+    files = max(1, e.count() // EDGES_PER_FILE)  # the number of edges doesn't grow from here
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -171,7 +176,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(low, "a")
         small = linked.select("a", F.col("m").alias("b")).unionByName(linked.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = checkpointed(small.where("a <> b").distinct())
+        e = checkpointed(small.where("a <> b").distinct().coalesce(files))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break

@@ -1,12 +1,16 @@
 """N-gram Jaccard join as a T-occurrence problem, solved by DivideSkip.
 
-Two sets of sizes m <= n with a Jaccard similarity of at least s share at least T = s / (1 + s) * (m + n) shingles, so a
-document can leave its T - 1 longest inverted lists out of the merge: what it is to find is on one of the others. Only these short
-lists (a document's rarest shingles, by one order for the whole corpus) are built and merged across the corpus. Each
-candidate is then searched among the full lists of its group: the short ones by a heap merge, the long ones by binary probes.
+Two sets of sizes m <= n with a Jaccard similarity of at least s share at least T = s / (1 + s) * (m + n) shingles, so of a
+query's inverted lists its T - 1 longest ones can be left out of the merge: what it is to find is on one of the others.
+
+Across the corpus, the short lists (of each document's rarest shingles, by one order for the whole corpus) decide which documents
+meet in a group. Each group then has its own inverted index over the whole sets of its documents, in which every query is answered by DivideSkip: its
+short lists are heap-merged, which yields candidates with partial counts, its long ones are probed by binary search for those
+candidates only, and those that reach the required overlap are linked.
 
 Links only serve to connect, so a long short-list (a large group of near copies) isn't expanded into all its pairs: a first
-round compares its documents with two leaders and with their neighbours in size, a second one every pair that the first left in different components.
+round brings its documents together with two leaders and with their neighbours in size, a second one every pair that the first left in different components.
+Long lists are dealt in chunks in both rounds.
 """
 
 from __future__ import annotations
@@ -22,17 +26,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.llm.common import GOLDEN, U64, blob, checkpointed, components, dealt, fresh, mix, spans, text_bytes, unblob
+from evoframe.llm.common import GOLDEN, U64, blob, checkpointed, components, dealt, fresh, lean, mix, spans, text_bytes, unblob
 from evoframe.llm.shingles import WORDS, shingle_sets
 
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 3, 4
 #: Counters of shingle frequencies: 2**SKETCH_BITS numbers of 4 bytes, whatever the corpus; they only order the lists.
 SKETCH_BITS, SLICES = 22, 16
-BLOCK, BLOCK_POSTINGS = 1 << 21, 2_000_000
-DOCS_PER_BUCKET, PAIRS_PER_GROUP, PER_LEADER = 4000, 2000, 200
-#: Lists of up to so many documents are compared in full at once.
-SMALL = 12
+#: So many tasks' counts are summed up in one step; their sums again, until one is left.
+FAN = 32
+BLOCK, BLOCK_POSTINGS = 1 << 20, 1_000_000
+#: Documents of a bucket of lists; pairs of a group, and bytes of packed texts in it; partners of a query that stay together.
+DOCS_PER_BUCKET, PAIRS_PER_GROUP, BYTES_PER_GROUP, PER_LEADER = 4000, 2000, 3 << 20, 200
+#: Lists of up to so many documents are compared in full at once; longer ones in chunks of about so many.
+SMALL, CHUNK = 12, 2000
 TOKEN_BITS = U64(48)
 
 
@@ -61,6 +68,7 @@ def _slot(values: np.ndarray) -> np.ndarray:
 
 
 FIRST_SQL = "slice int, payload binary"
+SUM_SQL = "slice int, chunk int, payload binary"
 
 
 def _row(key: int, payload: bytes, name: str) -> pa.RecordBatch:
@@ -70,6 +78,7 @@ def _row(key: int, payload: bytes, name: str) -> pa.RecordBatch:
 def first_pass(docs: DataFrame) -> DataFrame:
     """Documents with the size and name of their sets (slice -1), and each task's counts of shingles by hashed slots."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
@@ -86,20 +95,27 @@ def first_pass(docs: DataFrame) -> DataFrame:
 
 
 def sketch(first: DataFrame) -> np.ndarray:
-    """The tasks' counts summed up, slice by slice; of one size whatever the corpus."""
+    """The tasks' counts summed up by slices, as a tree of partial sums; of one size whatever the corpus."""
 
+    @lean
     def run(t: pa.Table) -> pa.Table:
         total = np.zeros(0, np.uint32)
         for p in t["payload"]:
-            part = unblob(p.as_py())[0]
-            total = part.astype(np.uint32) + (total if len(total) else np.uint32(0))
-        return pa.table({"slice": pa.array([t["slice"][0].as_py()], pa.int32()), "payload": pa.array([blob(total)], pa.binary())})
-
-    rows = first.where("slice >= 0").groupBy("slice").applyInArrow(run, FIRST_SQL).collect()
+            part = unblob(p.as_py())[0].astype(np.uint32)
+            total = np.maximum(part, part + total) if len(total) else part  # a count that runs over stays large
+        return pa.table({"slice": t["slice"].slice(0, 1), "chunk": t["chunk"].slice(0, 1), "payload": pa.array([blob(total)], pa.binary())})
+
+    tasks = first.rdd.getNumPartitions()
+    parts = first.where("slice >= 0").select("slice", F.spark_partition_id().alias("chunk"), "payload")
+    while tasks:
+        tasks = (tasks - 1) // FAN
+        parts = parts.withColumn("chunk", F.floor(F.col("chunk") / FAN).cast("int")).groupBy("slice", "chunk").applyInArrow(run, SUM_SQL)
+    rows = parts.collect()
     return np.concatenate([unblob(r.payload)[0] for r in sorted(rows, key=lambda r: r.slice)]) if rows else np.zeros(1 << SKETCH_BITS, np.uint32)
 
 
 def set_rows(first: DataFrame) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in batch.column(0):
@@ -113,6 +129,7 @@ def set_rows(first: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, often, buckets: int) -> DataFrame:
     """Short-list entries of distinct sets, dealt by shingle: (shingle, set, its size, the shingle's place in the set's order)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, n_held, seen = often.value, [], 0, set()
 
@@ -152,6 +169,7 @@ def short_lists(sent: DataFrame) -> DataFrame:
     place is the first one that the set has for any of the shingles with this list.
     """
 
+    @lean
     def run(t: pa.Table) -> pa.Table:
         bucket, parts = t["bucket"][0].as_py(), []
         for p in t["payload"]:
@@ -195,114 +213,161 @@ def _may_link(n_a: np.ndarray, n_b: np.ndarray, place_a: np.ndarray, place_b: np
 
 
 AT_ONCE = 1 << 20
-
-
-def _pairs_of_lists(t: pa.Table, across: bool) -> pa.Table:
-    """Pairs to compare. across: only those of different components; else all of a small list, and of a large one those with leaders and neighbours."""
-    order = np.lexsort((t["cls"].to_numpy(), t["n"].to_numpy(), t["list"].to_numpy()))
-    lists, cls, n, place = (t[c].to_numpy()[order] for c in ("list", "cls", "n", "place"))
-    part = t["part"].to_numpy()[order] if across else None
-    heads = np.flatnonzero(_heads(lists)) if len(lists) else []
-    out = [np.zeros((0, 2), np.int64)]
-
-    def add(a: int, i: np.ndarray, j: np.ndarray) -> None:
-        ok = (i != j) & _may_link(n[a + i], n[a + j], place[a + i], place[a + j])
-        if across:
-            ok &= part[a + i] != part[a + j]
-        x, y = cls[a + i[ok]], cls[a + j[ok]]
-        out.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
-
-    for a, b in zip(heads, [*heads[1:], len(lists)], strict=True):
-        m = b - a
-        if across:
-            where, label = np.argsort(part[a:b], kind="stable"), np.sort(part[a:b])
-            edges = np.flatnonzero(_heads(label))
-            if len(edges) < 2:
-                continue
-            # All members against those of every component but the largest: the pairs within the largest are never made.
-            sizes = np.diff(np.append(edges, m))
-            big = edges[sizes.argmax()]
-            others = np.concatenate([where[:big], where[big + sizes.max() :]])
-            step = max(1, AT_ONCE // m)
+PAIRS_SQL = "a long, b long"
+
+
+class _Members:
+    """Rows of a group in the order of (list, chunk, size), and the pairs of them that may be linked."""
+
+    def __init__(self, t: pa.Table) -> None:
+        keys = [t[c].to_numpy() for c in ("cls", "n", "chunk", "list")]
+        order = np.lexsort(keys)
+        self.cls, self.n, chunk, lists = (x[order] for x in keys)
+        self.place, self.t, self.order = t["place"].to_numpy()[order], t, order
+        heads = np.flatnonzero(_heads(lists, chunk)).tolist() if len(order) else []
+        self.runs = list(zip(heads, [*heads[1:], len(order)], strict=True))
+        self.found = [np.zeros((0, 2), np.int64)]
+
+    def column(self, name: str) -> np.ndarray:
+        return self.t[name].to_numpy()[self.order]
+
+    def add(self, cls: np.ndarray, n: np.ndarray, place: np.ndarray, j: np.ndarray, also: np.ndarray | bool = True) -> None:
+        ok = (cls != self.cls[j]) & _may_link(n, self.n[j], place, self.place[j]) & also
+        x, y = cls[ok], self.cls[j][ok]
+        self.found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
+
+    def pairs(self) -> pa.Table:
+        found = np.unique(np.concatenate(self.found), axis=0)
+        return pa.table({"a": pa.array(np.ascontiguousarray(found[:, 0])), "b": pa.array(np.ascontiguousarray(found[:, 1]))})
+
+
+def first_round(lists: DataFrame, groups: int) -> DataFrame:
+    """All pairs of short lists; of a long one, those of each chunk with the list's leaders and with the next ones in size."""
+
+    @lean
+    def small(t: pa.Table) -> pa.Table:
+        m = _Members(t)
+        for a, b in m.runs:
+            i, j = np.triu_indices(b - a, 1)
+            m.add(m.cls[a + i], m.n[a + i], m.place[a + i], a + j)
+        return m.pairs()
+
+    @lean
+    def large(t: pa.Table) -> pa.Table:
+        m = _Members(t)
+        every = np.arange(len(m.cls))
+        for k in ("first", "second"):
+            m.add(*(m.column(f"{k}_{c}") for c in ("cls", "n", "place")), every)
+        for a, b in m.runs:
+            m.add(m.cls[a : b - 1], m.n[a : b - 1], m.place[a : b - 1], every[a + 1 : b])
+        return m.pairs()
+
+    few = lists.where(F.col("size") <= SMALL).withColumns({"chunk": F.lit(0), "g": F.pmod(F.xxhash64("list"), F.lit(groups))})
+    long = lists.where(F.col("size") > SMALL)
+    # Leaders have few rarer shingles than this one: they are the least edited, and most like all others.
+    own = F.struct("cls", "n", "place")
+    leaders = checkpointed(long.groupBy("list").agg(F.min_by(own, F.struct("place", F.xxhash64("cls"))).alias("x"), F.min_by(own, F.struct("place", F.xxhash64("cls", "list"))).alias("y")))
+    leaders = leaders.select("list", *[F.col(f"{s}.{c}").alias(f"{k}_{c}") for k, s in (("first", "x"), ("second", "y")) for c in ("cls", "n", "place")])
+    long = long.join(leaders, "list").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / CHUNK)))
+    long = long.withColumn("g", F.pmod(F.xxhash64("list", "chunk"), F.lit(groups)))
+    return few.groupBy("g").applyInArrow(small, PAIRS_SQL).unionByName(long.groupBy("g").applyInArrow(large, PAIRS_SQL)).distinct()
+
+
+def second_round(lists: DataFrame, parts: DataFrame, groups: int) -> DataFrame:
+    """The pairs of long lists whose documents are in different components: every chunk against every chunk of those outside the list's largest component."""
+
+    @lean
+    def across(t: pa.Table) -> pa.Table:
+        m = _Members(t)
+        part, asks = m.column("part"), m.column("asks")
+        for a, b in m.runs:
+            members, others = a + np.flatnonzero(~asks[a:b]), a + np.flatnonzero(asks[a:b])
+            step = max(1, AT_ONCE // max(1, len(members)))
             for k in range(0, len(others), step):
-                some = others[k : k + step]
-                add(a, np.repeat(some, m), np.tile(np.arange(m), len(some)))
-        elif m <= SMALL:
-            add(a, *np.triu_indices(m, 1))
-        else:
-            # Leaders have few rarer shingles than this one: they are the least edited, and most like all others.
-            leaders = np.lexsort((mix(cls[a:b].view(U64)), place[a:b]))[:2]
-            add(a, np.concatenate([np.repeat(leaders, m), np.arange(m - 1)]), np.concatenate([np.tile(np.arange(m), 2), np.arange(1, m)]))
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
-
-
-def divide_skip(query: np.ndarray, others: list[np.ndarray]) -> list[int]:
-    """Which of the other sets share enough shingles with the query (ascending names): short lists are heap-merged, long ones probed."""
-    need = [least_shared(len(query), len(x)) for x in others]
-    token, owner = np.concatenate(others), np.repeat(np.arange(len(others)), [len(x) for x in others])
-    at = np.minimum(np.searchsorted(query, token), len(query) - 1)
-    held = query[at] == token
-    at, owner = at[held], owner[held]
-    order = np.lexsort((owner, at))
-    at, owner = at[order], owner[order].tolist()
-    edges = np.append(np.flatnonzero(np.append(True, at[1:] != at[:-1])), len(at)) if len(at) else np.zeros(1, np.int64)
-    lists = sorted((owner[i:j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)), key=len)
-    long = min(len(lists), min(need) - 1)
-    short, long_lists = lists[: len(lists) - long], lists[len(lists) - long :]
-    out = []
-    for c, run in groupby(heapq.merge(*short)):
-        have, left = sum(1 for _ in run), len(long_lists)
-        for probe in long_lists:
-            if have >= need[c] or have + left < need[c]:
-                break
-            i = bisect_left(probe, c)
-            have += i < len(probe) and probe[i] == c
-            left -= 1
-        if have >= need[c]:
-            out.append(c)
-    return out
+                i, j = np.repeat(others[k : k + step], len(members)), np.tile(members, len(others[k : k + step]))
+                m.add(m.cls[i], m.n[i], m.place[i], j, part[i] != part[j])
+        return m.pairs()
+
+    long = lists.where(F.col("size") > SMALL).join(parts.withColumnRenamed("id", "cls"), "cls", "left").withColumn("part", F.coalesce("component_id", "cls"))
+    of_list = long.groupBy("list", "part").agg(F.count("*").alias("k")).groupBy("list").agg(F.max_by("part", F.struct("k", "part")).alias("most"), (F.sum("k") - F.max("k")).alias("others"))
+    mixed = checkpointed(of_list.where("others > 0").select("list", "most", F.ceil(F.col("others") / CHUNK).alias("asked")))
+    long = long.join(mixed, "list").select("list", "cls", "n", "place", "part", (F.col("part") != F.col("most")).alias("other"), F.ceil(F.col("size") / CHUNK).alias("held"), "asked")
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    columns = ["list", "cls", "n", "place", "part"]
+    members = long.select(*columns, F.lit(False).alias("asks"), F.pmod(F.xxhash64("cls"), "held").alias("x"), F.explode(numbers("asked")).alias("y"))
+    others = long.where("other").select(*columns, F.lit(True).alias("asks"), F.explode(numbers("held")).alias("x"), F.pmod(F.xxhash64("cls", "list"), "asked").alias("y"))
+    rows = members.unionByName(others).select(*columns, "asks", F.xxhash64("x", "y").alias("chunk"))
+    return rows.withColumn("g", F.pmod(F.xxhash64("list", "chunk"), F.lit(groups))).groupBy("g").applyInArrow(across, PAIRS_SQL).distinct()
+
+
+class Index:
+    """Inverted lists over the whole sets of a group: for each shingle the numbers of the sets that hold it, ascending."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.values, self.sizes, self.ends = values, sizes.tolist(), np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(values, kind="stable")
+        token, self.owner = values[order], owner[order]
+        self.begin = np.flatnonzero(_heads(token)) if len(token) else np.zeros(0, np.int64)
+        self.tokens, self.stop = token[self.begin], np.append(self.begin[1:], len(token))
+
+    def search(self, q: int) -> list[int]:
+        """The other sets that share enough shingles with set q, by DivideSkip."""
+        n = self.sizes[q]
+        own = np.searchsorted(self.tokens, self.values[self.ends[q] - n : self.ends[q]])
+        size = self.stop[own] - self.begin[own]
+        own, size = own[size > 1], size[size > 1]  # the others hold q alone
+        least = least_shared(n, -(-NUMERATOR * n // DENOMINATOR))  # T for the smallest partner
+        if len(own) < least:
+            return []
+        by = np.argsort(size, kind="stable")
+        lists = [self.owner[a:b].tolist() for a, b in zip(self.begin[own[by]].tolist(), self.stop[own[by]].tolist(), strict=True)]
+        cut = len(lists) - (least - 1)
+        short, long = lists[:cut], lists[cut:]
+        out = []
+        for c, run in groupby(heapq.merge(*short)):
+            need = least_shared(n, self.sizes[c])
+            have, left = sum(1 for _ in run), len(long)
+            if c == q or DENOMINATOR * min(n, self.sizes[c]) < NUMERATOR * max(n, self.sizes[c]):
+                continue
+            for probe in long:
+                if have >= need or have + left < need:
+                    break
+                i = bisect_left(probe, c)
+                have += i < len(probe) and probe[i] == c
+                left -= 1
+            if have >= need:
+                out.append(c)
+        return out
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones of (a, b): a leader's partners are dealt over groups in portions, so no task gathers all of a large group."""
-    groups = max(1, -(-pairs.count() // PAIRS_PER_GROUP))
-    portions = pairs.groupBy("a").agg(F.count("*").alias("k"))
-    dealt_pairs = (
+    """The links among the documents of each group: (a, b) brings b into a group of the query a, whose partners are dealt over groups in portions."""
+    n, size = pairs.count(), texts.agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-n // PAIRS_PER_GROUP), int(n * size) // BYTES_PER_GROUP)
+    portions = checkpointed(pairs.groupBy("a").agg(F.count("*").alias("k")))
+    asked = (
         pairs.join(portions, "a")
         .withColumn("portion", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / PER_LEADER)))
-        .withColumn("g", F.pmod(F.xxhash64("a", "portion"), F.lit(groups)))
+        .select(F.pmod(F.xxhash64("a", "portion"), F.lit(groups)).alias("g"), "a", "b")
     )
-    wanted = dealt_pairs.select("g", "a", F.col("b").alias("cls")).unionByName(dealt_pairs.select("g", "a", F.col("a").alias("cls")).distinct())
-    rows = wanted.join(texts, "cls")
+    held = asked.select("g", F.col("a").alias("cls"), F.lit(True).alias("asks")).unionByName(asked.select("g", F.col("b").alias("cls"), F.lit(False).alias("asks")))
+    rows = held.groupBy("g", "cls").agg(F.bool_or("asks").alias("asks")).join(texts, "cls")
 
+    @lean
     def run(t: pa.Table) -> pa.Table:
-        unpress, sets = zstandard.ZstdDecompressor().decompress, {}
-        cls, a = t["cls"].to_pylist(), t["a"].to_pylist()
-        known: dict[int, int] = {}
-        for i, c in enumerate(cls):
-            known.setdefault(c, i)
-        names = sorted(known)
-        raw = pa.array([unpress(t["text"][known[c]].as_py()) for c in names], pa.large_binary())
-        data, offsets = text_bytes(raw)
+        unpress, parts, left, right = zstandard.ZstdDecompressor().decompress, [], [], []
+        data, offsets = text_bytes(pa.array([unpress(x.as_py()) for x in t["text"]], pa.large_binary()))
         for i, j in spans(offsets, BLOCK):
-            values, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            ends = np.cumsum(sizes)
-            for k in range(i, j):
-                sets[names[k]] = values[ends[k - i] - sizes[k - i] : ends[k - i]]
-        partners: dict[int, set[int]] = {}
-        for x, y in zip(a, cls, strict=True):
-            if x != y:
-                partners.setdefault(x, set()).add(y)
-        left, right = [], []
-        for x in sorted(partners):
-            own = sorted(partners[x])
-            for k in divide_skip(sets[x], [sets[y] for y in own]):
-                left.append(x)
-                right.append(own[k])
+            parts.append(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+        index, names = Index(*(np.concatenate(x) for x in zip(*parts, strict=True))), t["cls"].to_pylist()
+        for q in np.flatnonzero(t["asks"].to_numpy()).tolist():
+            for c in index.search(q):
+                left.append(names[q])
+                right.append(names[c])
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return rows.groupBy("g").applyInArrow(run, "a long, b long")
+    return rows.groupBy("g").applyInArrow(run, PAIRS_SQL)
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -315,16 +380,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = set_rows(first)
     lists = checkpointed(short_lists(postings(own, often, buckets)))
     # The texts of one document for each set that is on a list.
-    needed = sets.join(lists.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("row").alias("row"))
+    needed = sets.groupBy("cls").agg(F.min("row").alias("row")).join(lists.select("cls").distinct(), "cls", "left_semi")
     texts = checkpointed(_pressed(own).join(needed, "row").select("cls", "text"))
 
-    in_lists = lambda rows, across: rows.withColumn("g", F.pmod(F.xxhash64("list"), F.lit(4 * buckets))).groupBy("g").applyInArrow(lambda t: _pairs_of_lists(t, across), "a long, b long").distinct()
-    tested = checkpointed(in_lists(lists, False))
+    tested = checkpointed(first_round(lists, 4 * buckets))
     links = checkpointed(compare(tested, texts))
     parts = components(links)
-    large = lists.where(F.col("size") > SMALL).join(parts.withColumnRenamed("id", "cls"), "cls", "left").withColumn("part", F.coalesce("component_id", "cls"))
-    mixed = large.groupBy("list").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("list")
-    rest = checkpointed(in_lists(large.join(mixed, "list", "left_semi"), True).join(tested, ["a", "b"], "left_anti"))
+    rest = checkpointed(second_round(lists, parts, 4 * buckets).join(tested, ["a", "b"], "left_anti"))
     more = checkpointed(compare(rest, texts))
     return sets, components(parts.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
 
@@ -332,6 +394,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _pressed(own: DataFrame) -> DataFrame:
     """(row, text), compressed; a task gives equal rows once."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, seen = zstandard.ZstdCompressor(level=1), set()
         for batch in batches:
@@ -363,7 +426,8 @@ def link(docs: DataFrame) -> DataFrame:
     gives no rows; further columns are ignored.
     """
     linked, without = _linked(docs)
-    smallest = linked.groupBy("part").agg(F.min("doc_id").alias("smallest"))
+    # Written out, so that the join below meets two plain exchanges and adaptive execution can split a large component.
+    smallest = checkpointed(linked.groupBy("part").agg(F.min("doc_id").alias("smallest")))
     return (
         linked.join(smallest, "part").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
         .unionByName(without.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

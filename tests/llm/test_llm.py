@@ -327,12 +327,24 @@ def test_divide_skip_counts_exactly():
     rng = np.random.default_rng(1)
     for _ in range(60):
         q = np.unique(rng.integers(0, 200, rng.integers(1, 60)).astype(np.uint64))
-        others = []
+        sets = [q]
         for _ in range(6):
             keep = q[rng.random(len(q)) > rng.random() * 0.4]
-            others.append(np.unique(np.concatenate([keep, rng.integers(200, 400, rng.integers(1, 10)).astype(np.uint64)])))
-        right = [k for k, x in enumerate(others) if 4 * (both := len(np.intersect1d(q, x))) >= 3 * (len(q) + len(x) - both)]
-        assert ngrams.divide_skip(q, others) == right
+            sets.append(np.unique(np.concatenate([keep, rng.integers(200, 400, rng.integers(1, 10)).astype(np.uint64)])))
+        index = ngrams.Index(np.concatenate(sets), np.array(list(map(len, sets))))
+        for i, x in enumerate(sets):
+            right = [k for k, y in enumerate(sets) if k != i and 4 * (both := len(np.intersect1d(x, y))) >= 3 * (len(x) + len(y) - both)]
+            assert index.search(i) == right
+
+
+def test_long_lists_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "CHUNK", 7)
+    monkeypatch.setattr(ngrams, "FAN", 2)
+    rng = random.Random(21)
+    texts = near_group(rng, 90) + [words(rng, 40) for _ in range(20)]
+    sets = [shingle_set(t) for t in texts]
+    got = {r.doc_id: r.component_id for r in ngrams.link(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(range(len(texts)), sets)
 
 
 def test_shingle_sets(texts):
