@@ -38,17 +38,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Blocks of this size and more go back to the system when they are freed, so that a worker holds little between tasks.
-_RETURNED = 1 << 20
-
-
 @cache
 def _allocator() -> ctypes.CDLL | None:
-    """The C library, told to keep little of what is freed; None where it isn't glibc."""
+    """The C library, from which Arrow takes its memory too; None where it isn't glibc."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, _RETURNED)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 4 * _RETURNED)  # M_TRIM_THRESHOLD
+        libc.malloc_trim
     except (OSError, AttributeError):
         return None
     pa.set_memory_pool(pa.system_memory_pool())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.llm.common import Forest, checkpointed, components
+from evoframe.llm.common import Forest, checkpointed, components, lean
 from evoframe.llm.vectors import matrix
 
 COSINE = 0.93
@@ -25,8 +25,10 @@ COSINE = 0.93
 PROJECTIONS, WIDTH = 24, 1.5
 #: Share of pairs at the threshold that each of the two steps may lose.
 LOSS = 0.005
-#: Vectors for each direction that deals them to cells; rows of one block of a large cell.
+#: Vectors of the most frequent label for each direction that deals them to cells; rows of one block of a large cell.
 PER_CELL, BLOCK = 200, 1024
+#: Directions of one level; where more are needed, a cell is one of the first level's and one of the next one's.
+MOST_DIRECTIONS = 1024
 
 
 @cache
@@ -35,12 +37,38 @@ def directions(n: int, width: int, seed: int) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def tails(unit: np.ndarray, n: int, r: int) -> np.ndarray:
-    """The r cells of each vector: the ends of sorted projections at which it is furthest out (cell c + n is the lower end of c)."""
-    p = unit @ directions(n, unit.shape[1], 11).T
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; divided by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def tails(unit: np.ndarray, n: int, r: int, level: int = 0) -> np.ndarray:
+    """The r ends of sorted projections at which each vector is furthest out (c + n is the lower end of c)."""
+    p = unit @ directions(n, unit.shape[1], 11 + 100 * level).T
     both = np.concatenate([p, -p], 1)
     r = min(r, both.shape[1])
-    return np.sort(np.argpartition(-both, r - 1, axis=1)[:, :r], axis=1)
+    return np.argpartition(-both, r - 1, axis=1)[:, :r]
+
+
+def own_cells(unit: np.ndarray, n: tuple[int, ...], cosine: float) -> np.ndarray:
+    """The cells of each vector, ascending: a tail of each level."""
+    out = np.zeros((len(unit), 1), np.int64)
+    for level, k in enumerate(n):
+        own = tails(unit, k, calibrated(k, unit.shape[1], cosine, len(n))[0], level)
+        out = (out[:, :, None] * (2 * k) + own[:, None, :]).reshape(len(unit), -1)
+    return np.sort(out, axis=1)
+
+
+def levels(vectors: int) -> tuple[int, ...]:
+    """Numbers of directions, level by level, for so many vectors of one label."""
+    need, deep = max(1, vectors // PER_CELL), 1
+    while MOST_DIRECTIONS**deep < need:
+        deep += 1
+    n = 16
+    while n**deep < need:
+        n *= 2
+    return (n,) * deep
 
 
 def collisions(left: np.ndarray, right: np.ndarray, width: float) -> np.ndarray:
@@ -56,8 +84,8 @@ def collisions(left: np.ndarray, right: np.ndarray, width: float) -> np.ndarray:
 
 
 @cache
-def calibrated(n: int, width: int, cosine: float = COSINE, pairs: int = 4000) -> tuple[int, int, float]:
-    """(cells for each vector, least collisions, window) that lose at most LOSS each of random pairs at the threshold."""
+def calibrated(n: int, width: int, cosine: float = COSINE, deep: int = 1, pairs: int = 4000) -> tuple[int, int, float]:
+    """(tails for each vector on each of so many levels, least collisions, window) that lose at most LOSS each of random pairs at the threshold."""
     rng = np.random.default_rng(17)
     x = rng.standard_normal((pairs, width))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -68,7 +96,7 @@ def calibrated(n: int, width: int, cosine: float = COSINE, pairs: int = 4000) ->
     p, q = x @ directions(n, width, 11).T, y @ directions(n, width, 11).T
     p, q = np.argsort(-np.concatenate([p, -p], 1), axis=1), np.argsort(-np.concatenate([q, -q], 1), axis=1)
     r = 1
-    while r < p.shape[1] and (p[:, :r, None] == q[:, None, :r]).any((1, 2)).mean() < 1 - LOSS:
+    while r < p.shape[1] and (p[:, :r, None] == q[:, None, :r]).any((1, 2)).mean() < 1 - LOSS / deep:
         r += 1
     half = WIDTH * np.sqrt(2 * (1 - cosine) / width)
     g = directions(PROJECTIONS, width, 13)
@@ -76,44 +104,46 @@ def calibrated(n: int, width: int, cosine: float = COSINE, pairs: int = 4000) ->
     return r, max(1, int(hits[int(LOSS * pairs)])), float(half)
 
 
-CELLS_SQL = "label int, cell int, cells array<int>, cid long, m long, embedding array<double>"
-
+def cells(classes: DataFrame, n: tuple[int, ...], cosine: float) -> DataFrame:
+    """Each class under each of its cells, with the vector as the table has it."""
+    kind = {f.name: f.dataType for f in classes.schema.fields}
 
-def cells(classes: DataFrame, n: int, cosine: float) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, _ = matrix(batch.column("embedding"))
-            sizes = pa.compute.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
+            vectors = batch.column("embedding")
+            x, _ = matrix(vectors)
+            sizes = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
             for width in np.unique(sizes).tolist():  # vectors of unlike length never link
                 at = np.flatnonzero(sizes == width)
-                unit = x[at, :width] / np.linalg.norm(x[at, :width], axis=1, keepdims=True)
-                own = tails(unit, n, calibrated(n, width, cosine)[0])
-                r = own.shape[1]
-                rows = np.repeat(at, r)
-                lists = pa.ListArray.from_arrays(np.arange(0, own.size * r + 1, r, dtype=np.int32), pa.array(np.repeat(own, r, axis=0).ravel().astype(np.int32)))
-                vectors = pa.ListArray.from_arrays(np.arange(0, len(rows) * width + 1, width, dtype=np.int32), pa.array(np.repeat(x[at, :width], r, axis=0).ravel()))
-                take = lambda c, rows=rows: batch.column(c).take(pa.array(rows))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([take("label"), pa.array(own.ravel().astype(np.int32)), lists, take("cid"), take("m"), vectors], ["label", "cell", "cells", "cid", "m", "embedding"])
+                for a in range(0, len(at), 4 * BLOCK):
+                    some = at[a : a + 4 * BLOCK]
+                    own = own_cells(scaled(x[some, :width]), n, cosine)
+                    r = own.shape[1]
+                    rows = pa.array(np.repeat(some, r))
+                    lists = pa.ListArray.from_arrays(np.arange(0, own.size * r + 1, r, dtype=np.int32), pa.array(np.repeat(own, r, axis=0).ravel()))
+                    columns = [batch.column("label").take(rows), pa.array(own.ravel()), lists, batch.column("cid").take(rows), batch.column("m").take(rows), pa.array(np.full(len(rows), width, np.int32)), vectors.take(rows)]
+                    yield pa.RecordBatch.from_arrays(columns, ["label", "cell", "cells", "cid", "m", "width", "embedding"])
 
-    return classes.mapInArrow(run, CELLS_SQL)
+    schema = f"label {kind['label'].simpleString()}, cell long, cells array<long>, cid long, m long, width int, embedding {kind['embedding'].simpleString()}"
+    return classes.mapInArrow(run, schema)
 
 
 FOUND_SQL = "cid long, links long, other long"
 
 
-def _links(cell: int, left: pd.DataFrame, right: pd.DataFrame | None, n: int, cosine: float) -> Iterator[tuple[int, int, int]]:
+def _links(cell: int, left: pd.DataFrame, right: pd.DataFrame | None, cosine: float) -> Iterator[tuple[int, int, int]]:
     """What a cell (or two blocks of it) shows: (cid, links, 0) and, with 0 links, edges (cid, 0, other) of a spanning forest.
 
     A link is counted only in the first cell that both vectors share.
     """
     sides = [left] if right is None else [left, right]
     ids = [s["cid"].to_numpy() for s in sides]
-    x = [np.stack(s["embedding"]).astype(np.float64) for s in sides]
+    x = [scaled(np.stack(s["embedding"]).astype(np.float64)) for s in sides]
     width = x[0].shape[1]
-    _, least, half = calibrated(n, width, cosine)
-    norms = [np.linalg.norm(v, axis=1) for v in x]
+    _, least, half = calibrated(16, width, cosine)
     g = directions(PROJECTIONS, width, 13)
-    p = [(v / k[:, None]) @ g.T for v, k in zip(x, norms, strict=True)]
+    p = [v @ g.T for v in x]
     counts = collisions(p[0], p[-1], half)
     a, b = np.nonzero(counts >= least)
     if right is None:
@@ -124,7 +154,7 @@ def _links(cell: int, left: pd.DataFrame, right: pd.DataFrame | None, n: int, co
         u, v = own[0][a[i : i + 50_000]], own[-1][b[i : i + 50_000]]
         shared = (u[:, :, None] == v[:, None, :]).any(2)
         first = u[np.arange(len(u)), shared.argmax(1)] == cell
-        cosines = np.einsum("ij,ij->i", x[0][a[i : i + 50_000]], x[-1][b[i : i + 50_000]]) / (norms[0][a[i : i + 50_000]] * norms[-1][b[i : i + 50_000]])
+        cosines = np.einsum("ij,ij->i", x[0][a[i : i + 50_000]], x[-1][b[i : i + 50_000]])
         keep[i : i + 50_000] = first & (cosines >= cosine)
     a, b = a[keep], b[keep]
     shift = 0 if right is None else len(ids[0])
@@ -143,36 +173,32 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Equal vectors of one label are one class, linked to each other by definition and searched once. A vector that is null,
     empty, zero, or holds null or non-finite components, or whose label is null, links with nothing, nor do vectors of unlike
-    length. A repeated vec_id stays several rows, counted one by one; an empty table gives no rows; further columns are ignored.
+    length. A label may be of any type that can be grouped by. A repeated vec_id stays several rows, counted one by one; an empty table gives no rows; further columns are ignored.
     """
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     valid = F.coalesce(F.col("label").isNotNull() & F.col("embedding").isNotNull() & whole, F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.when(valid, F.xxhash64("label", "embedding")).alias("cid"), "label", "embedding")
-    classes = (
-        rows.where("cid is not null").groupBy("cid")
-        .agg(F.first("label").cast("int").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("m"))
-    )
-    classes = checkpointed(classes)
-    n = 16
-    while n < min(4096, classes.count() // PER_CELL):
-        n *= 2
+    # Equal vectors meet by two 64-bit names; a class is then numbered, so that no two share a number.
+    names = [F.when(valid, F.xxhash64("label", "embedding")).alias("h"), F.when(valid, F.xxhash64("embedding", F.lit(1), "label")).alias("h2")]
+    rows = vectors.select(F.col("vec_id").cast("long"), *names, "label", "embedding")
+    classes = rows.where("h is not null").groupBy("h", "h2").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("m"))
+    classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))
+    n = levels(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
     dealt = cells(classes, n, cosine)
-    sizes = dealt.groupBy("label", "cell", F.size("embedding").alias("width")).agg(F.count("*").alias("size"))
     # A large cell is split into blocks, and each pair of blocks is a group: no task holds more than two blocks.
-    dealt = dealt.withColumn("width", F.size("embedding")).join(sizes, ["label", "cell", "width"]).where("size > 1")
-    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / BLOCK))).withColumn(
-        "t", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1))
-    )
-    dealt = dealt.withColumn("s1", F.least("s", "t")).withColumn("s2", F.greatest("s", "t"))
+    sizes = dealt.groupBy("label", "cell", "width").agg(F.count("*").alias("size")).where("size > 1")
+    large = checkpointed(sizes.select("label", "cell", "width", F.ceil(F.col("size") / BLOCK).alias("blocks")))
+    dealt = dealt.join(large, ["label", "cell", "width"]).withColumn("s", F.pmod(F.xxhash64("cid"), "blocks"))
+    dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"s1": F.least("s", "t"), "s2": F.greatest("s", "t")}).drop("blocks", "t")
 
     def one(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         _, cell, _, s1, s2 = key
         pdf = pdf.sort_values("cid", ignore_index=True)
         if s1 == s2:
-            found = _links(int(cell), pdf, None, n, cosine)
+            found = _links(int(cell), pdf, None, cosine)
         else:
             left, right = pdf[pdf["s"] == s1], pdf[pdf["s"] == s2]
-            found = _links(int(cell), left, right, n, cosine) if len(left) and len(right) else ()
+            found = _links(int(cell), left, right, cosine) if len(left) and len(right) else ()
         out = np.array(list(found), np.int64).reshape(-1, 3)
         return pd.DataFrame(out, columns=["cid", "links", "other"])
 
@@ -180,11 +206,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     links = found.where("links > 0").groupBy("cid").agg(F.sum("links").alias("links"))
     parts = components(found.where("links = 0").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     out = (
-        rows.select("vec_id", "cid").join(classes.select("cid", "m"), "cid", "left").join(links, "cid", "left")
+        rows.select("vec_id", "h", "h2").join(classes.select("h", "h2", "cid", "m"), ["h", "h2"], "left").join(links, "cid", "left")
         .join(parts.withColumnRenamed("id", "cid"), "cid", "left")
         .withColumn("part", F.coalesce("component_id", "cid"))
     )
-    smallest = out.where("part is not null").groupBy("part").agg(F.min("vec_id").alias("smallest"))
+    smallest = checkpointed(out.where("part is not null").groupBy("part").agg(F.min("vec_id").alias("smallest")))
     return out.join(smallest, "part", "left").select(
         "vec_id",
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("m") - 1, F.lit(0))).cast("long").alias("n_links"),

@@ -419,6 +419,28 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(d.where("false")).count() == 0
 
 
+def test_labels_of_any_type_and_large_components(spark):
+    v = [1e200, 2e200, -1e199]
+    rows = [(0, v, "x"), (1, [2 * c for c in v], "x"), (2, v, "y"), (3, [1e-200, 2e-200, -1e-201], "x"), (4, v, None)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (0, 2), 3: (2, 0), 4: (0, 4)}
+    rows = [(i, [1.0, i / 50], 1 << 40) for i in range(3)]
+    assert {r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()} == {2}
+
+
+def test_two_levels_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "MOST_DIRECTIONS", 16)
+    monkeypatch.setattr(embeddings, "PER_CELL", 4)
+    assert embeddings.levels(4 * 16 + 4) == (16, 16)
+    rng = np.random.default_rng(6)
+    rows = [(2 * i + k, (v + k * rng.standard_normal(24) * 0.2).tolist(), 1) for i, v in enumerate(rng.standard_normal((80, 24))) for k in range(2)]
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    right = ((x @ x.T) >= 0.93).sum() - len(x)
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert 0.98 * right <= sum(r.n_links for r in got) <= right and right > 100
+
+
 def test_large_cells_are_split(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 16)
     rng = np.random.default_rng(5)
