@@ -551,15 +551,43 @@ def test_search(spark):
         if i % 100 == 0:
             best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:10]
             wanted |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(best)}
-    assert {tuple(r) for r in search.top_k(d, shard_blocks=1, chunks_together=1).collect()} == wanted
+    assert {tuple(r) for r in search.top_k(d, block=32, part_blocks=2, range_parts=2, chunks_together=1).collect()} == wanted
+    assert {tuple(r) for r in search.top_k(d).collect()} == wanted
     assert search.top_k(d.where("vec_id in (100, 5)")).count() == 1
     assert search.top_k(d.where("false")).count() == 0
 
 
-def test_search_prunes_blocks():
+def test_repeated_ids_are_rows(spark):
+    rows = [(100, [1.0, 2.0]), (100, [3.0, -1.0]), (7, [1.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in search.top_k(d).collect())
+    k = 1 << 20
+    assert got == Counter({(100, 1, 7, 3 * k): 1, (100, 2, 100, k): 2, (100, 1, 7, 2 * k): 1})
+
+
+def test_huge_products():
     assert search._products(np.array([[1 << 40]]), np.array([[1 << 20]])).tolist() == [[1 << 60]]
 
 
+def test_search_prunes_blocks():
+    """Blocks along different terms: a query along one of them scores only its own blocks."""
+    import pyarrow as pa
+
+    rows, n = [], 8
+    for b in range(n):
+        x = np.full((20, n), 1, np.int64)
+        x[:, b] = 1000 + np.arange(20)
+        rows.append({"block": b, "part": 0, "ids": list(range(100 * b, 100 * b + 20)), "asks": [False] * 20, "width": n, "rows": search._packed(x), "high": x.max(0).tobytes(), "low": x.min(0).tobytes()})
+    part = pa.Table.from_pylist(rows)
+    one = np.array([-1])
+    q = np.zeros((1, n), np.int64)
+    q[0, 3] = 5
+    found, scored = search.search_part(search.Asked(one, one, one, np.array([search.NONE]), one, q), part, search.Maxima(part, n), 10, {})
+    assert scored == 1 and [r for *_, r, _ in found] == list(range(319, 309, -1))
+    # A threshold from elsewhere that no block reaches leaves nothing to score.
+    assert search.search_part(search.Asked(one, one, one, np.array([10**6]), one, q), part, search.Maxima(part, n), 10, {}) == ([], 0)
+
+
 # --- the registry
 
 
