@@ -374,6 +374,34 @@ def test_urls(spark):
     assert urls.judge(d.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("inline", [2000, 10])
+def test_hundreds_of_rules(spark, monkeypatch, tmp_path, inline):
+    """Rules that share their rare tokens, rules without a token, named and unnamed ones, read from a table."""
+    import json
+
+    monkeypatch.setattr(urls, "INLINE_RULES", inline)
+    rng = random.Random(31)
+    names = [f"{rng.choice('abc')}{k % 40}.{rng.choice(['com', 'net', 'org'])}" for k in range(150)]
+    lines = [{"verdict": rng.choice(["allow", "block"]), "rule": f"{h}/{rng.choice(['', 'en/', 'x', 'en/a/'])}"} for h in names]
+    lines += [{"verdict": "block", "pattern": rf"/p{k}(?:/|$)", "tokens": [f"p{k}"]} for k in range(100)]
+    lines += [{"verdict": "block", "pattern": r"\.exe$"}, {"verdict": "allow", "pattern": "^$", "name": "empty"}]
+    (tmp_path / "rules.json").write_text("\n".join(map(json.dumps, lines)))
+    rules = urls.read_rules(spark, str(tmp_path / "rules.json"))
+    assert len(rules) == len(lines)
+    pages = [(k, f"http://{rng.choice(['', 'www.', 'm.'])}{rng.choice(names)}/{rng.choice(['', 'en/', 'en/a/b', 'x1', f'p{k}', f'q/p{k % 60}/z', 'setup.exe'])}") for k in range(400)] + [(400, None), (401, "no host")]
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()}
+    for i, u in pages:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        fits = [r for r in rules if re.search(r.pattern, rest)]
+        named = max(((len(r.name), r.name, r.verdict) for r in fits if r.name), default=None)
+        assert got[i] == (named[1:] if named else (None, "block" if any(r.verdict == "block" for r in fits) else "allow"))
+
+
+def test_no_rules(spark):
+    d = spark.createDataFrame([(1, "http://A.net/x?y")], "page_id long, url string")
+    assert [tuple(r) for r in urls.judge(d, []).collect()] == [(1, "a.net", "/x", None, "allow")]
+
+
 def test_rarest_token(spark):
     d = spark.createDataFrame([(["ads", "x"],), (["ads"],), (["track"],)], "tokens array<string>")
     index = urls.index_rules(d, [urls.word_rule("block", "ads", "track"), urls.word_rule("block", "none", "x")]).collect()
