@@ -114,7 +114,7 @@ def banded_distance(a: str, b: str, k: int) -> Column:
 
 
 def near_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES, by_row: bool = False) -> DataFrame:
-    """(h, first, near): the first place of every distinct line that isn't blank, and the first one of those within the edits that come before it.
+    """(h, first, near) of the distinct lines that aren't blank and repeat, or come after another one within the edits: the first place, and the first one of those.
 
     Should two lines ever have one 64-bit name, a second name of 32 bits tells, and they are left out: both stay.
     """
@@ -122,9 +122,9 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES,
         raise ValueError("lines that are compared need at least (edits + 1) squared bytes")
     lines = places(docs, by_row).where("trim(line) <> ''")
     again = F.hash(F.lit(1), "line")
-    distinct = lines.groupBy("h").agg(F.min(F.struct(*_row(by_row), "pos")).alias("first"), F.min(F.col("line").cast("binary")).alias("b"), F.min(again).alias("low"), F.max(again).alias("high"), F.min(letter_counts(F.col("line"))).alias("counts"))
+    distinct = lines.groupBy("h").agg(F.count("*").alias("n_places"), F.min(F.struct(*_row(by_row), "pos")).alias("first"), F.min(F.col("line").cast("binary")).alias("b"), F.min(again).alias("low"), F.max(again).alias("high"), F.min(letter_counts(F.col("line"))).alias("counts"))
     # All that use the lines' bytes ask for the same columns, so that one exchange of them serves all.
-    distinct = distinct.where("low = high and first is not null and b is not null and counts is not null").select("h", "first", "b", "counts")
+    distinct = distinct.where("low = high and first is not null and b is not null and counts is not null").select("h", "first", "n_places", "b", "counts")
     long = distinct.select("h", "b", F.octet_length("b").alias("n"), "counts").where(F.col("n") >= min_bytes)
     held = long.select("h", "counts", F.explode(index_keys(edits)).alias("key"))
     asked = long.select(F.col("h").alias("g"), F.col("counts").alias("g_counts"), F.explode(probe_keys(edits)).alias("key"))
@@ -134,7 +134,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES,
     same = x.join(y, F.col("x.key") == F.col("y.key")).where("x.h < y.h").select("x.h", "x.counts", F.col("y.h").alias("g"), F.col("y.counts").alias("g_counts"))
     met = same.where(near).select("h", "g").unionByName(held.join(asked, "key").where(f"h <> g and {near}").select("h", "g"))
     pairs = met.select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
-    other = distinct.select(F.col("h").alias("g"), F.col("first").alias("g_first"), F.col("b").alias("g_b"))
+    other = distinct.select(F.col("h").alias("g"), F.col("first").alias("g_first"), F.col("n_places").alias("g_places"), F.col("b").alias("g_b"))
     both = pairs.join(distinct, "h").join(other, "g")
     # The longer line runs along the columns; equal lines have met in their group, so no pair is equal.
     own = F.octet_length("b") >= F.octet_length("g_b")
@@ -143,7 +143,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES,
     linked = both.where(F.when(few_blocks_differ("shorter", "longer", edits), banded_distance("shorter", "longer", edits)) <= edits)
     later = F.col("first") > F.col("g_first")
     near = linked.select(F.when(later, F.col("h")).otherwise(F.col("g")).alias("h"), F.least("first", "g_first").alias("near")).groupBy("h").agg(F.min("near").alias("near"))
-    return distinct.select("h", "first").join(near, "h", "left")
+    return distinct.select("h", "first", "n_places").join(near, "h", "left").where("n_places > 1 or near is not null").select("h", "first", "near")
 
 
 def judged_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES, by_row: bool = False) -> DataFrame:
@@ -153,7 +153,9 @@ def judged_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES
     place = F.struct(*key)
     own = lines.select(*key, "h", (F.trim("line") == "").alias("blank"))
     facts = near_lines(docs, edits, min_bytes, by_row)
-    out = own.join(facts, "h", "left")
+    # The second key makes the join deal both sides anew, the few facts too; of two plain exchanges adaptive execution can split a frequent line's.
+    again = F.xxhash64("h", F.lit(2)).alias("h2")
+    out = own.select("*", again).join(facts.select("*", again), ["h", "h2"], "left")
     repeated = F.coalesce(~F.col("blank") & (F.col("first") < place), F.lit(False))
     return out.select(*key, "blank", repeated.alias("repeated"), (~repeated & F.coalesce(F.col("near") < place, F.lit(False))).alias("near"))
 
