@@ -245,8 +245,8 @@ def test_bpe(spark, texts):
 def test_gradients_by_differences():
     net = language.BiGru(3, hidden=4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, mask, owner = language.pieces([b"abc", b"zz", b"longer than a sequence of steps"])
-    y = np.array([0, 1, 2])[owner]
+    x, mask = language.padded([b"abc", b"zz", b"a longer sequence of steps"])
+    y = np.array([0, 1, 2])
     _, g = net.gradients(x, mask, y)
     for k in net.p:
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
@@ -258,6 +258,27 @@ def test_gradients_by_differences():
         assert g[k][at] == pytest.approx((loss[0] - loss[1]) / 2e-4, rel=2e-2)
 
 
+def test_every_position_is_labelled_with_its_neighbours(monkeypatch):
+    """Segments side by side with run-ins, against one run through each text, or through each segment and its run-in."""
+    net, rng = language.BiGru(3, hidden=5), random.Random(3)
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 5, 39, 40, 41, 400)]
+
+    def run(raw):
+        x, mask = language.padded([raw])
+        both = np.concatenate([net._run("f", x, mask)[0], net._run("b", x, mask)[0]], 2)
+        return language._softmax(both @ net.p["out"] + net.p["bias"])[:, 0]
+
+    for segment, run_in in ((1000, 10), (40, 10)):
+        monkeypatch.setattr(language, "SEGMENT", segment)
+        monkeypatch.setattr(language, "RUN_IN", run_in)
+        monkeypatch.setattr(language, "POSITIONS", 130)
+        got = net.score(texts)
+        assert not got[0].any()
+        for k, t in enumerate(texts[1:], 1):
+            parts = [run(t[max(0, a - run_in) : a + segment + run_in])[min(a, run_in) :][:segment] for a in range(0, len(t), segment)]
+            assert sum(map(len, parts)) == len(t) and np.allclose(got[k], np.concatenate(parts).mean(0), atol=1e-5)
+
+
 def test_language(spark):
     rng = random.Random(6)
     parts = {"aa": ["the", "ing", "wh"], "bb": ["ção", "lh", "ões"], "cc": ["sch", "ung", "ö"]}
