@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.llm.common import GOLDEN, U64, blob, checkpointed, components, dealt, fresh, lean, mix, spans, text_bytes, unblob
+from evoframe.llm.common import GOLDEN, U64, Forest, blob, checkpointed, components, dealt, fresh, lean, mix, spans, text_bytes, unblob
 from evoframe.llm.shingles import WORDS, shingle_sets
 
 #: Similarity of at least NUMERATOR / DENOMINATOR.
@@ -38,8 +38,8 @@ FAN = 32
 BLOCK, BLOCK_POSTINGS = 1 << 20, 1_000_000
 #: Documents of a bucket of lists; pairs of a group, and bytes of packed texts in it; partners of a query that stay together.
 DOCS_PER_BUCKET, PAIRS_PER_GROUP, BYTES_PER_GROUP, PER_LEADER = 4000, 2000, 3 << 20, 200
-#: Lists of up to so many documents are compared in full at once; longer ones in chunks of about so many.
-SMALL, CHUNK = 12, 2000
+#: Lists of up to so many documents are compared in full at once; longer ones in chunks of about so many, in the first round and in the second.
+SMALL, CHUNK, ACROSS = 12, 250, 2000
 TOKEN_BITS = U64(48)
 
 
@@ -247,9 +247,10 @@ def first_round(lists: DataFrame, groups: int) -> DataFrame:
     @lean
     def small(t: pa.Table) -> pa.Table:
         m = _Members(t)
-        for a, b in m.runs:
-            i, j = np.triu_indices(b - a, 1)
-            m.add(m.cls[a + i], m.n[a + i], m.place[a + i], a + j)
+        begin, stop = np.array(m.runs, np.int64).reshape(-1, 2).T
+        for size in np.unique(stop - begin).tolist():  # all lists of one size at once
+            i, j = (((begin[stop - begin == size])[:, None] + k).ravel() for k in np.triu_indices(size, 1))
+            m.add(m.cls[i], m.n[i], m.place[i], j)
         return m.pairs()
 
     @lean
@@ -290,8 +291,8 @@ def second_round(lists: DataFrame, parts: DataFrame, groups: int) -> DataFrame:
 
     long = lists.where(F.col("size") > SMALL).join(parts.withColumnRenamed("id", "cls"), "cls", "left").withColumn("part", F.coalesce("component_id", "cls"))
     of_list = long.groupBy("list", "part").agg(F.count("*").alias("k")).groupBy("list").agg(F.max_by("part", F.struct("k", "part")).alias("most"), (F.sum("k") - F.max("k")).alias("others"))
-    mixed = checkpointed(of_list.where("others > 0").select("list", "most", F.ceil(F.col("others") / CHUNK).alias("asked")))
-    long = long.join(mixed, "list").select("list", "cls", "n", "place", "part", (F.col("part") != F.col("most")).alias("other"), F.ceil(F.col("size") / CHUNK).alias("held"), "asked")
+    mixed = checkpointed(of_list.where("others > 0").select("list", "most", F.ceil(F.col("others") / ACROSS).alias("asked")))
+    long = long.join(mixed, "list").select("list", "cls", "n", "place", "part", (F.col("part") != F.col("most")).alias("other"), F.ceil(F.col("size") / ACROSS).alias("held"), "asked")
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     columns = ["list", "cls", "n", "place", "part"]
     members = long.select(*columns, F.lit(False).alias("asks"), F.pmod(F.xxhash64("cls"), "held").alias("x"), F.explode(numbers("asked")).alias("y"))
@@ -342,7 +343,7 @@ class Index:
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links among the documents of each group: (a, b) brings b into a group of the query a, whose partners are dealt over groups in portions."""
+    """A spanning forest of the links among the documents of each group: (a, b) brings b into a group of the query a, whose partners are dealt over groups in portions."""
     n, size = pairs.count(), texts.agg(F.avg(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-n // PAIRS_PER_GROUP), int(n * size) // BYTES_PER_GROUP)
     portions = checkpointed(pairs.groupBy("a").agg(F.count("*").alias("k")))
@@ -361,10 +362,13 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for i, j in spans(offsets, BLOCK):
             parts.append(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
         index, names = Index(*(np.concatenate(x) for x in zip(*parts, strict=True))), t["cls"].to_pylist()
+        # A group's links are many where its documents are alike; a spanning forest connects as well.
+        forest = Forest(len(names))
         for q in np.flatnonzero(t["asks"].to_numpy()).tolist():
             for c in index.search(q):
-                left.append(names[q])
-                right.append(names[c])
+                if forest.join(q, c):
+                    left.append(names[q])
+                    right.append(names[c])
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return rows.groupBy("g").applyInArrow(run, PAIRS_SQL)

@@ -360,6 +360,7 @@ def test_divide_skip_counts_exactly():
 
 def test_long_lists_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "CHUNK", 7)
+    monkeypatch.setattr(ngrams, "ACROSS", 7)
     monkeypatch.setattr(ngrams, "FAN", 2)
     rng = random.Random(21)
     texts = near_group(rng, 90) + [words(rng, 40) for _ in range(20)]
