@@ -124,7 +124,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES,
     again = F.hash(F.lit(1), "line")
     distinct = lines.groupBy("h").agg(F.count("*").alias("n_places"), F.min(F.struct(*_row(by_row), "pos")).alias("first"), F.min(F.col("line").cast("binary")).alias("b"), F.min(again).alias("low"), F.max(again).alias("high"), F.min(letter_counts(F.col("line"))).alias("counts"))
     # All that use the lines' bytes ask for the same columns, so that one exchange of them serves all.
-    distinct = distinct.where("low = high and first is not null and b is not null and counts is not null").select("h", "first", "n_places", "b", "counts")
+    distinct = distinct.where("low = high and first is not null and b is not null and counts is not null and n_places > 0").select("h", "first", "n_places", "b", "counts")
     long = distinct.select("h", "b", F.octet_length("b").alias("n"), "counts").where(F.col("n") >= min_bytes)
     held = long.select("h", "counts", F.explode(index_keys(edits)).alias("key"))
     asked = long.select(F.col("h").alias("g"), F.col("counts").alias("g_counts"), F.explode(probe_keys(edits)).alias("key"))
