@@ -222,6 +222,7 @@ SECRETS = (
     ("[A-Za-z0-9]{32,}", "<REDACTED_TOKEN>"), ("sk-[A-Za-z0-9]{48}", "<REDACTED_API_KEY>"),
     (f"password[=:]{WHITE}*{WHITE.replace('[', '[^', 1)}+", "password=<REDACTED>"), (f"token[=:]{WHITE}*{WHITE.replace('[', '[^', 1)}+", "token=<REDACTED>"),
 )
+#: Colour and cursor codes of a terminal.
 ANSI = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 
 
@@ -267,17 +268,40 @@ def path_safe(model: Column) -> Column:
 
 #: File extension to language.
 EXTENSIONS = {
-    ".c": "C", ".c++": "C++", ".cc": "C++", ".cpp": "C++", ".cs": "C#", ".cxx": "C++", ".go": "Go", ".h": "C++", ".hs": "Haskell", ".java": "Java",
-    ".js": "JavaScript (Node.js)", ".kt": "Kotlin", ".m": "Objective-C", ".pas": "Pascal", ".php": "PHP", ".pl": "Prolog", ".py": "Python 3", ".rb": "Ruby",
-    ".rs": "Rust", ".scala": "Scala", ".ts": "TypeScript", ".zig": "Zig",
+    ".4th": "Forth", ".c": "C", ".c++": "C++", ".cc": "C++", ".c#": "C#", ".cpp": "C++", ".cs": "C#", ".cxx": "C++", ".cbl": "COBOL", ".cob": "COBOL",
+    ".cpy": "COBOL", ".forth": "Forth", ".frt": "Forth", ".fs": "F#", ".fth": "Forth", ".go": "Go", ".hs": "Haskell", ".java": "Java",
+    ".js": "JavaScript (Node.js)", ".ts": "TypeScript", ".kt": "Kotlin", ".lisp": "Common Lisp", ".cl": "Common Lisp", ".m": "Objective-C", ".ml": "OCaml",
+    ".pas": "Pascal", ".php": "PHP", ".pl": "Prolog", ".py": "Python 3", ".pyc": "Python 3", ".rb": "Ruby", ".rkt": "Racket", ".rs": "Rust",
+    ".scala": "Scala", ".f90": "Fortran", ".f": "Fortran", ".for": "Fortran", ".sh": "Bash", ".apl": "APL", ".ss": "Gerbil", ".jl": "Julia",
+    ".vb": "Visual Basic", ".dart": "Dart", ".zig": "Zig", ".swift": "Swift", ".nim": "Nim", ".lua": "Lua", ".pm": "Perl", ".sno": "SNOBOL",
+    ".odin": "Odin", ".a68": "Algol 68", ".cr": "Crystal", ".sim": "Simula 67", ".d": "D", ".mod": "Modula-2", ".st": "Smalltalk", ".adb": "Ada",
+    ".ads": "Ada", ".erl": "Erlang", ".ex": "Elixir",
 }
+#: Languages for which a main class, or a main file, is asked for; those whose main file shows in its text.
+MAIN_CLASS = ("Elixir", "Erlang", "Java", "Kotlin", "Modula-2", "Scala")
+MAIN_FILE = (
+    "Ada", "Algol 68", "APL", "Bash", "Crystal", "Dart", "Forth", "Gerbil", "JavaScript (Node.js)", "JavaScript (SpiderMonkey)", "Julia", "Common Lisp", "Lua",
+    "Nim", "Octave", "Pascal", "Perl", "PHP", "Python 2", "Python 3", "Racket", "Ruby", "Rust", "Simula", "Smalltalk", "SNOBOL", "TypeScript", "Zig",
+)
+MAIN_CALL = ("Java", "Rust", "Scala", "Kotlin")
+#: What only the second version of Python has.
+OLD_PYTHON = r"^\s*\bprint\b *[^ \(\),\]]|\braw_input\b"
+
+
+def old_python(code: Column) -> Column:
+    """True or false where a file tells by its first line or by a statement; null where it doesn't."""
+    lines = F.split(code, "\n")
+    first = F.get(lines, F.lit(0))
+    bang = first.startswith("#!")
+    used = F.exists(lines, lambda x: F.get(F.split(x, "#"), F.lit(0)).rlike(OLD_PYTHON))
+    return F.when(bang & F.contains(first, F.lit("python2")), True).when(bang & F.contains(first, F.lit("python3")), False).when(used, True)
 
 
 def language_of(extension: Column, has_c_files: Column, is_old_python: Column) -> Column:
     names = F.create_map(*[F.lit(v) for pair in EXTENSIONS.items() for v in pair])
     low = F.lower(extension)
     return (
-        F.when(extension == ".C", "C++").when((low == ".h") & has_c_files, "C").when((low == ".py") & is_old_python, "Python 2")
+        F.when(extension == ".C", "C++").when((low == ".h") & has_c_files, "C").when(low == ".h", "C++").when((low == ".py") & is_old_python, "Python 2")
         .otherwise(F.try_element_at(names, low))
     )
 
@@ -294,6 +318,20 @@ def status_text(code: Column) -> Column:
     return F.coalesce(F.try_element_at(names, code.cast("int")), F.concat(F.lit("Unknown status "), code.cast("string")))
 
 
+#: How the judge's answer names a submission.
+SUBMISSION = r"Submission ID: (\d+)"
+
+
+def submission_id(response: Column) -> Column:
+    """The number in the judge's answer; null without one."""
+    return first_match(response, SUBMISSION).try_cast("long")
+
+
+def shown_score(status: Column) -> Column:
+    """The number in brackets; empty without one."""
+    return F.coalesce(first_match(status, r"\(([\d\.]+)\)"), F.lit(""))
+
+
 def accepted_cases(html: Column) -> Column:
     """STRUCT<accepted, total>: leading non-empty results, and one less than the result marks."""
     results = F.regexp_extract_all(html, F.lit(r'<i class="([^"]*)"'), F.lit(1))
@@ -326,6 +364,7 @@ def safe_file_name(key: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(key, r"[^\p{L}\p{N}._-]", ""), F.lit("")), F.lit("artifact"))
 
 
+#: Fences that mark JSON, in the order they are tried.
 FENCES = (r"```json\s*\n(.*?)\n```", r"```json(.*?)```", r"`json\s*\n(.*?)\n`", r"```\s*json\s*\n(.*?)\n```")
 
 

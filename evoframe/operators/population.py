@@ -28,7 +28,8 @@ def best_program(programs: DataFrame, key: str | None = None) -> DataFrame:
     else:
         every = programs.agg(F.bool_and(F.map_contains_key(m, F.lit("combined_score"))).alias("every"))
         value = F.when(F.col("every"), metric(m, "combined_score")).otherwise(F.round(safe_average(m), 9))
-        rows = programs.join(F.broadcast(every)).withColumn("value", value)  # one row
+        # One row, by a key that isn't a constant, so that it is a hash join.
+        rows = programs.withColumn("_one", F.coalesce(F.size("metrics") * 0, F.lit(0))).join(every.withColumn("_one", F.lit(0)), "_one").withColumn("value", value)
     return rows.agg(F.max_by("id", F.struct("value", -F.col("seq"))).alias("id"), F.max("value").alias("value"))
 
 
@@ -63,6 +64,30 @@ def cells(programs: DataFrame, bins: int = 10, clamp: bool = True) -> DataFrame:
     return out.withColumn("cell", cell_key(F.col("b0"), F.col("b1")))
 
 
+def diversity_bins(programs: DataFrame, of: DataFrame, bins: int = 10, sample: int = 5, seed: str = "diversity") -> DataFrame:
+    """of: programs to place. (id, bin) by the mean edit distance to a fixed sample of all programs, the program itself perhaps among them; 0 while there are fewer than the sample's size."""
+    few = programs.select(F.col("code").alias("_other"), "id").orderBy(hash_order(seed, F.col("id")), "id").limit(sample)
+    # At most `sample` codes, gathered in one row that joins by a key.
+    few = few.groupBy().agg(F.collect_list("_other").alias("_sample")).withColumn("_one", F.lit(0))
+    pairs = of.select("id", "code", (F.length(F.col("id").cast("string")) * 0).alias("_one")).join(few, "_one").select("id", "code", F.explode_outer("_sample").alias("_other"))
+    mean = pairs.withColumn("_d", whole_edit_distance(F.col("code"), F.col("_other"))).groupBy("id").agg(F.avg("_d").alias("_mean"), F.count("_other").alias("_n"))
+    return mean.select("id", F.when(F.col("_n") < sample, F.lit(0).cast("long")).otherwise(bin_of(F.col("_mean") / 1000.0, bins)).alias("bin"))
+
+
+def grid(programs: DataFrame, dimensions: tuple[str, ...] = ("score", "complexity"), bins: int = 10, of: DataFrame | None = None) -> DataFrame:
+    """The programs (or those of `of`) with b0, b1, ... and their cell: complexity, diversity, score, or a metric by name, whose lack is the middle bin."""
+    rows, keys = programs if of is None else of, []
+    m = F.col("metrics")
+    for i, name in enumerate(dimensions):
+        keys.append(f"b{i}")
+        if name == "diversity":
+            rows = rows.join(diversity_bins(programs, rows, bins).withColumnRenamed("bin", f"b{i}"), "id")
+        else:
+            value = {"complexity": complexity_bin(F.col("code"), bins), "score": F.when(F.size(m) > 0, bin_of(F.round(safe_average(m), 9), bins)).otherwise(F.lit(0).cast("long"))}.get(name)
+            rows = rows.withColumn(f"b{i}", value if value is not None else F.when(metric(m, name).isNotNull(), bin_of(metric(m, name), bins)).otherwise(F.lit(bins // 2).cast("long")))
+    return rows.withColumn("cell", cell_key(*[F.col(k) for k in keys]))
+
+
 def champions(programs: DataFrame, bins: int = 10) -> DataFrame:
     """The best program of each cell; only a strictly better one would have replaced the first."""
     order = Window.partitionBy("cell").orderBy(F.desc("best_fit"), "seq")
@@ -88,15 +113,7 @@ def archive_fold(programs: DataFrame, n: int) -> DataFrame:
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[tuple] = []
-        for row in pdf.sort_values("seq")[["seq", "id", "fit", "best_fit"]].itertuples(index=False):
-            if len(held) < n:
-                held.append(row)
-                continue
-            worst = min(range(len(held)), key=lambda i: (held[i].fit, i))
-            if row.best_fit > held[worst].best_fit:
-                held[worst] = row
-        return pd.DataFrame({"island": pdf["island"].iloc[0], "id": [r.id for r in held]})
+        return _folded(pdf.sort_values("seq"), n)[["island", "id"]]
 
     return scored(programs).select("island", "seq", "id", "fit", "best_fit").groupBy("island").applyInPandas(fold, "island long, id long")
 
@@ -162,18 +179,48 @@ def archive_parent(programs: DataFrame, archive_: DataFrame, island: int, seed:
     return rows.agg(F.coalesce(F.min_by("id", F.when(F.col("island") == island, order)), F.min_by("id", order)).alias("id"))
 
 
-def inspirations(programs: DataFrame, parent_id: int, n: int, elite_ratio: float, seed: str) -> DataFrame:
-    """The best, then the top share, then random others: n of them, without the parent, each once."""
+def inspirations(programs: DataFrame, parent_id: int | str, n: int, elite_ratio: float, seed: str, cells_: DataFrame | None = None) -> DataFrame:
+    """The best, then the top share, then (given champions with their cells' b0, b1, ...) those of cells next to the parent's, then random others: n of them, without the parent, each once."""
     rows = scored(programs).where(F.col("id") != parent_id)
     elite = max(1, int(n * elite_ratio))
     best = rows.orderBy(F.desc("best_fit"), "seq").limit(1).select("id", F.lit(0).alias("priority"), F.lit("").alias("place"))
     top = rows.orderBy(F.desc("fit"), "seq").limit(elite).select("id", F.lit(1).alias("priority"), F.format_string("%020.9f", 1e9 - F.col("fit")).alias("place"))
     place = hash_order(seed, F.col("id"))
-    rest = rows.select("id", F.lit(2).alias("priority"), place.alias("place")).orderBy("place").limit(n + elite + 1)
-    pool = best.unionByName(top).unionByName(rest).groupBy("id").agg(F.min(F.struct("priority", "place")).alias("p"))
+    pool = best.unionByName(top)
+    if cells_ is not None:
+        bins = [c for c in cells_.columns if c.startswith("b") and c[1:].isdigit()]
+        own = cells_.where(F.col("id") == parent_id).select(*[F.col(b).alias(f"_{b}") for b in bins])
+        near = own
+        for b in bins:
+            near = near.withColumn(f"_{b}", F.explode(F.array(*[F.col(f"_{b}") + d for d in (-1, 0, 1)])))
+        keyed = cells_.where(cells_["champion"]).withColumn("_k", F.concat_ws("-", *bins))
+        near = keyed.join(near.select(F.concat_ws("-", *[f"_{b}" for b in bins]).alias("_k")), "_k", "left_semi").where(F.col("id") != parent_id)
+        pool = pool.unionByName(near.select("id", F.lit(2).alias("priority"), place.alias("place")).orderBy("place").limit(n))
+    rest = rows.select("id", F.lit(3 if cells_ is not None else 2).alias("priority"), place.alias("place")).orderBy("place").limit(2 * n + elite + 1)
+    pool = pool.unionByName(rest).groupBy("id").agg(F.min(F.struct("priority", "place")).alias("p"))
     return pool.orderBy("p", "id").limit(n).select("id", "p.priority")
 
 
+def archive_added(held: DataFrame, arrivals: DataFrame, n: int) -> DataFrame:
+    """held and arrivals: seq, id, fit, best_fit. The archive after the arrivals, one by one; both are bounded, by n and by a step's batch."""
+    both = held.select("seq", "id", "fit", "best_fit", F.lit(0).alias("new")).unionByName(arrivals.select("seq", "id", "fit", "best_fit", F.lit(1).alias("new")))
+    kind = both.schema["id"].dataType.simpleString()
+    return both.groupBy(F.lit(0).alias("one")).applyInPandas(lambda pdf: _folded(pdf.sort_values(["new", "seq"]), n)[["seq", "id", "fit", "best_fit"]], f"seq long, id {kind}, fit double, best_fit double")
+
+
+def _folded(rows: pd.DataFrame, n: int) -> pd.DataFrame:
+    """Filled first; then the lowest average goes if the arrival is better than it."""
+    fit, best, held = rows["fit"].tolist(), rows["best_fit"].tolist(), []
+    for k in range(len(rows)):
+        if len(held) < n:
+            held.append(k)
+            continue
+        worst = min(range(len(held)), key=lambda i: (fit[held[i]], i))
+        if best[k] > best[held[worst]]:
+            held[worst] = k
+    return rows.iloc[held]
+
+
 def final_choice(best: DataFrame, margin: float = 0.02) -> DataFrame:
     """tracked_id, tracked_score, best_id, best_score: the tracked one unless the other's combined score beats it by more than the margin."""
     return best.withColumn("chosen", F.when(F.col("best_score") > F.col("tracked_score") + margin, F.col("best_id")).otherwise(F.col("tracked_id")))

@@ -33,7 +33,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_json_dir(spark: SparkSession, path: str, schema: str = PROGRAMS) -> DataFrame:
     """One JSON document a file; files that don't parse are left out."""
-    return _parsed(spark.read.option("wholetext", True).text(path), schema)
+    return _parsed(spark.read.text(path, wholetext=True), schema)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
@@ -90,7 +90,7 @@ def write_files(rows: DataFrame, path: str) -> None:
 def read_templates(spark: SparkSession, path: str, defaults: dict[str, str]) -> DataFrame:
     """(name, text): *.txt files override the defaults."""
     base = spark.createDataFrame(list(defaults.items()), "name STRING, text STRING")
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("name"), F.col("value").alias("own"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("name"), F.col("value").alias("own"))
     return base.join(files, "name", "full").select("name", F.coalesce("own", "text").alias("text"))
 
 
@@ -161,3 +161,14 @@ class Checkpoint:
 
     def read(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         return spark.read.parquet(f"{self.path}/programs"), read_state(spark, f"{self.path}/state")
+
+
+def latest_checkpoint(spark: SparkSession, base: str) -> int | None:
+    """The greatest number among base/checkpoint_<number>; None without one. Folders are listed by name only, through Spark's file systems."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    numbers = [int(n.rpartition("_")[2]) for n in names if n.startswith("checkpoint_") and n.rpartition("_")[2].isdigit()]
+    return max(numbers, default=None)
