@@ -348,6 +348,9 @@ def ports(output: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda p: p.isNotNull())))
 
 
+#: What job messages say, and how it is counted.
+JOB_SIGNS = {"successful": "Successfully processed", "skipped": "Skipped", "errors": "Error processing"}
+
 #: Error class names.
 FATAL = (
     "AgentRuntimeError", "AgentRuntimeBuildError", "AgentRuntimeTimeoutError", "AgentRuntimeUnavailableError", "AgentRuntimeNotReadyError",

@@ -19,6 +19,11 @@ def island_nodes(islands: DataFrame, programs: DataFrame) -> DataFrame:
     return islands.select("island", F.explode("members").alias("id")).join(programs.drop("island"), "id")
 
 
+def members(membership: DataFrame, programs: DataFrame) -> DataFrame:
+    """membership: island, id, a row for each member; those without a program are left out."""
+    return membership.join(programs.drop("island"), "id")
+
+
 def children_stats(programs: DataFrame, key: str) -> DataFrame:
     value = metric(F.col("metrics"), key)
     return programs.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("children"), F.min(value).alias("low"), F.max(value).alias("high"))
@@ -85,6 +90,11 @@ def list_order(programs: DataFrame, by: str, key: str = "score") -> list[Column]
     return [first, F.col("seq")]
 
 
+def _with_one(programs: DataFrame, one: DataFrame) -> DataFrame:
+    """Every program with the single row of `one`, by a key that isn't a constant, so that it is a hash join."""
+    return programs.withColumn("_one", F.coalesce(F.size("metrics") * 0, F.lit(0))).join(one.withColumn("_one", F.lit(0)), "_one").drop("_one")
+
+
 def node_radius(programs: DataFrame, key: str = "score", low: float = 10, high: float = 32) -> DataFrame:
     """The metric scaled linearly into [low, high] over the table; missing 5, no range the middle. The range joins as one row."""
     value = metric(F.col("metrics"), key)
@@ -92,7 +102,7 @@ def node_radius(programs: DataFrame, key: str = "score", low: float = 10, high:
     span = programs.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     scaled = low + (value - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * (high - low)
     radius = F.when(value.isNull(), 5.0).when(F.col("_low") == F.col("_high"), (low + high) / 2).otherwise(scaled)
-    return programs.join(F.broadcast(span)).withColumn("radius", radius).drop("_low", "_high")
+    return _with_one(programs, span).withColumn("radius", radius).drop("_low", "_high")
 
 
 def metric_bar(programs: DataFrame, key: str = "score") -> DataFrame:
@@ -100,7 +110,7 @@ def metric_bar(programs: DataFrame, key: str = "score") -> DataFrame:
     value = metric(F.col("metrics"), key)
     span = metric_range(programs).where(F.col("key") == key).select(F.col("low").alias("_low"), F.col("high").alias("_high"))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - F.col("_low")) / (F.col("_high") - F.col("_low"))))
-    return programs.where(value.isNotNull()).join(F.broadcast(span)).withColumn("percent", share).drop("_low", "_high")
+    return _with_one(programs.where(value.isNotNull()), span).withColumn("percent", share).drop("_low", "_high")
 
 
 def undefined_groups(programs: DataFrame, key: str) -> DataFrame:
@@ -120,10 +130,38 @@ def graph_json(programs: DataFrame, archive: DataFrame) -> DataFrame:
     return nodes.unionByName(links).unionByName(kept)
 
 
-def ancestors(programs: DataFrame, start: int, spark_views: str = "lineage_programs") -> DataFrame:
-    """A program and all its ancestors, by a recursive query."""
-    programs.select("id", "parent_id").createOrReplaceTempView(spark_views)
-    return programs.sparkSession.sql(
-        f"WITH RECURSIVE up(id, parent_id, depth) AS (SELECT id, parent_id, 0 FROM {spark_views} WHERE id = {int(start)} "
-        f"UNION ALL SELECT p.id, p.parent_id, up.depth + 1 FROM up JOIN {spark_views} p ON p.id = up.parent_id) SELECT * FROM up"
-    )
+def ancestors(programs: DataFrame, start: int | str) -> DataFrame:
+    """A program and all its ancestors, with their distance (id, parent_id, depth): one join a level, from the few found last; a driver loop of as many steps as there are levels."""
+    own = programs.select("id", "parent_id")
+    level = own.where(F.col("id") == F.lit(start)).withColumn("depth", F.lit(0))
+    out, depth = level, 0
+    row = level.first()
+    while row is not None and row["parent_id"] is not None:
+        depth += 1
+        level = own.where(F.col("id") == F.lit(row["parent_id"])).withColumn("depth", F.lit(depth))
+        row = level.first()
+        out = out.unionByName(level)
+    return out
+
+
+def graph_document(programs: DataFrame, archive: DataFrame, checkpoint: str = "") -> DataFrame:
+    """One row, json: the lineage graph as one document (archive, nodes, edges, checkpoint_dir), for programs that fit a page."""
+    nodes = programs.agg(F.array_sort(F.collect_list(F.struct("id", "parent_id", "island", "generation", "seq"))).alias("nodes"))
+    links = edges(programs).agg(F.array_sort(F.collect_list(F.struct("source", "target"))).alias("edges"))
+    kept = archive.agg(F.array_sort(F.collect_list("id")).alias("archive"))
+    key = lambda df: df.withColumn("_one", F.size(F.col(df.columns[0])) * 0)
+    rows = key(nodes).join(key(links), "_one").join(key(kept), "_one")
+    return rows.select(F.to_json(F.struct("archive", "nodes", "edges", F.lit(checkpoint).alias("checkpoint_dir"))).alias("json"))
+
+
+PAGE = "<!DOCTYPE html>\n<html>\n<head><title>Lineage</title></head>\n<body>\n<div id=\"graph\"></div>\n<script type=\"module\" src=\"static/main.js\"></script>\n</body>\n</html>\n"
+
+
+def static_page(json: Column, page: str = PAGE) -> Column:
+    """The page with the data in front of its module, or else at the body's end; `</` in the data can't end the script."""
+    data = F.concat(F.lit("<script>window.STATIC_DATA = "), F.replace(json, F.lit("</"), F.lit("<\\/")), F.lit(";</script>\n"))
+    at = page.find('<script type="module"')
+    at = at if at >= 0 else page.find("</body>")
+    return F.concat(F.lit(page[:at]), data, F.lit(page[at:]))
+
+

@@ -14,6 +14,14 @@ def unfinished(tasks: DataFrame, finished: DataFrame, key: str) -> DataFrame:
     return tasks.join(done, tasks[key].cast("string") == F.col("_done"), "left_anti")
 
 
+def released(rows: DataFrame, release: str, column: str, low: object | None = None, high: object | None = None) -> DataFrame:
+    """Rows of a release whose date (or number) lies in a half-open range; both conditions reach the scan."""
+    out = rows.where(F.col("release") == release)
+    if low is not None:
+        out = out.where(F.col(column) >= F.lit(low))
+    return out if high is None else out.where(F.col(column) < F.lit(high))
+
+
 def only(tasks: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return tasks.join(wanted.select(key).distinct(), key, "left_semi")
 
@@ -91,7 +99,8 @@ def weighted_choice(asks: DataFrame, models: DataFrame, key: str, seed: str) ->
     high = F.sum("weight").over(order) / F.sum("weight").over(total)
     shares = models.withColumn("high", high).withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0.0)))
     shares = shares.agg(F.array_sort(F.collect_list(F.struct("high", "low", "model"))).alias("shares"))
-    draw = asks.withColumn("u", unit_interval(seed, F.col(key))).join(F.broadcast(shares))  # one row
+    # One row, by a key that isn't a constant, so that it is a hash join.
+    draw = asks.withColumns({"u": unit_interval(seed, F.col(key)), "_one": F.coalesce(F.length(F.col(key).cast("string")) * 0, F.lit(0))}).join(shares.withColumn("_one", F.lit(0)), "_one").drop("_one")
     pick = F.get(F.filter("shares", lambda s: (F.col("u") >= s["low"]) & (F.col("u") < s["high"])), F.lit(0))
     return draw.withColumn("model", pick["model"]).drop("shares")
 

@@ -168,16 +168,9 @@ def island_stats(spark, sf):
     return P.island_stats(_p(spark, sf), 7).withColumn("mean", F.round("mean", 6))
 
 
-@query("""WITH f AS (SELECT * FROM (SELECT island, id, left(code, 200) AS code, row_number() OVER (PARTITION BY island ORDER BY md5('div|' || id::VARCHAR), id) AS k FROM programs WHERE language = 'en' AND strlen(code) = length(code)) WHERE k <= 10)
-SELECT f.island, round(avg(levenshtein(f.code, g.code)), 6) AS diversity FROM f JOIN f g ON f.island = g.island AND f.k < g.k GROUP BY 1""")
-def island_diversity(spark, sf):
-    """English ASCII programs by their first 200 characters, which is what its SQL can be held against."""
-    p = _p(spark, sf, True).where((F.col("language") == "en") & (F.octet_length("code") == F.length("code")))
-    return P.island_diversity(p, most=200).withColumn("diversity", F.round("diversity", 6))
-
-
 @query()
-def island_diversity_all(spark, sf):
+def island_diversity(spark, sf):
+    """Whole code of a sample from all programs; its distances count characters, which the other engine's don't, so it is held against brute force in tests/test_whole_job.py."""
     return P.island_diversity(_p(spark, sf, True)).withColumn("diversity", F.round("diversity", 6))
 
 
@@ -213,6 +206,19 @@ def inspirations(spark, sf):
     return P.inspirations(_p(spark, sf), 5, 10, 0.2, "insp")
 
 
+@query(f"""WITH {_CHAMPIONS}, own AS (SELECT b0, b1 FROM cells WHERE id = 5), r AS (SELECT * FROM bests WHERE id <> 5), best AS (SELECT id, 0 AS priority, '' AS place FROM r ORDER BY best_fit DESC, seq LIMIT 1),
+top AS (SELECT id, 1 AS priority, printf('%020.9f', 1e9 - fit) AS place FROM r ORDER BY fit DESC, seq LIMIT 1),
+near AS (SELECT c.id, 2 AS priority, md5('insp|' || c.id::VARCHAR) AS place FROM champions c, own WHERE abs(c.b0 - own.b0) <= 1 AND abs(c.b1 - own.b1) <= 1 AND c.id <> 5 ORDER BY place LIMIT 12),
+rest AS (SELECT id, 3 AS priority, md5('insp|' || id::VARCHAR) AS place FROM r),
+pool AS (SELECT id, min(struct_pack(priority := priority, place := place)) AS p FROM (SELECT * FROM best UNION ALL SELECT * FROM top UNION ALL SELECT * FROM near UNION ALL SELECT * FROM rest) GROUP BY id)
+SELECT id, p.priority AS priority FROM pool ORDER BY p, id LIMIT 12""")
+def inspirations_near(spark, sf):
+    """With the champions of cells next to the parent's."""
+    p = P.cells(_p(spark, sf, True))
+    grid = p.join(P.champions(_p(spark, sf, True)).select("id", F.lit(True).alias("champion")), "id", "left").withColumn("champion", F.coalesce("champion", F.lit(False)))
+    return P.inspirations(p, 5, 12, 0.1, "insp", grid)
+
+
 @query("""SELECT id, island, row_number() OVER (PARTITION BY island ORDER BY best_fit DESC, seq DESC) AS rank FROM bests""")
 def comparator_rank(spark, sf):
     return P.compared(_p(spark, sf)).select("id", "island", "rank")
@@ -235,23 +241,13 @@ def lineage_edges(spark, sf):
     return L.edges(_p(spark, sf))
 
 
-@query("SELECT island, id, language FROM programs WHERE id < 100")
+@query("SELECT island, id, language FROM programs WHERE id % 5 <> 3 UNION ALL SELECT 7, id, language FROM programs WHERE id % 2 = 0")
 def island_members(spark, sf):
-    """Programs with an id under 100, which is what its SQL can be held against."""
+    """A program can be a member of several islands; members without a program are left out."""
     p = _p(spark, sf)
-    return _members(p.where("id < 100"), p)
-
-
-@query()
-def island_members_all(spark, sf):
-    p = _p(spark, sf)
-    return _members(p, p)
-
-
-def _members(chosen, p):
-    members = chosen.groupBy("island").agg(F.collect_list("id").alias("members"))
-    members = members.withColumn("members", F.array_append("members", F.lit(-7).cast("long")))
-    return L.island_nodes(members, p).select("island", "id", "language")
+    own, more = p.select("island", "id").where("id % 5 <> 3"), p.where("id % 2 = 0").select(F.lit(7).cast("long").alias("island"), "id")
+    gone = p.select("island", (-F.col("id") - 1).alias("id"))
+    return L.members(own.unionByName(more).unionByName(gone), p).select("island", "id", "language")
 
 
 @query("SELECT parent_id, count(*) AS children, min(score) AS low, max(score) AS high FROM programs WHERE parent_id IS NOT NULL GROUP BY 1")
@@ -319,7 +315,7 @@ def generation_extent(spark, sf):
     return _p(spark, sf).agg(F.min("generation").alias("low"), F.max("generation").alias("high"))
 
 
-@query()
+@query("WITH RECURSIVE up(id, parent_id, depth) AS (SELECT id, parent_id, 0 FROM programs WHERE id = 180 UNION ALL SELECT p.id, p.parent_id, up.depth + 1 FROM up JOIN programs p ON p.id = up.parent_id) SELECT id, depth FROM up")
 def lineage_ancestors(spark, sf):
     return L.ancestors(_p(spark, sf), 180).select("id", "depth")
 
@@ -343,23 +339,10 @@ def linear_fit(spark, sf):
     return E.linear_fit(views.regression(spark, sf), "grp", "x", "y").select("grp", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), "n")
 
 
-_FEW = "SELECT * FROM (SELECT l_suppkey AS grp, l_extendedprice AS y, l_quantity AS p, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM lineitem) WHERE k <= 60"
-
-
-@query(f"""WITH f AS ({_FEW}), s AS (SELECT a.grp, sum(sign(a.y - b.y) * sign(a.p - b.p)) AS s, sum(abs(sign(a.y - b.y))) AS u, sum(abs(sign(a.p - b.p))) AS v FROM f a JOIN f b ON a.grp = b.grp AND a.k < b.k GROUP BY 1)
+@query("""WITH f AS (SELECT l_suppkey AS grp, l_extendedprice AS y, l_quantity AS p, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM lineitem),
+s AS (SELECT a.grp, sum(sign(a.y - b.y) * sign(a.p - b.p)) AS s, sum(abs(sign(a.y - b.y))) AS u, sum(abs(sign(a.p - b.p))) AS v FROM f a JOIN f b ON a.grp = b.grp AND a.k < b.k GROUP BY 1)
 SELECT grp, round(s / (sqrt(u) * sqrt(v)), 6) AS tau FROM s""")
 def kendall_tau(spark, sf):
-    """The first 60 lines of each supplier, which is what its SQL can be held against."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    few = views.read(spark, sf, "lineitem").withColumn("k", F.row_number().over(w)).where("k <= 60")
-    rows = few.select(F.col("l_suppkey").alias("grp"), "k", F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("y_hat"))
-    return E.kendall_tau(rows, "grp", "k").select("grp", F.round("tau", 6).alias("tau"))
-
-
-@query()
-def kendall_tau_all(spark, sf):
     line = views.read(spark, sf, "lineitem")
     rows = line.select(F.col("l_suppkey").alias("grp"), F.col("l_linenumber").alias("k"), F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("y_hat"))
     return E.kendall_tau(rows, "grp", "k").select("grp", F.round("tau", 6).alias("tau"))
@@ -412,6 +395,15 @@ def packing_score(spark, sf):
     return out.select("grp", "n", F.round("sum_radii", 6).alias("sum_radii"), "boundary", "overlaps", "valid", F.round("target_ratio", 6).alias("target_ratio"))
 
 
+@query(f"""WITH o AS ({_OVER}), hits AS (SELECT grp, count(*) AS overlaps, string_agg('Circles ' || i || ' and ' || j || ' overlap: distance ' || printf('%.6f', d), chr(10) ORDER BY i, j) AS text FROM o GROUP BY 1),
+s AS (SELECT grp, sum(r) AS total, count(*) FILTER (WHERE x - r < -1e-6 OR x + r > 1 + 1e-6 OR y - r < -1e-6 OR y + r > 1 + 1e-6) AS boundary, min(r) AS low, max(r) AS high, avg(r) AS mean,
+string_agg('Circle ' || idx || ' at (' || printf('%.6f', x) || ', ' || printf('%.6f', y) || ') with radius ' || printf('%.6f', r) || ' is outside unit square', chr(10) ORDER BY idx) FILTER (WHERE x - r < -1e-6 OR x + r > 1 + 1e-6 OR y - r < -1e-6 OR y + r > 1 + 1e-6) AS text FROM circles GROUP BY grp)
+SELECT s.grp, 'Valid: ' || CASE WHEN boundary = 0 AND coalesce(hits.overlaps, 0) = 0 THEN 'True' ELSE 'False' END || ', Violations: ' || boundary || ' boundary, ' || coalesce(hits.overlaps, 0) || ' overlaps' AS report,
+coalesce(s.text, '') AS boundary_report, coalesce(hits.text, '') AS overlap_report, 'Min: ' || printf('%.6f', low) || ', Max: ' || printf('%.6f', high) || ', Avg: ' || printf('%.6f', mean) AS radius_stats FROM s LEFT JOIN hits USING (grp)""")
+def packing_report(spark, sf):
+    return G.packing_reports(views.circles(spark, sf), cell=0.05).select("grp", "report", "boundary_report", "overlap_report", "radius_stats")
+
+
 @query("SELECT idx, round(least(x, y, 1 - x, 1 - y), 9) AS radius FROM circles")
 def border_radius(spark, sf):
     return views.circles(spark, sf).select("idx", F.round(G.border_radius(F.col("x"), F.col("y")), 9).alias("radius"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,10 @@ def scratch(spark: SparkSession) -> str:
 
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evoframe-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="evoframe-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
@@ -30,7 +34,7 @@ def _programs(spark, sf):
     )
 
 
-@query()
+@query("SELECT id::VARCHAR AS id, parent_id::VARCHAR AS parent_id, CAST(generation AS INTEGER) AS generation, 10 AS last_iteration, 5 AS islands FROM programs")
 def checkpoint_roundtrip(spark, sf):
     c = S.Checkpoint(scratch(spark), 10)
     p = _programs(spark, sf)
@@ -56,7 +60,7 @@ def _files(spark: SparkSession, df: DataFrame, name: str, text: str) -> str:
     return path
 
 
-@query()
+@query("SELECT id::VARCHAR AS id, parent_id::VARCHAR AS parent_id, CAST(generation AS INTEGER) AS generation FROM programs WHERE id <> 3")
 def dir_of_json(spark, sf):
     p = _programs(spark, sf).drop("island")
     text = F.when(F.col("id") == "3", "{broken").otherwise(F.to_json(F.struct(*p.columns)))
@@ -64,7 +68,7 @@ def dir_of_json(spark, sf):
     return S.read_json_dir(spark, path).select("id", "parent_id", "generation")
 
 
-@query()
+@query("SELECT conv_id AS log, CAST(turn AS BIGINT) AS seq, role, text FROM conversations")
 def event_log(spark, sf):
     """A folder for each conversation, a file for each turn."""
     name = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".json"))
@@ -72,35 +76,116 @@ def event_log(spark, sf):
     return S.read_event_logs(spark, _files(spark, c, "name", "text"), "role STRING, text STRING").withColumn("log", F.col("log").cast("long")).orderBy("log", "seq")
 
 
-@query()
+@query("SELECT 'a' || doc_id AS name, CASE WHEN doc_id % 2 = 1 THEN text END AS text, CASE WHEN doc_id % 2 = 0 THEN 'FFFE' END AS bytes, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE strlen(text) END AS size FROM documents")
 def artifact_dir(spark, sf):
     d = views.read(spark, sf, "documents").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("name"), F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("FFFE"))).otherwise(F.col("text").cast("binary")).alias("content"))
-    return S.read_artifacts(spark, _files(spark, d, "name", "content"))
+    return S.read_artifacts(spark, _files(spark, d, "name", "content")).withColumn("bytes", F.hex("bytes"))
 
 
-@query()
+@query("SELECT 'base/checkpoint_' || max(doc_id) AS path FROM documents")
 def latest_checkpoint(spark, sf):
     paths = views.read(spark, sf, "documents").select(F.concat(F.lit("base/checkpoint_"), F.col("doc_id").cast("string")).alias("path"))
     return S.latest_by_number(paths)
 
 
-@query()
+@query("SELECT instance, solution, result, testing, unknown_error, ground FROM verification")
 def results_write(spark, sf):
     path = scratch(spark)
     v = views.verification(spark, sf)
     S.write_results(v, path, "testing")
-    return spark.read.schema("instance LONG, solution LONG, result BOOLEAN, testing LONG").json(path)
+    return spark.read.schema("instance LONG, solution LONG, result BOOLEAN, testing LONG, unknown_error BOOLEAN, ground BOOLEAN").json(path)
 
 
-@query()
+@query("SELECT max(generation) AS newest FROM programs")
+def latest_by_time(spark, sf):
+    """Of several checkpoints the one written last, at any depth, by its state file's time."""
+    path = scratch(spark)
+    newest = views.programs(spark, sf, code=False).agg(F.max("generation")).first()[0]
+    for name, at in (("old/checkpoint_9", 0), ("deep/er/checkpoint_1", newest)):
+        row = spark.range(1).select(F.lit(f"{name}/metadata.json").alias("name"), F.lit(f'{{"last_iteration": {at}}}').cast("binary").alias("content"))
+        S.write_files(row, path)
+        time.sleep(1.1)  # file systems keep seconds
+    last = S.latest_by_time(spark, path, "metadata.json").first()["path"]
+    return spark.read.schema("last_iteration LONG").json(last).select(F.col("last_iteration").alias("newest"))
+
+
+@query("SELECT name, text FROM (VALUES ('system', 'base'), ('diff', 'own' || chr(10) || 'lines')) t(name, text) UNION ALL SELECT 't' || n_nationkey, n_name FROM nation")
+def template_dir(spark, sf):
+    own = views.read(spark, sf, "nation").select(F.concat(F.lit("t"), F.col("n_nationkey").cast("string"), F.lit(".txt")).alias("name"), F.col("n_name").alias("text"))
+    path = _files(spark, own.unionByName(spark.createDataFrame([("diff.txt", "own\nlines")], "name string, text string")), "name", "text")
+    return S.read_templates(spark, path, {"system": "base", "diff": "default"})
+
+
+@query("SELECT id::VARCHAR AS id, generation, language FROM programs")
+def program_files(spark, sf):
+    """One JSON a program, and back."""
+    p = views.programs(spark, sf, code=False)
+    path = scratch(spark)
+    S.write_programs(p.select(F.col("id").cast("string").alias("id"), "generation", "language", "metrics"), path)
+    return S.read_json_dir(spark, path, "id STRING, generation LONG, language STRING, metrics MAP<STRING,DOUBLE>").select("id", "generation", "language")
+
+
+@query("SELECT p_size AS grp, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS total FROM part GROUP BY 1")
+def aggregate_json(spark, sf):
+    """All results in one JSON document, and back."""
+    path = scratch(spark)
+    p = views.read(spark, sf, "part").groupBy(F.col("p_size").alias("grp")).agg(F.count("*").alias("n"), F.sum("p_partkey").alias("total"))
+    S.write_json_document(p, path, "results.json")
+    text = spark.read.text(f"{path}/results.json", wholetext=True)
+    return text.select(F.explode(F.from_json("value", "array<struct<grp: int, n: bigint, total: bigint>>")).alias("r")).select("r.*")
+
+
+@query("SELECT vec_id, len(embedding) AS width, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[len(embedding)] AS DOUBLE) AS last FROM embeddings")
+def matrix_files(spark, sf):
+    """Numbers as files of dense rows, and back."""
+    path = scratch(spark)
+    e = views.read(spark, sf, "embeddings")
+    S.write_matrix(e.select("vec_id", F.col("embedding").cast("array<double>").alias("row")), path)
+    back = S.read_matrix(spark, path, "vec_id LONG, row ARRAY<DOUBLE>")
+    return back.select("vec_id", F.size("row").alias("width"), F.get("row", F.lit(0)).alias("first"), F.element_at("row", -1).alias("last"))
+
+
+@query("SELECT n_nationkey, '#!/bin/sh' || chr(10) || 'echo ' || n_name || chr(10) AS text FROM nation")
+def script_files(spark, sf):
+    path = scratch(spark)
+    n = views.read(spark, sf, "nation").select(F.concat(F.lit("run_"), F.col("n_nationkey").cast("string"), F.lit(".sh")).alias("name"), F.concat(F.lit("#!/bin/sh\r\necho "), F.col("n_name"), F.lit("\r\n")).alias("text"))
+    S.write_scripts(n, path)
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.regexp_extract("path", r"run_(\d+)\.sh$", 1).cast("int").alias("n_nationkey"), F.col("content").cast("string").alias("text"))
+
+
+@query("""SELECT 'node' AS kind, id AS first, island AS second FROM programs UNION ALL SELECT 'edge', p.id, c.id FROM programs c JOIN programs p ON p.id = c.parent_id
+UNION ALL SELECT * FROM (SELECT 'archive', id, 0 FROM bests ORDER BY best_fit DESC, seq LIMIT 20)""")
 def graph_rows(spark, sf):
     from evoframe.operators.lineage import graph_json
     from evoframe.operators.population import archive
 
     p = views.programs(spark, sf, code=False)
-    return graph_json(p, archive(p, 20))
+    rows = graph_json(p, archive(p, 20))
+    pick = lambda *names: F.coalesce(*[F.get_json_object("json", f"$.{n}").cast("long") for n in names], F.lit(0).cast("long"))
+    return rows.select("kind", pick("id", "source").alias("first"), pick("island", "target").alias("second"))
 
 
+@query("""SELECT (SELECT count(*) FROM programs) AS nodes, (SELECT count(*) FROM programs c JOIN programs p ON p.id = c.parent_id) AS edges, CAST(20 AS BIGINT) AS archived,
+(SELECT CAST(sum(p.id * 3 + c.id) AS BIGINT) FROM programs c JOIN programs p ON p.id = c.parent_id) AS edge_sum, true AS inlined""")
+def graph_page(spark, sf):
+    """The graph as one document in a static page, written, read back and counted."""
+    from evoframe.operators.lineage import graph_document, static_page
+    from evoframe.operators.population import archive
+
+    p = views.programs(spark, sf, code=False)
+    path = scratch(spark)
+    page = graph_document(p, archive(p, 20), "here").select(F.lit("index.html").alias("name"), static_page(F.col("json")).cast("binary").alias("content"))
+    S.write_files(page, path)
+    html = spark.read.text(f"{path}/index.html", wholetext=True)
+    data = F.regexp_extract("value", r"(?s)window.STATIC_DATA = (.*?);</script>\n<script type=.module", 1)
+    g = html.select(F.from_json(data, "archive array<bigint>, nodes array<struct<id: bigint, island: bigint>>, edges array<struct<source: bigint, target: bigint>>, checkpoint_dir string").alias("g"))
+    long = lambda n: F.size(f"g.{n}").cast("long")
+    return g.select(
+        long("nodes").alias("nodes"), long("edges").alias("edges"), long("archive").alias("archived"),
+        F.aggregate("g.edges", F.lit(0).cast("long"), lambda a, e: a + e["source"] * 3 + e["target"]).alias("edge_sum"), (F.col("g.checkpoint_dir") == "here").alias("inlined"),
+    )
+
 def _generate(code: str, k: int) -> str:
     return f"{code}{k}"
 
@@ -118,7 +203,7 @@ def evolve_smoke(spark, sf):
     return evolve(seed, _generate, _evaluate, 2, Settings(population=3, islands=1))
 
 
-@query()
+@query("SELECT instance, CAST(sum(pass::INT) AS BIGINT) AS passed, count(*) AS n, CAST(sum(unknown_error::INT) AS BIGINT) AS errors FROM verification GROUP BY 1")
 def stream_counts(spark, sf):
     from evoframe.streaming.counts import arriving, running_counts
 
@@ -127,3 +212,51 @@ def stream_counts(spark, sf):
     q = running_counts(arriving(spark, path)).writeStream.foreachBatch(lambda counts, _: counts.write.mode("overwrite").parquet(out)).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+@query("SELECT instance, solution, testing FROM verification WHERE testing = 1 UNION ALL SELECT instance, solution, 0 FROM verification WHERE testing = 0")
+def stream_appends(spark, sf):
+    """Rows that arrive twice are appended once, also over a restart."""
+    from evoframe.streaming.counts import append_results, arriving, without_repeats
+
+    path, out, state = scratch(spark), scratch(spark), scratch(spark)
+    v = views.verification(spark, sf).where("testing < 2")
+    for _ in range(2):
+        v.write.mode("append").parquet(path)
+        append_results(without_repeats(arriving(spark, path, files_per_trigger=2), ["instance", "solution", "testing"]), out, state).awaitTermination()
+    return spark.read.schema("instance LONG, solution LONG, testing LONG").json(out)
+
+
+@query("""WITH r AS (SELECT *, max(score) OVER (PARTITION BY island ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM programs) SELECT island AS key, seq, score AS value FROM r WHERE so_far IS NULL OR score > so_far""")
+def stream_running_best(spark, sf):
+    """Arrivals that are better than all before them, from a stream of one file after the other."""
+    from evoframe.streaming.counts import running_best
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    path, out, state = scratch(spark), scratch(spark), scratch(spark)
+    p = views.programs(spark, sf, code=False).select(F.col("island").alias("key"), "seq", F.try_element_at("metrics", F.lit("score")).alias("value"))
+    p.repartitionByRange(2, "seq").write.parquet(path)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema("key long, seq long, value double").parquet(path)
+        running_best(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(out)
+
+
+def _passes(row: dict) -> bool:
+    return row["quantity"] >= row["threshold"]
+
+
+@query("SELECT instance, solution, testing, result, false AS unknown_error FROM verification")
+def verify_pairs(spark, sf):
+    """Every solution against every test by a user callable over pairs."""
+    from evoframe.operators.verification import cross_execute
+    from evoframe.plans.user_code import verified
+
+    v = views.solutions(spark, sf)
+    tests = v.select("instance").distinct().select("instance", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("testing"), F.lit(t).alias("threshold")) for i, t in views.THRESHOLDS])).alias("t")).select("instance", "t.*")
+    pairs = cross_execute(v.select("instance", "solution", F.col("qty").cast("double").alias("quantity")), tests)
+    return verified(pairs, _passes, timeout=None).select("instance", "solution", "testing", "result", "unknown_error")

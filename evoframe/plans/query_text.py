@@ -9,9 +9,6 @@ from evoframe.functions import text as T
 from evoframe.plans import views
 from evoframe.plans.catalogue import query
 
-ASCII = "octet_length(text) = length(text)"
-
-
 def _d(spark, sf):
     return views.read(spark, sf, "documents")
 
@@ -36,7 +33,7 @@ def json_extract(spark, sf):
     return _d(spark, sf).select("doc_id", T.braces(text).alias("body"))
 
 
-@query()
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN '{"a": ' || doc_id || '}' END AS value, CASE WHEN doc_id % 4 = 3 THEN 'No JSON code blocks found in the response.' END AS error FROM documents""")
 def json_tolerant(spark, sf):
     i = F.col("doc_id").cast("string")
     text = (
@@ -47,7 +44,8 @@ def json_tolerant(spark, sf):
     return _d(spark, sf).select("doc_id", T.tolerant_json_column(text).alias("j")).select("doc_id", "j.value", "j.error")
 
 
-@query()
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'do ' || doc_id END AS query, CASE WHEN doc_id % 3 > 0 THEN 'none' END AS init, CASE WHEN doc_id % 3 > 0 THEN 'QA' END AS type,
+CASE WHEN doc_id % 3 > 0 THEN 'check/integer-match.py' END AS comparison_method FROM documents""")
 def template_parse(spark, sf):
     i = F.col("doc_id").cast("string")
     text = F.concat(F.lit("### Query:\n do "), i, F.lit(" \n\n### Init:\nnone\n\n### Type:\nQA\n\n### Comparison_method:\ncheck/integer-match.py\n\nrest"))
@@ -63,15 +61,13 @@ def judge_summary(spark, sf):
     return _d(spark, sf).select("doc_id", s["score"].alias("score"), s["total"].alias("total"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' Password= abc' || doc_id || ' token:x', '[A-Za-z0-9]{32,}', '<REDACTED_TOKEN>', 'gi'), 'sk-[A-Za-z0-9]{48}', '<REDACTED_API_KEY>', 'gi'),
-'password[=:]\\s*[^\\s]+', 'password=<REDACTED>', 'gi'), 'token[=:]\\s*[^\\s]+', 'token=<REDACTED>', 'gi') AS text FROM documents WHERE strlen(text) = length(text)""")
-def redact(spark, sf):
-    """The ASCII part of redact_all, which is what its SQL can be held against."""
-    return _redacted(_d(spark, sf).where(ASCII))
+_WHITE = r"[\s\x0B\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-@query()
-def redact_all(spark, sf):
+@query(f"""WITH plain AS (SELECT doc_id, regexp_replace(text || chr(27) || '[31m Password= abc' || chr(27) || '[0m' || doc_id || ' token:x', '\\x1B(?:[@-Z\\\\-_]|\\[[0-?]*[ -/]*[@-~])', '', 'g') AS text FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9]{{32,}}', '<REDACTED_TOKEN>', 'gi'), 'sk-[A-Za-z0-9]{{48}}', '<REDACTED_API_KEY>', 'gi'),
+'password[=:]{_WHITE}*{_WHITE.replace("[", "[^", 1)}+', 'password=<REDACTED>', 'gi'), 'token[=:]{_WHITE}*{_WHITE.replace("[", "[^", 1)}+', 'token=<REDACTED>', 'gi') AS text FROM plain""")
+def redact(spark, sf):
     return _redacted(_d(spark, sf))
 
 
@@ -127,17 +123,70 @@ def size_parse(spark, sf):
     return _d(spark, sf).select("doc_id", T.size_in_bytes(F.concat(i, unit)).cast("long").alias("bytes"))
 
 
-@query("SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'java' WHEN 2 THEN 'cpp' WHEN 3 THEN 'javascript' WHEN 4 THEN 'rust' WHEN 5 THEN 'sql' ELSE 'unknown' END AS language FROM documents")
+#: One line for each sign of a language, and some without any.
+_CODE = [
+    "import os", "from os import path", "def f():", "class A:", "package a;", "import java.util.List;", "public class A {", "#include <a>", "int main() {", "void main() {",
+    "function f() {", "var a", "let a", "const a", "console.log(1)", "module a", "fn main() {", "let mut a", "impl A {", "SELECT 1", "CREATE TABLE t", "INSERT INTO t", "hello", " def f():",
+]
+
+
+def _sql_list(values):
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query(f"""WITH code AS (SELECT doc_id, text || chr(10) || {_sql_list(_CODE)}[doc_id % {len(_CODE)} + 1] || chr(10) AS t FROM documents)
+SELECT doc_id, CASE {" ".join(f"WHEN regexp_matches(t, '(?m)^{sign}') THEN '{name}'" for name, sign in T.LANGUAGE_SIGNS)} ELSE 'unknown' END AS language FROM code""")
 def language_detect(spark, sf):
-    head = F.element_at(F.array(*[F.lit(x) for x in ("def f", "public class", "#include", "const x", "fn main", "SELECT 1", "hello")]), (F.col("doc_id") % 7 + 1).cast("int"))
-    return _d(spark, sf).select("doc_id", T.code_language(F.concat(F.lit("x\n"), head, F.lit(" y\n"))).alias("language"))
+    line = F.element_at(F.array(*[F.lit(x) for x in _CODE]), (F.col("doc_id") % len(_CODE) + 1).cast("int"))
+    return _d(spark, sf).select("doc_id", T.code_language(F.concat("text", F.lit("\n"), line, F.lit("\n"))).alias("language"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'C++' WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'C' ELSE 'C++' END WHEN 2 THEN 'Python 2' WHEN 3 THEN 'Java' END AS language FROM documents")
+_EXTENSIONS = [*T.EXTENSIONS, ".C", ".H", ".h", ".PY", ".none", ""]
+
+
+def _files(spark, sf):
+    """Each document as a submission of three files, by turns of every extension; their texts begin by turns like old, new and other programs."""
+    i = F.col("doc_id")
+    ext = F.element_at(F.array(*[F.lit(x) for x in _EXTENSIONS]), (i % len(_EXTENSIONS) + 1).cast("int"))
+    head = F.element_at(F.array(*[F.lit(x) for x in _HEADS]), (i % len(_HEADS) + 1).cast("int"))
+    first = F.struct(F.lit(0).alias("pos"), F.concat(F.lit("a/first"), ext).alias("name"), F.concat(head, F.lit("\n"), "text").alias("content"))
+    second = F.struct(F.lit(1).alias("pos"), F.when(i % 7 == 0, "b.c").otherwise("b.txt").alias("name"), F.when(i % 3 == 0, "fun main(").when(i % 3 == 1, "  program p").otherwise("x").alias("content"))
+    third = F.struct(F.lit(2).alias("pos"), F.when(i % 5 == 0, "c/Main.x").otherwise("c/other.x").alias("name"), F.lit("y").alias("content"))
+    return _d(spark, sf).select("doc_id", F.explode(F.array(first, second, third)).alias("f")).select("doc_id", "f.*")
+
+
+_HEADS = ["#!/usr/bin/python2", "#!/usr/bin/python3", "print 'x'", "print('x')  # print 'x'", "x = raw_input()", "plain"]
+_FILES = rf"""submissions AS (SELECT doc_id, {_sql_list(_EXTENSIONS)}[doc_id % {len(_EXTENSIONS)} + 1] AS ext, {_sql_list(_HEADS)}[doc_id % {len(_HEADS)} + 1] || chr(10) || text AS content FROM documents),
+languages AS (SELECT doc_id, CASE WHEN ext = '.C' THEN 'C++' WHEN lower(ext) = '.h' THEN CASE WHEN doc_id % 7 = 0 OR ext = '.c' THEN 'C' ELSE 'C++' END
+WHEN lower(ext) = '.py' AND (doc_id % {len(_HEADS)} IN (0, 2, 4) OR (doc_id % {len(_HEADS)} <> 1 AND regexp_matches(content, '(?m)^[^#\n]*\braw_input\b|^[^\S\n]*print\b *[^ (),\]#\n]'))) THEN 'Python 2'
+ELSE map_extract_value(MAP {{{", ".join(f"'{k}': '{v}'" for k, v in T.EXTENSIONS.items())}}}, lower(ext)) END AS language, ext FROM submissions)"""
+
+
+@query(f"WITH {_FILES} SELECT doc_id, language FROM languages")
 def language_guess(spark, sf):
+    from evoframe.operators.judge import languages
+
+    return languages(_files(spark, sf), "doc_id")
+
+
+@query(rf"""WITH {_FILES}, mains AS (SELECT doc_id, language, ext, CASE WHEN doc_id % 5 = 0 THEN 'c/Main.x' WHEN language IN ('Java', 'Rust', 'Scala', 'Kotlin') AND doc_id % 3 = 0 THEN CASE WHEN doc_id % 7 = 0 THEN 'b.c' ELSE 'b.txt' END
+WHEN language = 'Pascal' AND doc_id % 3 = 1 THEN CASE WHEN doc_id % 7 = 0 THEN 'b.c' ELSE 'b.txt' END ELSE 'a/first' || ext END AS main_file FROM languages),
+bases AS (SELECT *, regexp_replace(main_file, '^.*/', '') AS base, regexp_replace(regexp_replace(main_file, '^.*/', ''), '(.)\.[^.]*$', '\1') AS stem FROM mains)
+SELECT doc_id, language, main_file, CASE WHEN language IN ({", ".join(f"'{x}'" for x in T.MAIN_FILE)}) THEN base WHEN language = 'Kotlin' THEN upper(left(stem, 1)) || substr(stem, 2) || 'Kt'
+WHEN language IN ({", ".join(f"'{x}'" for x in T.MAIN_CLASS)}) THEN stem END AS main FROM bases""")
+def main_file(spark, sf):
+    from evoframe.operators.judge import languages, main_files
+
+    files = _files(spark, sf)
+    return main_files(files.join(languages(files, "doc_id"), "doc_id"), "doc_id")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN doc_id END AS submission, CASE WHEN doc_id % 2 = 0 THEN doc_id % 10 || '.5' ELSE '' END AS score FROM documents""")
+def submission_id(spark, sf):
     i = F.col("doc_id")
-    ext = F.element_at(F.array(*[F.lit(x) for x in (".C", ".h", ".py", ".JAVA", ".none")]), (i % 5 + 1).cast("int"))
-    return _d(spark, sf).select("doc_id", T.language_of(ext, i % 2 == 0, F.lit(True)).alias("language"))
+    answer = F.when(i % 3 > 0, F.concat(F.lit("Submission received. Submission ID: "), i.cast("string"), F.lit(".\n"))).otherwise("Submission refused")
+    status = F.when(i % 2 == 0, F.concat(F.lit("Accepted ("), (i % 10).cast("string"), F.lit(".5)"))).otherwise("Wrong (none)")
+    return _d(spark, sf).select("doc_id", T.submission_id(answer).alias("submission"), T.shown_score(status).alias("score"))
 
 
 @query("SELECT p_partkey, 'agent-' || replace('v1.' || p_partkey, '.', '_') || '-3' || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '-ground_truth' END AS id FROM part")
@@ -151,7 +200,7 @@ def stop_truncate(spark, sf):
     return _d(spark, sf).select("doc_id", T.truncated_at(F.concat(F.lit("ab"), F.col("doc_id").cast("string"), F.lit("XcdY")), F.array(F.lit("Y"), F.lit("X"))).alias("text"))
 
 
-@query()
+@query("SELECT doc_id, 'mkdir -p a' || doc_id || '; mkdir -p b' AS text FROM documents")
 def mkdir_safe(spark, sf):
     return _d(spark, sf).select("doc_id", T.safe_mkdir(F.concat(F.lit("mkdir a"), F.col("doc_id").cast("string"), F.lit("; mkdir -p b"))).alias("text"))
 
@@ -185,30 +234,17 @@ def evolve_blocks(spark, sf):
     return _d(spark, sf).select("doc_id", F.explode(T.evolve_blocks(code)).alias("b")).select("doc_id", "b.start", F.col("b.end").alias("stop"), "b.content")
 
 
-@query("SELECT a.doc_id, CAST(levenshtein(left(a.text, 200), left(b.text, 200)) AS INTEGER) AS distance FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE strlen(a.text) = length(a.text) AND strlen(b.text) = length(b.text)")
-def edit_distance(spark, sf):
-    """The first 200 characters of neighbours that are both ASCII, which is what its SQL can be held against."""
-    d = _d(spark, sf).where(ASCII)
-    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.left("text", F.lit(200)).alias("other"))
-    return d.join(b, "doc_id").select("doc_id", T.edit_distance(F.left("text", F.lit(200)), F.col("other")).alias("distance"))
-
-
 @query()
-def edit_distance_all(spark, sf):
+def edit_distance(spark, sf):
+    """Whole texts of neighbours; too slow in SQL, so held against brute force in tests/test_whole_job.py."""
     d = _d(spark, sf).select("doc_id", "text")
     b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return d.join(b, "doc_id").select("doc_id", T.whole_edit_distance(F.col("text"), F.col("other")).alias("distance"))
+    # Dealt out, as a join of few documents would otherwise be a single task of long work.
+    return d.join(b, "doc_id").repartition("doc_id").select("doc_id", T.whole_edit_distance(F.col("text"), F.col("other")).alias("distance"))
 
 
-@query("SELECT id, 'score=' || printf('%.4f', score) || CASE WHEN quality IS NULL THEN '' ELSE '' END AS text FROM programs WHERE quality IS NULL AND id % 97 <> 0")
+@query("""SELECT id, string_agg(key || '=' || printf('%.4f', value), ', ' ORDER BY key) AS text FROM (SELECT id, key, value FROM metric_rows UNION ALL SELECT doc_id, 'noise', 'nan'::DOUBLE FROM documents WHERE doc_id % 97 = 0) GROUP BY id""")
 def metric_format(spark, sf):
-    """Programs with one metric that is a number, which is what its SQL can be held against."""
-    p = views.programs(spark, sf, code=False).where((F.col("id") % 97 != 0) & ~F.map_contains_key("metrics", F.lit("quality")))
-    return p.select("id", M.formatted(F.col("metrics")).alias("text"))
-
-
-@query()
-def metric_format_all(spark, sf):
     return views.programs(spark, sf, code=False).select("id", M.formatted(F.col("metrics")).alias("text"))
 
 
@@ -321,12 +357,12 @@ def path_safe(spark, sf):
     return _d(spark, sf).select("doc_id", T.path_safe(F.concat(F.lit("org/m"), F.col("doc_id").cast("string"), F.lit(":x"))).alias("name"))
 
 
-@query()
+@query("SELECT doc_id, chr(65533) || chr(65533) || text AS text FROM documents")
 def byte_decode(spark, sf):
     return _d(spark, sf).select("doc_id", T.decoded(F.concat(F.unhex(F.lit("FFFE")), F.col("text").cast("binary"))).alias("text"))
 
 
-@query()
+@query("""SELECT doc_id % 20 AS program_id, '{' || string_agg('"k' || doc_id || '":' || CASE WHEN doc_id % 2 = 0 THEN '"{\\"__bytes__\\":\\"//4=\\"}"' ELSE '"text"' END, ',' ORDER BY 'k' || doc_id) || '}' AS artifacts_json FROM documents GROUP BY 1""")
 def json_encode_bytes(spark, sf):
     from evoframe.sources.storage import inline_json
 
@@ -334,7 +370,14 @@ def json_encode_bytes(spark, sf):
     return inline_json(a)
 
 
-@query()
+_TEXTS = """texts AS (SELECT id, string_agg('- ' || key || ': ' || printf('%.4f', value), chr(10) ORDER BY key) AS measures, string_agg(key || '=' || printf('%.4f', value), ', ' ORDER BY key) AS line,
+string_agg(key || ': ' || printf('%.4f', value), ', ' ORDER BY key) AS told FROM (SELECT id, key, value FROM metric_rows UNION ALL SELECT doc_id, 'noise', 'nan'::DOUBLE FROM documents WHERE doc_id % 97 = 0) GROUP BY id)"""
+
+
+@query(f"""WITH {_TEXTS}, h AS (SELECT p.parent_id AS id, t.line, row_number() OVER (PARTITION BY p.parent_id ORDER BY p.seq DESC) AS k FROM programs p JOIN texts t USING (id) WHERE p.parent_id IS NOT NULL),
+l AS (SELECT id, string_agg('Attempt ' || k || ': ' || line, chr(10) ORDER BY k) AS history FROM h WHERE k <= 3 GROUP BY id)
+SELECT p.id, '# Current program' || chr(10) || t.measures || chr(10) || chr(10) || '```' || p.language || chr(10) || p.code || chr(10) || '```' || chr(10) || chr(10) || '# Attempts' || chr(10) || coalesce(l.history, '')
+|| chr(10) || chr(10) || chr(10) || chr(10) || 'Improve the program.' AS prompt FROM programs p JOIN texts t USING (id) LEFT JOIN l USING (id)""")
 def prompt_build(spark, sf):
     from evoframe.plans.prompts import prompts
 
@@ -343,7 +386,23 @@ def prompt_build(spark, sf):
     return prompts(p.withColumn("artifacts", F.lit("")), history)
 
 
-@query()
+@query(f"""WITH {_TEXTS}, tries AS (SELECT c.parent_id AS id, c.seq, t.told, row_number() OVER (PARTITION BY c.parent_id ORDER BY c.seq) AS n, row_number() OVER (PARTITION BY c.parent_id ORDER BY c.seq DESC) AS k FROM programs c JOIN texts t USING (id) WHERE c.parent_id IS NOT NULL),
+told AS (SELECT id, string_agg('### Attempt ' || n || chr(10) || '- Changes: change ' || seq || chr(10) || '- Measures: ' || told || chr(10) || '- Outcome: ' || outcome, chr(10) || chr(10) ORDER BY k) AS attempts FROM tries JOIN (
+  SELECT m.seq, CASE WHEN bool_and(m.value > 0) THEN 'Improvement in all metrics' WHEN bool_and(m.value < 0) THEN 'Regression in all metrics' ELSE 'Mixed results' END AS outcome
+  FROM (SELECT seq, value FROM metric_rows UNION ALL SELECT doc_id, 0.0 FROM documents WHERE doc_id % 97 = 0) m GROUP BY m.seq) o USING (seq) WHERE k <= 3 GROUP BY id)
+SELECT id, coalesce(attempts, '') AS attempts FROM programs LEFT JOIN told USING (id)""")
+def attempts_told(spark, sf):
+    from evoframe.plans.prompts import Sampler
+    from evoframe.plans.prompts import attempts_told as told
+
+    p = views.programs(spark, sf, code=False)
+    # A NaN is above every number here, as it is in Spark; with 0 as the other engine's stand-in it makes results mixed, so noise is left out of the comparison by a parent's NaN.
+    none = F.when(F.map_contains_key("metrics", F.lit("noise")), F.create_map(F.lit("noise"), F.lit(float("nan")))).otherwise(F.create_map().cast("map<string,double>"))
+    tries = p.where("parent_id is not null").select(F.col("parent_id").alias("id"), "seq", "metrics", none.alias("parent_metrics"), F.concat(F.lit("change "), F.col("seq").cast("string")).alias("changes"))
+    return p.select("id").join(told(tries, Sampler()).select("id", "attempts"), "id", "left").select("id", F.coalesce("attempts", F.lit("")).alias("attempts"))
+
+
+@query("SELECT doc_id AS id, 'ask ' || doc_id || ' #5' AS reply, CAST(3 AS BIGINT) AS tries FROM documents")
 def reply_retry(spark, sf):
     from evoframe.plans.prompts import asked
 
@@ -357,3 +416,42 @@ def _echo(turns):
 
 def _needs_two_errors(text):
     return None if text.endswith("#5") else "again"
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id / 2.0 WHEN 1 THEN 0.0 WHEN 2 THEN 0.0 ELSE -1.5 END AS value, round(-log10(doc_id % 50 / 7.0 + 1e-9), 9) AS score FROM documents")
+def safe_numbers(spark, sf):
+    """Casts that can't fail, and a loss as a score."""
+    i = F.col("doc_id")
+    text = F.when(i % 4 == 0, (i / 2.0).cast("string")).when(i % 4 == 1, "none").when(i % 4 == 3, " -1.5 ")
+    return _d(spark, sf).select("doc_id", M.safe_double(text).alias("value"), F.round(M.log_error(i % 50 / 7.0), 9).alias("score"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity * 2.0 + l_discount * -3.5 + 0.25 AS value FROM lineitem")
+def linear_model(spark, sf):
+    x = F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double"), F.lit(1.0))
+    p = F.array(F.lit(2.0), F.lit(-3.5), F.lit(0.25))
+    return views.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", M.linear_model(x, p).alias("value"))
+
+
+@query("SELECT doc_id, ['one', 'two', 'three'][CAST(floor(('0x' || substr(md5('v|' || doc_id), 1, 8))::BIGINT / 4294967296.0 * 3) AS INTEGER) + 1] AS choice FROM documents")
+def prompt_variation(spark, sf):
+    from evoframe.plans.prompts import variation
+
+    return _d(spark, sf).select("doc_id", variation(["one", "two", "three"], "v", F.col("doc_id")).alias("choice"))
+
+
+@query("SELECT p_size, CAST(count(*) FILTER (WHERE p_partkey % 3 = 0) AS BIGINT) AS successful, CAST(count(*) FILTER (WHERE p_partkey % 3 = 1) AS BIGINT) AS skipped, CAST(count(*) FILTER (WHERE p_partkey % 3 = 2 AND p_partkey % 2 = 0) AS BIGINT) AS errors FROM part GROUP BY 1")
+def job_counts(spark, sf):
+    """Counts of job messages by what they say."""
+    i = F.col("p_partkey")
+    message = F.when(i % 3 == 0, F.concat(F.lit("Successfully processed "), i.cast("string"))).when(i % 3 == 1, "Skipped, done").when(i % 2 == 0, "Error processing it").otherwise("other")
+    return views.read(spark, sf, "part").groupBy("p_size").agg(*[F.count_if(F.contains(message, F.lit(sign))).alias(name) for name, sign in T.JOB_SIGNS.items()])
+
+
+@query("SELECT item_id, text FROM benchmark WHERE item_id >= 10 AND item_id < 90 AND item_id % 2 = 1")
+def benchmark_release(spark, sf):
+    """Items of a release within a range."""
+    from evoframe.operators.relational import released
+
+    rows = views.read(spark, sf, "benchmark").withColumn("release", F.concat(F.lit("v"), (F.col("item_id") % 2).cast("string")))
+    return released(rows, "v1", "item_id", 10, 90).select("item_id", "text")

@@ -127,6 +127,8 @@ def with_views(sql: str) -> str:
     own = sql.strip()
     if not ctes:
         return own
+    if own.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(ctes)}, {own[15:]}"
     if own.upper().startswith("WITH "):
         return f"WITH {', '.join(ctes)}, {own[5:]}"
     return f"WITH {', '.join(ctes)} {own}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -67,8 +68,8 @@ def read_event_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumns({"seq": seq, "log": F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)}).where("seq is not null")
 
 
-def write_files(rows: DataFrame, path: str) -> None:
-    """name, content (binary): a file under the path for each row with both, written by the executors into a folder that all of them share."""
+def write_files(rows: DataFrame, path: str, mode: int | None = None) -> None:
+    """name, content (binary): a file under the path for each row with both, written by the executors into a folder that all of them share. mode: for file systems that have modes."""
 
     def write(part: Iterator[Row]) -> None:
         from pyarrow.fs import FileSystem
@@ -83,6 +84,8 @@ def write_files(rows: DataFrame, path: str) -> None:
                 made.add(folder)
             with fs.open_output_stream(at) as out:
                 out.write(content)
+            if mode is not None and fs.type_name == "local":
+                os.chmod(at, mode)
 
     rows.select("name", "content").where("name is not null and content is not null").foreachPartition(write)
 
@@ -172,3 +175,29 @@ def latest_checkpoint(spark: SparkSession, base: str) -> int | None:
     names = [s.getPath().getName() for s in fs.listStatus(root)]
     numbers = [int(n.rpartition("_")[2]) for n in names if n.startswith("checkpoint_") and n.rpartition("_")[2].isdigit()]
     return max(numbers, default=None)
+
+
+def write_programs(programs: DataFrame, path: str) -> None:
+    """One JSON file for each program, named by its id."""
+    name = F.concat(safe_file_name(F.col("id").cast("string")), F.lit(".json"))
+    write_files(programs.select(name.alias("name"), F.to_json(F.struct(*programs.columns)).cast("binary").alias("content")), path)
+
+
+def write_json_document(rows: DataFrame, path: str, name: str) -> None:
+    """All rows as one JSON array in one file, in the order of their columns; for summaries, which are few rows."""
+    document = rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*rows.columns)))).cast("binary").alias("content"))
+    write_files(document.select(F.lit(name).alias("name"), "content"), path)
+
+
+def write_matrix(rows: DataFrame, path: str) -> None:
+    """Dense rows, as arrays in Parquet: read by column, and by part, where a dump of numbers would be read whole."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def write_scripts(rows: DataFrame, path: str) -> None:
+    """name, text: script files with plain line ends, which their owner may run where the file system keeps modes."""
+    write_files(rows.select("name", F.replace("text", F.lit("\r\n"), F.lit("\n")).cast("binary").alias("content")), path, mode=0o755)
