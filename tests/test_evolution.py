@@ -1,16 +1,21 @@
 """The evolution loop, its steps against a plain simulation, resume, and user callables."""
 
 import hashlib
+import json
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evoframe.operators import population as P
+from evoframe.operators import regression as E2
 from evoframe.plans import evolution as E
+from evoframe.plans import experiments as X
 from evoframe.plans import prompts, user_code
 from evoframe.plans.query_storage import scratch
+from evoframe.sources import config
 from evoframe.sources import storage as S
 
 
@@ -228,3 +233,63 @@ def test_processing_batches_and_packings(spark):
     programs = spark.createDataFrame([("a", "2"), ("b", "x")], "id string, code string")
     circles = user_code.packings(programs, lambda code: (np.full((int(code), 2), 0.5), np.full(int(code), 0.1), 0.2), timeout=10).collect()
     assert [(r.grp, r.idx, r.x, r.r, r.reported_sum) for r in sorted(circles, key=lambda r: r.idx)] == [("a", 0, 0.5, 0.1, 0.2), ("a", 1, 0.5, 0.1, 0.2)]
+
+
+def _curve(x, p):
+    return p[0] * np.sin(x[:, 0] * p[1]) + p[2]
+
+
+def _broken(x, p):
+    raise ValueError("no function")
+
+
+def test_function_fits(spark):
+    rng = np.random.default_rng(4)
+    truth = {1: (2.0, 0.7, -1.0), 2: (0.5, 0.9, 3.0)}
+    rows = [(g, [float(v)], float(a * np.sin(v * b) + c)) for g, (a, b, c) in truth.items() for v in rng.uniform(-2, 2, 80)]
+    d = spark.createDataFrame(rows, "grp long, x array<double>, y double")
+    for r in E2.function_fit(d, "grp", _curve, 3).collect():
+        assert r.mse < 1e-8 and r.converged and r.error is None
+        assert [abs(v) for v in r.params] == pytest.approx([abs(v) for v in truth[r.grp]], abs=1e-3)
+    assert {(r.params, r.error) for r in E2.function_fit(d, "grp", _broken, 3).collect()} == {(None, "ValueError: no function")}
+    p, loss, ok = E2.bfgs(lambda p: (1 - p[0]) ** 2 + 100 * (p[1] - p[0] ** 2) ** 2, np.array([-1.2, 1.0]), steps=500)
+    assert loss < 1e-6 and p == pytest.approx([1, 1], abs=5e-3)
+
+
+def test_experiments(spark, tmp_path):
+    scratch(spark)
+    inputs = "array<struct<symbol:string,description:string>>"
+    problems = spark.createDataFrame([("a", "P0", [("t", "time"), ("v", "speed")], "s"), ("b", "P1", [], "c")], f"split string, name string, inputs {inputs}, output string")
+    files = X.generated(problems)
+    S.write_files(files, f"file://{tmp_path}")
+    space = {}
+    exec((tmp_path / "a/P0/initial_program.py").read_text(), space)  # noqa: S102  what was just made
+    assert space["func"](np.array([[2.0, 3.0]]), np.arange(10)).tolist() == [3.0] and space["func"].num_params == 10
+    assert "x[:, 1]: v (speed)" in (tmp_path / "a/P0/initial_program.py").read_text() and '"iterations":200' in (tmp_path / "a/P0/config.json").read_text()
+    exec((tmp_path / "b/P1/initial_program.py").read_text(), space)  # noqa: S102
+    assert space["func"](np.zeros((3, 0)), np.arange(1, 11)).tolist() == [1.0] * 3
+    ended = []
+
+    def run(row):
+        if row["problem"] == "bad":
+            raise ValueError("bad")
+        return {"of": row["problem"]}
+
+    rows = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "bad"), ("c", "never")], "split string, problem string")
+    done = X.fan_out(rows, run, ["a", "b"], after=lambda split, part: ended.append((split, part.count())))
+    assert ended == [("a", 1), ("b", 2)]
+    assert sorted((r.split, r.output, r.error) for r in done.collect() if r.output) == [("a", '{"of": "x"}', None), ("b", '{"of": "y"}', None)]
+
+
+def test_configuration(tmp_path):
+    values = {"iterations": 7, "unknown": 1, "dimensions": ["score", "diversity"], "sampler": {"top": 9, "other": 2}}
+    (tmp_path / "c.json").write_text(json.dumps(values))
+    c = config.load(E.Settings, str(tmp_path / "c.json"))
+    assert (c.iterations, c.dimensions, c.sampler.top, c.islands) == (7, ("score", "diversity"), 9, 5)
+    config.dump(c, str(tmp_path / "d.json"))
+    assert config.load(E.Settings, str(tmp_path / "d.json")) == c
+    assert config.load(E.Settings, str(tmp_path / "none"), {"SEED": "9"}, {"seed": "SEED", "target": "TARGET"}).seed == "9"
+    pytest.importorskip("yaml")
+    config.dump(c, str(tmp_path / "d.yaml"))
+    assert config.load(E.Settings, str(tmp_path / "d.yaml")) == c
+    assert config.switch("ENABLE_ARTIFACTS", {}) and not config.switch("ENABLE_ARTIFACTS", {"ENABLE_ARTIFACTS": "False"}) and not config.switch("OTHER", {})
