@@ -23,7 +23,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evoframe.llm.common import GOLDEN, U64, Forest, blob, checkpointed, components, dealt, fresh, lean, mix, spans, text_bytes, unblob
@@ -83,11 +83,11 @@ def first_pass(docs: DataFrame) -> DataFrame:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            ids, rows = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            ids, rows, again = (batch.column(k).to_numpy() for k in (0, 2, 3))
             for a, b in spans(offsets, BLOCK):
                 values, sizes = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 counts += np.bincount(_slot(values), minlength=len(counts)).astype(np.uint32)
-                yield _row(-1, blob(ids[a:b].astype("<i8"), rows[a:b].astype("<i8"), sizes.astype("<u4"), set_names(values, sizes)), "slice")
+                yield _row(-1, blob(ids[a:b].astype("<i8"), rows[a:b].astype("<i8"), again[a:b].astype("<i8"), sizes.astype("<u4"), set_names(values, sizes)), "slice")
         for k, part in enumerate(np.split(counts, SLICES)):
             yield _row(k, blob(part), "slice")
 
@@ -119,11 +119,11 @@ def set_rows(first: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in batch.column(0):
-                ids, rows, sizes, names = unblob(p.as_py())
-                columns = [pa.array(ids), pa.array(rows), pa.array(sizes.astype(np.int64)), pa.array(names.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_key", "row", "n_shingles", "cls"])
+                ids, rows, again, sizes, names = unblob(p.as_py())
+                columns = [pa.array(ids), pa.array(rows), pa.array(again), pa.array(sizes.astype(np.int64)), pa.array(names.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_key", "row", "row2", "n_shingles", "cls"])
 
-    return first.where("slice < 0").select("payload").mapInArrow(run, "doc_key long, row long, n_shingles long, cls long")
+    return first.where("slice < 0").select("payload").mapInArrow(run, "doc_key long, row long, row2 long, n_shingles long, cls long")
 
 
 def postings(docs: DataFrame, often, buckets: int) -> DataFrame:
@@ -374,11 +374,15 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.groupBy("g").applyInArrow(run, PAIRS_SQL)
 
 
+def _row_names(doc_key: str, text: Column, *names: str) -> list[Column]:
+    return [F.xxhash64(doc_key, text).alias(names[0]), F.xxhash64(text, F.lit(1), doc_key).alias(names[1])]
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(set_rows of docs, and (cls, component_id) of sets that are linked with another one). Equal rows share a key, row."""
+    """(set_rows of docs, and (cls, component_id) of sets that are linked with another one). Equal rows share a key of 128 bits, row and row2; equal sets a name of 64 bits, cls."""
     n = docs.count()
     buckets = max(1, -(-n // DOCS_PER_BUCKET))
-    own = docs.select("doc_key", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_key", "text").alias("row"))
+    own = docs.select("doc_key", F.col("text").cast("binary").alias("text"), *_row_names("doc_key", F.col("text").cast("binary"), "row", "row2"))
     first = checkpointed(first_pass(own))
     often = docs.sparkSession.sparkContext.broadcast(sketch(first))
     sets = set_rows(first)
@@ -441,8 +445,10 @@ def link(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest id, with all its columns; documents without words stay. Rows of equal id and text are one."""
     linked, without = _linked(docs)
-    (key,) = fresh(docs, "row")
-    chosen = linked.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")).select(F.col("best.row").alias(key))
-    kept = chosen.unionByName(without.select(F.col("row").alias(key))).distinct()
-    own = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.col("text").cast("binary")))
-    return own.join(kept, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own_key, *keys = fresh(docs, "doc_key", "row", "row2")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "row2")
+    chosen = linked.groupBy("part").agg(F.min(order).alias("best")).select(*[F.col(f"best.{c}").alias(k) for c, k in zip(("row", "row2"), keys, strict=True)])
+    kept = chosen.unionByName(without.select(*[F.col(c).alias(k) for c, k in zip(("row", "row2"), keys, strict=True)])).distinct()
+    own = docs.withColumn(own_key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    own = own.select("*", *_row_names(own_key, F.col("text").cast("binary"), *keys))
+    return own.join(kept, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -32,7 +32,7 @@ from evoframe.llm.common import U64, blob, checkpointed, dealt, lean, mix, spans
 from evoframe.llm.suffixes import Anchors
 
 THRESHOLD = 50
-BLOCK, BLOCK_ANCHORS = 1 << 20, 2_000_000
+BLOCK, BLOCK_ANCHORS = 1 << 18, 1_500_000
 #: Bytes of text for each group of ranks, and for each group of texts.
 BYTES_PER_RANKS, BYTES_PER_TEXTS = 6 << 20, 4 << 20
 #: Documents without an id are compared as the last of all, and dealt over so many addresses by their text.
@@ -77,6 +77,18 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _order_by(rank: np.ndarray, second: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The order by all three: most ranks stand alone, so only the others are sorted by the rest."""
+    order = np.argsort(rank)
+    ranks = rank[order]
+    same = np.zeros(len(ranks), bool)
+    same[1:] = ranks[1:] == ranks[:-1]
+    same[:-1] |= same[1:]
+    some = order[same]
+    order[same] = some[np.lexsort((doc[some], second[some], rank[some]))]
+    return order
+
+
 def _all(parts: list[np.ndarray], kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *parts])
 
@@ -122,7 +134,7 @@ class _Sender:
             return
         rank, context, doc = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.n = [], 0
-        order = np.lexsort((doc, context, rank))
+        order = _order_by(rank, context, doc)
         rank, context, doc = rank[order], context[order], doc[order]
         alike, each = _heads(rank, context), _heads(rank, context, doc)
         smallest = _order(doc[alike])[np.cumsum(alike) - 1]
@@ -187,7 +199,7 @@ def resolve_anchors(sent: DataFrame, texts: int) -> DataFrame:
             done_doc.append(dd)
             done.append(_joined(dh, dl))
         rank, context, doc, flag = (np.concatenate(x) for x in (rank, context, doc, flag))
-        order = np.lexsort((doc, context, rank))
+        order = _order_by(rank, context, doc)
         rank, context, doc, flag = rank[order], context[order], doc[order], flag[order]
         new, alike = _heads(rank), _heads(rank, context)
         group, starts, own = np.cumsum(new) - 1, np.flatnonzero(new), _order(doc)
@@ -264,7 +276,7 @@ class _Texts:
 
 def _sorted_windows(windows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Windows by (rank, name, document); again: the same string starts in a smaller document of the group."""
-    order = np.lexsort((windows["doc"], windows["name"], windows["rank"]))
+    order = _order_by(windows["rank"], windows["name"], windows["doc"])
     out = {k: x[order] for k, x in windows.items()}
     alike, own = _heads(out["rank"], out["name"]), _order(out["doc"])
     return out | {"again": own > own[alike][np.cumsum(alike) - 1]}
@@ -303,7 +315,7 @@ def resolve_windows(sent: DataFrame, texts: int) -> DataFrame:
             name.append(_joined(high, low))
             doc.append(np.cumsum(d))
         rank, name, doc = (np.concatenate(x) for x in (rank, name, doc))
-        order = np.lexsort((doc, name, rank))
+        order = _order_by(rank, name, doc)
         rank, name, doc = rank[order], name[order], doc[order]
         alike = _heads(rank, name)
         hit = _order(doc) > _order(doc[alike])[np.cumsum(alike) - 1]

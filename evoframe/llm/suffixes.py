@@ -49,16 +49,20 @@ class Names:
 
 
 def leftmost_minima(x: np.ndarray, width: int) -> np.ndarray:
-    """The position of the leftmost smallest value in each window of that width, by windows of doubled width."""
-    low, at, have = x, np.arange(len(x), dtype=np.int32), 1
+    """The position of the leftmost smallest value in each window of that width, by windows of doubled width.
+
+    A value's low bits make room for its position, so that one minimum finds both; values that differ in these bits only count as
+    equal. Positions fit in 24 bits: a block is at most that long, or its values are taken in pieces.
+    """
+    if len(x) >= 1 << 24:
+        step = (1 << 24) - width
+        return np.concatenate([leftmost_minima(x[a : a + step + width - 1], width) + a for a in range(0, len(x) - width + 1, step)])
+    low, have = (x & ~U64(0xFFFFFF)) | np.arange(len(x), dtype=U64), 1
     while have < width:
         step = min(have, width - have)
-        n = len(low) - step
-        less = low[step:] < low[:n]
-        at = np.where(less, at[step:], at[:n])
-        low = np.where(less, low[step:], low[:n])
+        low = np.minimum(low[: len(low) - step], low[step:])
         have += step
-    return at
+    return (low & U64(0xFFFFFF)).astype(np.int64)
 
 
 def paired(rank: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -100,7 +104,7 @@ class Anchors:
         begin[heads] = True
         end[heads[heads > 0] - 1] &= valid[heads[heads > 0] - 1]
         self.first, self.last = np.flatnonzero(begin), np.flatnonzero(end)
-        anchor = at[self.first].astype(np.int64)
+        anchor = at[self.first]
         self.rank = grams[anchor]
         with np.errstate(over="ignore"):
             place = ((anchor - self.first) * (2 * length) + (self.last - self.first)).astype(U64)

@@ -67,9 +67,11 @@ def test_splitting_is_the_pattern():
 
 
 def test_leftmost_minima():
-    x = np.random.default_rng(0).integers(0, 6, 200).astype(np.uint64)
-    got = suffixes.leftmost_minima(x, 26)
-    assert got.tolist() == [i + int(x[i : i + 26].argmin()) for i in range(200 - 25)]
+    x = np.random.default_rng(0).integers(0, 6, 200).astype(np.uint64) << np.uint64(30)
+    for width in (1, 2, 26, 200):
+        assert suffixes.leftmost_minima(x, width).tolist() == [i + int(x[i : i + width].argmin()) for i in range(201 - width)]
+    long = np.arange((1 << 24) + 100, dtype=np.uint64)[::-1] << np.uint64(30)
+    assert (suffixes.leftmost_minima(long, 3) == np.arange(2, len(long))).all()
 
 
 def test_components(spark):
@@ -661,6 +663,118 @@ def test_pipeline(spark):
     assert set(__spark_entry__.oracle_sql()) <= names
 
 
+def brute_lines(rows, edits=2, least=24):
+    """rows: (id, text), ids without nulls. Texts after line removal; None: the document goes."""
+    places = [((i, p), x) for i, t in rows for p, x in enumerate((t or "").split("\n"))]
+    seen = [(at, x) for at, x in places if x.strip(" ")]
+    out = []
+    for i, t in rows:
+        if t is None:
+            out.append((i, t))
+            continue
+        kept, some, left = [], False, False
+        for p, x in enumerate(t.split("\n")):
+            raw = x.encode()
+            near = lambda y, raw=raw: len(raw) >= least and len(y) >= least and abs(len(y) - len(raw)) <= edits and levenshtein(raw, y) <= edits
+            gone = bool(x.strip(" ")) and any(at < (i, p) and (y == x or near(y.encode())) for at, y in seen)
+            some, left = some or bool(x.strip(" ")), left or bool(x.strip(" ")) and not gone
+            kept += [] if gone else [x]
+        if left or not some:
+            out.append((i, "\n".join(kept)))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage of the pipeline on a small table with copies, shared lines and passages, odd and empty texts, against plain Python."""
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    vocabulary = [f"{a}{b}" for a in ("ba", "ce", "di", "fo", "gu") for b in ("lor", "men", "nis", "pta", "rum", "ses", "tiv", "vox")]
+    say = lambda n: " ".join(rng.choice(vocabulary) + str(rng.randrange(30)) for _ in range(n)).capitalize() + "."
+    good = ["\n".join(say(rng.randint(8, 14)) for _ in range(rng.randint(2, 5))) for _ in range(45)]
+    shared, passage = say(9), say(30)
+    good[3] += "\n" + shared
+    good[9] += "\n" + shared[:-3] + "xy."
+    good[12] = good[12][:-1] + " " + passage
+    good[20] = good[20][:-1] + " " + passage + " " + say(5)
+    good[25] = say(60)
+    near = good[25].split(" ")
+    near[4] = "otherwise"
+    good += [good[7], " ".join(near), None, "", "  ", "é漢 " * 30]
+    bad = ["$$ | ## !! " * rng.randint(4, 30) for _ in range(25)]
+    texts = [t for pair in zip(good, bad + [None] * len(good), strict=False) for t in pair][: 2 * len(bad)] + good[len(bad) :]
+    marks = [(i, int(t in good), 0) for i, t in enumerate(texts) if t]
+    d = documents(spark, texts)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    scores = {r.doc_id: r.score for r in quality.score(d, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    rows = [(i, t) for i, t in enumerate(texts) if scores[i] >= 0.7]
+    assert 40 < len(rows) < len(texts) - 15
+    steps = [rows, rows := brute_lines(rows)]
+    ids, sets = [i for i, _ in rows], [shingle_set(t) for _, t in rows]
+    rows = [r for r, part, s in zip(rows, brute_components(ids, sets), sets, strict=True) if part == r[0] or not s]
+    steps.append(rows)
+    rows = [(i, None if t is None else bytes(b for b, g in zip(raw, gone, strict=True) if not g).decode("utf-8", "ignore")) for (i, t), (_, raw, gone) in zip(rows, removed([(i, (t or "").encode()) for i, t in rows]), strict=True)]
+    steps.append(rows)
+    assert all(a != b for a, b in zip(steps, steps[1:], strict=False))
+    got, sf = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    for (_, stage), wanted in zip(corpus_pipeline.STAGES, steps, strict=False):
+        got = C.checkpointed(stage(spark, got, sf))
+        assert sorted((r.doc_id, r.text is None, r.text or "") for r in got.collect()) == sorted((i, t is None, t or "") for i, t in wanted)
+        assert all(r.n_chars == (0 if r.text is None else len(r.text)) for r in got.collect())
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in rows}
+    packed = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id: r.doc_tokens for r in packed} == tokens and sum(r.length for r in packed) == sum(tokens.values())
+
+
+ODD = [(1, None), (1, None), (None, "no id, first line of it\nsecond"), (None, "no id, first line of it\nsecond"), (None, None), (5, ""), (5, "x"), (6, "same text here of some words"), (7, "same text here of some words"), (7, "same text here of some words")]
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd", "long"])
+def test_stages_and_operators_on_odd_tables(spark, kind):
+    """Empty tables; null ids and texts, repeated rows and ids; a very long text. Row operators keep every row, stages the columns."""
+    rng = random.Random(17)
+    rows = {"empty": [], "odd": ODD, "long": [(1, words(rng, 60_000, 9000)), (2, "The short one. " * 3), (3, "y" * 300_000)]}[kind]
+    d = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    marks = labels(spark, [(1, 1, 0, "x"), (2, 0, 0, "x"), (5, None, 0, "x"), (None, 1, 0, "x"), (7, 1, 1, "x"), (7, 0, 1, "x")])
+    every = Counter(i for i, _ in rows)
+    for out in (quality.score(d, marks), language.predict(d), passages.dedup(d, digests=True), bpe.encode_decode(d, digests=True), ngrams.link(d)):
+        assert Counter(r.doc_id for r in out.collect()) == every
+    assert {r.doc_id for r in packing.pack(d).collect()} == set(every) and {r.doc_id for r in lines.line_report(d).collect()} == set(every)
+    for stage in (lambda x: quality.keep_good(x, marks), lines.drop_lines, ngrams.drop_copies, passages.drop_passages):
+        out = stage(d)
+        assert out.columns == d.columns and [f.dataType for f in out.schema] == [f.dataType for f in d.schema]
+        assert not Counter(r.doc_id for r in out.collect()) - every
+    if kind == "odd":
+        assert Counter((r.doc_id, r.text) for r in lines.drop_lines(d).collect()) == Counter([(1, None)] * 2 + [(None, ODD[2][1])] * 2 + [(None, None), (5, ""), (5, "x"), (6, ODD[7][1])])
+        assert Counter((r.doc_id, r.text) for r in ngrams.drop_copies(d).collect()) == Counter([(1, None), (None, ODD[2][1]), (None, None), (5, ""), (5, "x"), (6, ODD[7][1])])
+    if kind == "long":
+        assert {r.doc_id: r.lang_pred for r in language.predict(d).collect()}.keys() == {1, 2, 3}
+        p = spark.createDataFrame([(1, "http://a.com/" + "x/" * 60_000 + "?q"), (2, "http://" + "b." * 40_000 + "net/es/")], "page_id long, url string")
+        assert {r.page_id: (len(r.path), r.rule) for r in urls.judge(p).collect()} == {1: (120_001, "com/"), 2: (4, "net/es/")}
+
+
+def test_features_are_what_they_say():
+    """The classifier's features by plain loops."""
+    import pyarrow as pa
+
+    texts = ["", "a", "Ab cd. ef!\nGh gh gh (x)", "  \t", "é漢 1,2 x_y x_y", "A " * 50]
+    data, offsets = C.text_bytes(pa.array(texts))
+    got = quality.text_features(data, offsets)
+    table = quality.byte_classes()
+    for t, row in zip(texts, got, strict=True):
+        raw = t.encode()
+        counts = np.bincount(table[list(raw)], minlength=quality.N_CLASSES) if raw else np.zeros(quality.N_CLASSES)
+        w, n = re.findall(rb"[^\n\t\r\v\f ]+", raw), max(1, len(re.findall(rb"[^\n\t\r\v\f ]+", raw)))
+        symbol = lambda c: 5 <= table[c] < quality.LOWER
+        wanted = [
+            np.log1p(len(raw)), (len(raw) - counts[:3].sum()) / n, sum(65 <= x[0] <= 90 for x in w) / n, sum(symbol(x[-1]) for x in w) / n,
+            sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, sum(a == b for a, b in zip(w, w[2:], strict=False)) / n,
+        ]
+        assert np.allclose(row[: quality.N_CLASSES], np.sqrt(counts / max(1, len(raw)))) and np.allclose(row[quality.N_CLASSES :], wanted)
+
+
 @pytest.mark.parametrize("name", ["op7_urls", "op9_lines", "op10_search"])
 def test_sql(spark, name):
     import duckdb
