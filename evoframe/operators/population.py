@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evoframe.functions.metrics import bin_of, cell_key, complexity_bin, fitness, hash_order, metric, safe_average
 from evoframe.functions.text import whole_edit_distance
-from evoframe.operators.relational import unit_interval
+from evoframe.operators.relational import ranked_within, so_far, unit_interval
 
 
 def scored(programs: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def compared(programs: DataFrame) -> DataFrame:
     """Ranks by one key: rows with metrics first, then combined score or average, then the newer."""
     some = F.size("metrics") > 0
     value = F.when(some, F.round(fitness(F.col("metrics")), 9))
-    order = Window.partitionBy("island").orderBy(some.desc(), value.desc_nulls_last(), F.desc("seq"))
-    return programs.withColumn("rank", F.row_number().over(order).cast("long"))
+    keyed = programs.withColumns({"_some": some, "_value": value})
+    return ranked_within(keyed, "island", F.desc("_some"), F.desc_nulls_last("_value"), F.desc("seq")).drop("_some", "_value")
 
 
 def limited(programs: DataFrame, n: int, best_id: str | int | None = None) -> DataFrame:
@@ -120,8 +120,7 @@ def archive_fold(programs: DataFrame, n: int) -> DataFrame:
 
 def running_best(programs: DataFrame, partition: str = "island") -> DataFrame:
     """Arrivals that were strictly better than all before them."""
-    before = Window.partitionBy(partition).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = scored(programs).withColumn("_so_far", F.max("best_fit").over(before))
+    rows = so_far(scored(programs), partition, "seq", "best_fit", "_so_far")
     return rows.where(F.col("_so_far").isNull() | (F.col("best_fit") > F.col("_so_far"))).drop("_so_far")
 
 
@@ -148,8 +147,7 @@ def island_diversity(programs: DataFrame, sample: int = 10, most: int | None = N
 
 def migrants(programs: DataFrame, islands: int, rate: float, stamp: str = "t") -> DataFrame:
     """The best share of each island (one at least), copied to both ring neighbours (once, where these coincide)."""
-    order, whole = Window.partitionBy("island").orderBy(F.desc("best_fit"), "seq"), Window.partitionBy("island")
-    rows = scored(programs).withColumns({"rank": F.row_number().over(order), "n": F.count("*").over(whole)})
+    rows = ranked_within(scored(programs), "island", F.desc("best_fit"), "seq").join(programs.groupBy("island").agg(F.count("*").alias("n")), "island")
     chosen = rows.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") * rate)))
     targets = F.array_distinct(F.array(F.pmod(F.col("island") + 1, F.lit(islands)), F.pmod(F.col("island") - 1, F.lit(islands))))
     return chosen.withColumn("target", F.explode(targets)).where("target <> island").withColumn(

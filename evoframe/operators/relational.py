@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,9 +70,39 @@ def numbered(rows: DataFrame, partition: list[str], order: list[str], name: str
     return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1).cast("long"))
 
 
+def _in_ranges(rows: DataFrame, by: str, *order: Column | str) -> DataFrame:
+    """rows with _p, the number of their range of (by, order): ranges are as many as shuffles have partitions, so a frequent value of `by` has many. Their number is
+    given, as adaptive execution would else be free to join them, each time in another way."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, F.col(by), *order).withColumn("_p", F.spark_partition_id())
+
+
+def _before(parts: DataFrame, by: str, what: Column, over: Callable[[str], Column]) -> DataFrame:
+    """(_q, _by, _before): over the ranges of the same `by` in front of each one, of which there are as many as partitions."""
+    w = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.groupBy("_p", by).agg(what.alias("_what")).select(F.col("_p").alias("_q"), F.col(by).alias("_by"), over("_what").over(w).alias("_before"))
+
+
+def ranked_within(rows: DataFrame, by: str, *order: Column | str, name: str = "rank") -> DataFrame:
+    """Numbers from 1 within each value of `by`, of which a few may hold all rows: counted range by range instead of in one task a value."""
+    parts = _in_ranges(rows, by, *order)
+    local = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p", by).orderBy(*order)))
+    out = local.join(_before(parts, by, F.count("*"), F.sum), (F.col("_p") == F.col("_q")) & F.col(by).eqNullSafe(F.col("_by")))
+    return out.withColumn(name, (F.coalesce("_before", F.lit(0)) + F.col("_i")).cast("long")).drop("_p", "_q", "_by", "_i", "_before")
+
+
+def so_far(rows: DataFrame, by: str, order: str, value: str, name: str) -> DataFrame:
+    """The greatest value of all rows in front, within each value of `by`; null for the first. Ranges first, then what is in front of each."""
+    parts = _in_ranges(rows, by, order)
+    local = parts.withColumn("_m", F.max(value).over(Window.partitionBy("_p", by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
+    out = local.join(_before(parts, by, F.max(value), F.max), (F.col("_p") == F.col("_q")) & F.col(by).eqNullSafe(F.col("_by")))
+    return out.withColumn(name, F.greatest("_m", "_before")).drop("_p", "_q", "_by", "_m", "_before")
+
+
 def numbered_all(rows: DataFrame, order: str, name: str = "idx") -> DataFrame:
     """Dense numbers from 0 over the whole table without one task that sorts it all: range partitions, then their counts."""
-    parts = rows.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.repartitionByRange(n, F.col(order)).withColumn("_p", F.spark_partition_id())
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min(order).alias("_low"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
     local = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)

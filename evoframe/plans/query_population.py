@@ -9,6 +9,7 @@ from evoframe.operators import geometry as G
 from evoframe.operators import lineage as L
 from evoframe.operators import population as P
 from evoframe.operators import regression as E
+from evoframe.operators.relational import ranked_within
 from evoframe.plans import views
 from evoframe.plans.catalogue import query
 
@@ -284,10 +285,8 @@ def highlight_failed(spark, sf):
 
 @query("SELECT id, row_number() OVER (PARTITION BY island ORDER BY quality DESC NULLS LAST, seq) AS place FROM programs")
 def list_sort(spark, sf):
-    from pyspark.sql import Window
-
     p = _p(spark, sf)
-    return p.select("id", F.row_number().over(Window.partitionBy("island").orderBy(*L.list_order(p, "score", "quality"))).cast("long").alias("place"))
+    return ranked_within(p, "island", *L.list_order(p, "score", "quality"), name="place").select("id", "place")
 
 
 @query("""WITH s AS (SELECT min(score) AS lo, max(score) AS hi FROM programs) SELECT id, round(10 + (score - lo) / (hi - lo) * 22, 6) AS radius FROM programs, s""")

@@ -215,3 +215,18 @@ def test_sets_and_samples(spark):
     assert {r.model for r in R.weighted_choice(d, models, "id", "w").collect()} == {"b"}
     three = spark.createDataFrame([(m, 0.3) for m in "abc"], "model string, weight double")
     assert {r.model for r in R.weighted_choice(spark.range(1000), three, "id", "w").collect()} == set("abc")
+
+
+def test_ranks_and_maxima_over_ranges(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, 1 if i % 10 else 2 + i % 3, float(rng.randrange(50))) for i in range(400)] + [(400, None, 1.0)]
+    d = spark.createDataFrame(rows, "seq long, g long, v double").repartition(3)
+    got = {r.seq: r["rank"] for r in R.ranked_within(d, "g", F.desc("v"), "seq").collect()}
+    best = {r.seq: r.m for r in R.so_far(d, "g", "seq", "v", "m").collect()}
+    for g in {g for _, g, _ in rows}:
+        own = [(s, v) for s, h, v in rows if h == g]
+        assert [s for s, _ in sorted(own, key=lambda x: (-x[1], x[0]))] == sorted((s for s, _ in own), key=got.get)
+        assert sorted(got[s] for s, _ in own) == list(range(1, len(own) + 1))
+        assert [best[s] for s, _ in own] == [max((v for _, v in own[:k]), default=None) for k in range(len(own))]
