@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import multiprocessing
 import os
+import subprocess
 import tempfile
 import time
 import traceback
@@ -14,6 +15,7 @@ from typing import Any, NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Outcome(NamedTuple):
@@ -135,6 +137,26 @@ def processed(rows: DataFrame, process: Callable[[dict], Any], key: str, retries
     return rows.mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, output string, error string")
 
 
+def judged(rows: DataFrame, command: list[str], key: str = "id", code: str = "code", timeout: float = 600.0) -> DataFrame:
+    """(key, output, error, score, done, correct, total): each program on the standard input of an external judge, and the counts of its report (null if it has none)."""
+    from evoframe.functions.text import judge_summary
+
+    def judge(text: str) -> str:
+        done = subprocess.run(command, input=text, capture_output=True, text=True, timeout=timeout, check=False)
+        if done.returncode:
+            raise RuntimeError(f"exit {done.returncode}: {done.stderr[-500:]}")
+        return done.stdout
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = with_retries(judge, 0)
+        for pdf in batches:
+            out = [call(text) for text in pdf[code]]
+            yield pd.DataFrame({key: pdf[key], "output": [o.value for o in out], "error": [o.error for o in out]})
+
+    told = rows.select(key, code).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, output string, error string")
+    return told.withColumn("_s", judge_summary(F.col("output"))).select(key, "output", "error", "_s.score", "_s.done", "_s.correct", "_s.total")
+
+
 def batched(rows: DataFrame, respond: Callable[[list[str]], list[str]], key: str, size: int = 32, delay: float = 1.0, text: str = "prompt") -> DataFrame:
     """(key, reply): texts by batches, with a pause of each task between its batches, for services that limit their rate."""
 

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import sys
 import time
 
 import numpy as np
@@ -293,3 +294,10 @@ def test_configuration(tmp_path):
     config.dump(c, str(tmp_path / "d.yaml"))
     assert config.load(E.Settings, str(tmp_path / "d.yaml")) == c
     assert config.switch("ENABLE_ARTIFACTS", {}) and not config.switch("ENABLE_ARTIFACTS", {"ENABLE_ARTIFACTS": "False"}) and not config.switch("OTHER", {})
+
+
+def test_external_judge(spark):
+    script = "import sys; t = sys.stdin.read(); sys.exit(3) if t == 'bad' else print(f'Score: {len(t)}\\nTest cases done: 3\\nTest cases correct: 2\\nTest cases total: 4' if t else 'nothing')"
+    rows = spark.createDataFrame([(1, "abc"), (2, "bad"), (3, "")], "id long, code string")
+    got = {r.id: (r.score, r.total, r.error is not None) for r in user_code.judged(rows, [sys.executable, "-c", script], timeout=30).collect()}
+    assert got == {1: (3, 4, False), 2: (None, None, True), 3: (None, None, False)}

@@ -123,3 +123,49 @@ def test_members_formats_and_bytes_of_every_row(spark):
     assert shown == {i: ", ".join(f"{k}={v:.4f}" for k, v in sorted(r.metrics.items())) for i, r in p.items()}
     assert "noise=nan" in shown[97] and any("quality=" in t for t in shown.values())
     assert {r.doc_id: r.text for r in QUERIES["byte_decode"](spark, SF).collect()} == {i: (b"\xff\xfe" + r.code.encode()).decode(errors="replace") for i, r in p.items()}
+
+
+def test_archives_after_single_arrivals(spark, tmp_path):
+    """The fold of each island, and a batch's, against plain loops."""
+    from evoframe.operators import population as P
+
+    rng = random.Random(11)
+    rows = [(i, i % 2, i, {"score": rng.randrange(8) / 8} | ({"combined_score": rng.randrange(8) / 8} if i % 3 else {})) for i in range(60)]
+    p = spark.createDataFrame(rows, "id long, island long, seq long, metrics map<string,double>")
+
+    def fold(held, arrivals, n):
+        average = lambda r: round(sum(r[3].values()) / len(r[3]), 9)
+        value = lambda r: r[3].get("combined_score", average(r))
+        for r in arrivals:
+            if len(held) < n:
+                held.append(r)
+                continue
+            worst = min(held, key=average)
+            if value(r) > value(worst):
+                held[held.index(worst)] = r
+        return held
+
+    got = Counter((r.island, r.id) for r in P.archive_fold(p, 7).collect())
+    assert got == Counter((k, r[0]) for k in (0, 1) for r in fold([], [r for r in rows if r[1] == k], 7))
+    s = P.scored(p)
+    first = P.archive_added(s.where("false"), s.where("id < 20"), 5)
+    both = {r.id for r in P.archive_added(first, s.where("id >= 20"), 5).collect()}
+    assert {r.id for r in first.collect()} == {r[0] for r in fold([], rows[:20], 5)} and both == {r[0] for r in fold(fold([], rows[:20], 5), rows[20:], 5)}
+
+
+def test_repaired_radii(spark):
+    from evoframe.operators import geometry as G
+
+    rng = random.Random(12)
+    rows = [(g, i, rng.random(), rng.random()) for g in range(3) for i in range(12)]
+    got = {(r.grp, r.idx): r.r for r in G.repaired_radii(spark.createDataFrame(rows, "grp long, idx long, x double, y double")).collect()}
+    for g in range(3):
+        own = [r for r in rows if r[0] == g]
+        radii = [min(x, y, 1 - x, 1 - y) for _, _, x, y in own]
+        for i in range(len(own)):
+            for j in range(i + 1, len(own)):
+                far = math.dist(own[i][2:], own[j][2:])
+                if radii[i] + radii[j] > far:
+                    share = far / (radii[i] + radii[j])
+                    radii[i], radii[j] = radii[i] * share, radii[j] * share
+        assert [got[(g, i)] for i in range(12)] == pytest.approx(radii)
