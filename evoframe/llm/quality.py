@@ -122,15 +122,25 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(scored: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from about sample_rows labelled rows (a bound, by hash of doc_id) that aren't held out; several labels of one doc_id: the lowest."""
+def learned_rows(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, int]:
+    """(doc_id, quality) of about sample_rows labelled documents (a bound, by hash of doc_id) that aren't held out, and how many; several labels of one doc_id: the lowest."""
     own = labels.where("quality is not null and doc_id is not null").where(~is_held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n = own.count()
-    share = min(1.0, sample_rows / max(n, 1))
-    own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = scored.dropDuplicates(["doc_id"]).join(own, "doc_id").select("features", "quality").toPandas() if n else pd.DataFrame({"features": [], "quality": []})
-    x = np.stack(rows["features"]).astype(np.float64) if len(rows) else np.zeros((0, N_FEATURES))
-    return Model(x, (rows["quality"].to_numpy() > 0).astype(int) if len(rows) else np.zeros(0))
+    share = min(1.0, sample_rows / max(own.count(), 1))
+    own = checkpointed(own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    return own, own.count()
+
+
+def fit(scored: DataFrame, rows: DataFrame, n: int) -> Model:
+    """Learn from the features of these rows; they come to the driver, as many as learned_rows bounds."""
+    one = scored.join(_side(rows, n), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.min("quality").alias("quality"))
+    data = one.toPandas().sort_values("doc_id") if n else pd.DataFrame({"features": [], "quality": []})  # in one order, whatever the tasks
+    x = np.stack(data["features"]).astype(np.float64) if len(data) else np.zeros((0, N_FEATURES))
+    return Model(x, (data["quality"].to_numpy() > 0).astype(int) if len(data) else np.zeros(0))
+
+
+def _side(rows: DataFrame, n: int) -> DataFrame:
+    """Broadcast only as long as they are as few as the default sample."""
+    return F.broadcast(rows) if n <= 2 * SAMPLE_ROWS else rows
 
 
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -140,7 +150,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     without labels of both kinds every document scores alike and is kept. Further columns are ignored.
     """
     scored = checkpointed(features(docs))
-    model = fit(scored, labels, sample_rows)
+    model = fit(scored, *learned_rows(labels, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +163,8 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with all their columns: the same model applied in place, so texts aren't shuffled."""
-    model = fit(checkpointed(features(docs)), labels)
+    rows, n = learned_rows(labels)
+    model = fit(features(docs.select(F.col("doc_id").cast("long"), "text").join(_side(rows, n), "doc_id", "left_semi")), rows, n)
 
     def run(texts: pa.Array) -> pa.Array:
         data, offsets = text_bytes(texts)
