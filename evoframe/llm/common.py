@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import inspect
 import tempfile
 from collections.abc import Callable, Iterator
@@ -51,7 +50,6 @@ def _allocator() -> ctypes.CDLL | None:
 
 
 def _trim() -> None:
-    gc.collect()
     pa.default_memory_pool().release_unused()
     libc = _allocator()
     if libc:

@@ -38,7 +38,7 @@ FAN = 32
 BLOCK, BLOCK_POSTINGS = 1 << 20, 1_000_000
 #: Documents of a bucket of lists; pairs of a group, and bytes of packed texts in it; partners of a query that stay together.
 DOCS_PER_BUCKET, PAIRS_PER_GROUP, BYTES_PER_GROUP, PER_LEADER = 4000, 2000, 3 << 20, 200
-#: Lists of up to so many documents are compared in full at once; longer ones in chunks of about so many, in the first round and in the second.
+#: Lists of up to so many documents are compared in full at once; longer ones in chunks of about so many; in the second round, so many at most of those outside the largest component meet a chunk at once.
 SMALL, CHUNK, ACROSS = 12, 250, 2000
 TOKEN_BITS = U64(48)
 
@@ -292,7 +292,7 @@ def second_round(lists: DataFrame, parts: DataFrame, groups: int) -> DataFrame:
     long = lists.where(F.col("size") > SMALL).join(parts.withColumnRenamed("id", "cls"), "cls", "left").withColumn("part", F.coalesce("component_id", "cls"))
     of_list = long.groupBy("list", "part").agg(F.count("*").alias("k")).groupBy("list").agg(F.max_by("part", F.struct("k", "part")).alias("most"), (F.sum("k") - F.max("k")).alias("others"))
     mixed = checkpointed(of_list.where("others > 0").select("list", "most", F.ceil(F.col("others") / ACROSS).alias("asked")))
-    long = long.join(mixed, "list").select("list", "cls", "n", "place", "part", (F.col("part") != F.col("most")).alias("other"), F.ceil(F.col("size") / ACROSS).alias("held"), "asked")
+    long = long.join(mixed, "list").select("list", "cls", "n", "place", "part", (F.col("part") != F.col("most")).alias("other"), F.ceil(F.col("size") / CHUNK).alias("held"), "asked")
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     columns = ["list", "cls", "n", "place", "part"]
     members = long.select(*columns, F.lit(False).alias("asks"), F.pmod(F.xxhash64("cls"), "held").alias("x"), F.explode(numbers("asked")).alias("y"))
