@@ -3,6 +3,10 @@
 For a pair at a given cosine, the difference of its projections on random directions has one distribution,
 whatever the data. So the windows, the number of collisions asked for and the number of cells per vector are
 calibrated on random pairs at exactly the threshold, the hardest ones to find.
+
+Windows that hold such a pair also hold some 40 % of all vectors, so on whole projections they would give all pairs of a label. They are therefore
+counted inside cells: the ends of further sorted projections, each vector being in those at which it is furthest out. A
+link is counted in the first cell that both its vectors share.
 """
 
 from __future__ import annotations
@@ -26,9 +30,11 @@ PROJECTIONS, WIDTH = 24, 1.5
 #: Share of pairs at the threshold that each of the two steps may lose.
 LOSS = 0.005
 #: Vectors of the most frequent label for each direction that deals them to cells; rows of one block of a large cell.
-PER_CELL, BLOCK = 200, 1024
+PER_CELL, BLOCK = 800, 4096
 #: Directions of one level; where more are needed, a cell is one of the first level's and one of the next one's.
-MOST_DIRECTIONS = 1024
+MOST_DIRECTIONS = 8192
+#: Numbers of a matrix of vectors and directions, or of pairs, that are held at once.
+AT_ONCE = 1 << 21
 
 
 @cache
@@ -65,22 +71,30 @@ def levels(vectors: int) -> tuple[int, ...]:
     need, deep = max(1, vectors // PER_CELL), 1
     while MOST_DIRECTIONS**deep < need:
         deep += 1
-    n = 16
+    n = 8
     while n**deep < need:
         n *= 2
     return (n,) * deep
 
 
-def collisions(left: np.ndarray, right: np.ndarray, width: float) -> np.ndarray:
-    """For each pair, on how many projections the right one lies in the left one's window; each projection is sorted."""
-    counts = np.zeros((len(left), len(right)), np.uint8)
-    for a, b in zip(left.T, right.T, strict=True):
-        order = np.argsort(b, kind="stable")
-        rank = np.empty(len(b), np.int32)
-        rank[order] = np.arange(len(b))
-        low, high = np.searchsorted(b[order], a - width, "left"), np.searchsorted(b[order], a + width, "right")
-        counts += (rank >= low[:, None]) & (rank < high[:, None])
-    return counts
+class Projections:
+    """Vectors on the counted projections, each of them sorted."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values, order = values, np.argsort(values, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(values, order, 0)
+        self.rank = np.empty(values.shape, np.int32)
+        np.put_along_axis(self.rank, order, np.arange(len(values), dtype=np.int32)[:, None], 0)
+
+    def collisions(self, queries: np.ndarray, half: float) -> np.ndarray:
+        """For each query and vector, on how many projections the vector lies in the window around the query: between two places of the sorted projection."""
+        counts = np.zeros((len(queries), len(self.values)), np.uint8)
+        for k in range(self.values.shape[1]):
+            low = np.searchsorted(self.sorted[:, k], queries[:, k] - half, "left")
+            high = np.searchsorted(self.sorted[:, k], queries[:, k] + half, "right")
+            rank = self.rank[:, k]
+            counts += (rank >= low[:, None]) & (rank < high[:, None])
+        return counts
 
 
 @cache
@@ -116,8 +130,9 @@ def cells(classes: DataFrame, n: tuple[int, ...], cosine: float) -> DataFrame:
             sizes = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
             for width in np.unique(sizes).tolist():  # vectors of unlike length never link
                 at = np.flatnonzero(sizes == width)
-                for a in range(0, len(at), 4 * BLOCK):
-                    some = at[a : a + 4 * BLOCK]
+                step = max(16, AT_ONCE // (2 * max(n)))
+                for a in range(0, len(at), step):
+                    some = at[a : a + step]
                     own = own_cells(scaled(x[some, :width]), n, cosine)
                     r = own.shape[1]
                     rows = pa.array(np.repeat(some, r))
@@ -143,27 +158,28 @@ def _links(cell: int, left: pd.DataFrame, right: pd.DataFrame | None, cosine: fl
     width = x[0].shape[1]
     _, least, half = calibrated(16, width, cosine)
     g = directions(PROJECTIONS, width, 13)
-    p = [v @ g.T for v in x]
-    counts = collisions(p[0], p[-1], half)
-    a, b = np.nonzero(counts >= least)
-    if right is None:
-        a, b = a[a < b], b[a < b]
+    p, right_side = [v @ g.T for v in x], Projections(x[-1] @ g.T)
     own = [np.stack(s["cells"]) for s in sides]
-    keep = np.zeros(len(a), bool)
-    for i in range(0, len(a), 50_000):
-        u, v = own[0][a[i : i + 50_000]], own[-1][b[i : i + 50_000]]
-        shared = (u[:, :, None] == v[:, None, :]).any(2)
-        first = u[np.arange(len(u)), shared.argmax(1)] == cell
-        cosines = np.einsum("ij,ij->i", x[0][a[i : i + 50_000]], x[-1][b[i : i + 50_000]])
-        keep[i : i + 50_000] = first & (cosines >= cosine)
-    a, b = a[keep], b[keep]
     shift = 0 if right is None else len(ids[0])
     every, m = np.concatenate(ids), np.concatenate([s["m"].to_numpy() for s in sides])
-    total = np.bincount(a, m[b + shift], len(every)) + np.bincount(b + shift, m[a], len(every))
-    forest = Forest(len(every))
-    for i, j in zip(a.tolist(), (b + shift).tolist(), strict=True):
-        if forest.join(i, j):
-            yield int(every[i]), 0, int(every[j])
+    total, forest = np.zeros(len(every)), Forest(len(every))
+    step = max(1, AT_ONCE // len(x[-1]))
+    for top in range(0, len(x[0]), step):
+        a, b = np.nonzero(right_side.collisions(p[0][top : top + step], half) >= least)
+        a += top
+        if right is None:
+            a, b = a[a < b], b[a < b]
+        keep = np.zeros(len(a), bool)
+        for i in range(0, len(a), 50_000):
+            u, v = a[i : i + 50_000], b[i : i + 50_000]
+            shared = (own[0][u][:, :, None] == own[-1][v][:, None, :]).any(2)
+            first = own[0][u][np.arange(len(u)), shared.argmax(1)] == cell
+            keep[i : i + 50_000] = first & (np.einsum("ij,ij->i", x[0][u], x[-1][v]) >= cosine)
+        a, b = a[keep], b[keep] + shift
+        total += np.bincount(a, m[b], len(every)) + np.bincount(b, m[a], len(every))
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if forest.join(i, j):
+                yield int(every[i]), 0, int(every[j])
     for i in np.flatnonzero(total).tolist():
         yield int(every[i]), int(total[i]), 0
 

@@ -480,10 +480,17 @@ def test_labels_of_any_type_and_large_components(spark):
     assert {r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()} == {2}
 
 
+def test_collisions_are_query_centred():
+    rng = np.random.default_rng(8)
+    x, q = rng.integers(-9, 9, (50, 6)) / 4, rng.integers(-9, 9, (7, 6)) / 4
+    got = embeddings.Projections(x).collisions(q, 0.5)
+    assert (got == (np.abs(q[:, None, :] - x[None, :, :]) <= 0.5).sum(2)).all()
+
+
 def test_two_levels_of_cells(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "MOST_DIRECTIONS", 16)
     monkeypatch.setattr(embeddings, "PER_CELL", 4)
-    assert embeddings.levels(4 * 16 + 4) == (16, 16)
+    assert embeddings.levels(4 * 16 + 4) == (8, 8) and embeddings.levels(4 * 16) == (16,)
     rng = np.random.default_rng(6)
     rows = [(2 * i + k, (v + k * rng.standard_normal(24) * 0.2).tolist(), 1) for i, v in enumerate(rng.standard_normal((80, 24))) for k in range(2)]
     x = np.array([v for _, v, _ in rows])
