@@ -26,8 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+def checkpointed(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Cut the lineage in the shared folder of spark.checkpoint.dir; a temporary one only where that is unset.
+
+    files: at most so many (12 at least), for tables that are small against the number of shuffle partitions; it is to grow with the data.
+    """
+    if files is not None:
+        df = df.coalesce(max(12, files))
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
@@ -153,14 +158,14 @@ def spans(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 EDGES_PER_FILE = 200_000
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", files: int | None = None) -> DataFrame:
     """(id, component_id) of every vertex of an edge: the smallest id that edges lead to.
 
     Alternating large-star and small-star steps; a hub's rows meet its minimum in a join that
     adaptive execution can split, after partial aggregation. Rows with a null end or a loop are ignored.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    e, before = checkpointed(e), None
+    e, before = checkpointed(e, files), None
     files = max(1, e.count() // EDGES_PER_FILE)  # the number of edges doesn't grow from here
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

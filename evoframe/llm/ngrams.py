@@ -36,8 +36,8 @@ SKETCH_BITS, SLICES = 22, 16
 #: So many tasks' counts are summed up in one step; their sums again, until one is left.
 FAN = 32
 BLOCK, BLOCK_POSTINGS = 1 << 20, 1_000_000
-#: Documents of a bucket of lists; pairs of a group, and bytes of packed texts in it; partners of a query that stay together.
-DOCS_PER_BUCKET, PAIRS_PER_GROUP, BYTES_PER_GROUP, PER_LEADER = 4000, 2000, 3 << 20, 200
+#: Documents of a file between steps, of a bucket of lists; pairs of a group, and bytes of packed texts in it; partners of a query that stay together.
+DOCS_PER_FILE, DOCS_PER_BUCKET, PAIRS_PER_GROUP, BYTES_PER_GROUP, PER_LEADER = 1000, 4000, 2000, 3 << 20, 200
 #: Lists of up to so many documents are compared in full at once; longer ones in chunks of about so many; in the second round, so many at most of those outside the largest component meet a chunk at once.
 SMALL, CHUNK, ACROSS = 12, 250, 2000
 TOKEN_BITS = U64(48)
@@ -267,7 +267,7 @@ def first_round(lists: DataFrame, groups: int) -> DataFrame:
     long = lists.where(F.col("size") > SMALL)
     # Leaders have few rarer shingles than this one: they are the least edited, and most like all others.
     own = F.struct("cls", "n", "place")
-    leaders = checkpointed(long.groupBy("list").agg(F.min_by(own, F.struct("place", F.xxhash64("cls"))).alias("x"), F.min_by(own, F.struct("place", F.xxhash64("cls", "list"))).alias("y")))
+    leaders = checkpointed(long.groupBy("list").agg(F.min_by(own, F.struct("place", F.xxhash64("cls"))).alias("x"), F.min_by(own, F.struct("place", F.xxhash64("cls", "list"))).alias("y")), groups // 4)
     leaders = leaders.select("list", *[F.col(f"{s}.{c}").alias(f"{k}_{c}") for k, s in (("first", "x"), ("second", "y")) for c in ("cls", "n", "place")])
     long = long.join(leaders, "list").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / CHUNK)))
     long = long.withColumn("g", F.pmod(F.xxhash64("list", "chunk"), F.lit(groups)))
@@ -291,7 +291,7 @@ def second_round(lists: DataFrame, parts: DataFrame, groups: int) -> DataFrame:
 
     long = lists.where(F.col("size") > SMALL).join(parts.withColumnRenamed("id", "cls"), "cls", "left").withColumn("part", F.coalesce("component_id", "cls"))
     of_list = long.groupBy("list", "part").agg(F.count("*").alias("k")).groupBy("list").agg(F.max_by("part", F.struct("k", "part")).alias("most"), (F.sum("k") - F.max("k")).alias("others"))
-    mixed = checkpointed(of_list.where("others > 0").select("list", "most", F.ceil(F.col("others") / ACROSS).alias("asked")))
+    mixed = checkpointed(of_list.where("others > 0").select("list", "most", F.ceil(F.col("others") / ACROSS).alias("asked")), groups // 4)
     long = long.join(mixed, "list").select("list", "cls", "n", "place", "part", (F.col("part") != F.col("most")).alias("other"), F.ceil(F.col("size") / CHUNK).alias("held"), "asked")
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     columns = ["list", "cls", "n", "place", "part"]
@@ -346,7 +346,7 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """A spanning forest of the links among the documents of each group: (a, b) brings b into a group of the query a, whose partners are dealt over groups in portions."""
     n, size = pairs.count(), texts.agg(F.avg(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-n // PAIRS_PER_GROUP), int(n * size) // BYTES_PER_GROUP)
-    portions = checkpointed(pairs.groupBy("a").agg(F.count("*").alias("k")))
+    portions = checkpointed(pairs.groupBy("a").agg(F.count("*").alias("k")), groups // 4)
     asked = (
         pairs.join(portions, "a")
         .withColumn("portion", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / PER_LEADER)))
@@ -371,7 +371,7 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     right.append(names[c])
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return rows.groupBy("g").applyInArrow(run, PAIRS_SQL)
+    return checkpointed(rows.groupBy("g").applyInArrow(run, PAIRS_SQL), groups)
 
 
 def _row_names(doc_key: str, text: Column, *names: str) -> list[Column]:
@@ -383,20 +383,20 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = docs.count()
     buckets = max(1, -(-n // DOCS_PER_BUCKET))
     own = docs.select("doc_key", F.col("text").cast("binary").alias("text"), *_row_names("doc_key", F.col("text").cast("binary"), "row", "row2"))
-    first = checkpointed(first_pass(own))
+    first = checkpointed(first_pass(own), n // DOCS_PER_FILE)
     often = docs.sparkSession.sparkContext.broadcast(sketch(first))
     sets = set_rows(first)
-    lists = checkpointed(short_lists(postings(own, often, buckets)))
+    lists = checkpointed(short_lists(postings(own, often, buckets)), 4 * buckets)
     # The texts of one document for each set that is on a list.
     needed = sets.groupBy("cls").agg(F.min("row").alias("row")).join(lists.select("cls").distinct(), "cls", "left_semi")
-    texts = checkpointed(_pressed(own).join(needed, "row").select("cls", "text"))
-
-    tested = checkpointed(first_round(lists, 4 * buckets))
-    links = checkpointed(compare(tested, texts))
-    parts = components(links)
-    rest = checkpointed(second_round(lists, parts, 4 * buckets).join(tested, ["a", "b"], "left_anti"))
-    more = checkpointed(compare(rest, texts))
-    return sets, components(parts.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
+    texts = checkpointed(_pressed(own).join(needed, "row").select("cls", "text"), n // DOCS_PER_FILE)
+
+    tested = checkpointed(first_round(lists, 4 * buckets), 4 * buckets)
+    links = compare(tested, texts)
+    parts = components(links, files=buckets)
+    rest = checkpointed(second_round(lists, parts, 4 * buckets).join(tested, ["a", "b"], "left_anti"), 4 * buckets)
+    more = compare(rest, texts)
+    return sets, components(parts.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more), files=buckets)
 
 
 def _pressed(own: DataFrame) -> DataFrame:

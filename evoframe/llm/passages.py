@@ -344,7 +344,7 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, digests: bool = False, ca
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranks, texts = 1 + size // BYTES_PER_RANKS, 1 + size // BYTES_PER_TEXTS
     by_text = _texts_by_group(own, texts)
-    decided = checkpointed(resolve_anchors(send_anchors(own, ranks, threshold), texts))
+    decided = checkpointed(resolve_anchors(send_anchors(own, ranks, threshold), texts), 2 * ranks)
     windows = resolve_windows(send_windows(by_text, decided, ranks, threshold), texts)
     return _finish(by_text, decided.unionByName(windows), threshold, digests, as_text)
 

@@ -126,7 +126,7 @@ def learned_rows(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Dat
     """(doc_id, quality) of about sample_rows labelled documents (a bound, by hash of doc_id) that aren't held out, and how many; several labels of one doc_id: the lowest."""
     own = labels.where("quality is not null and doc_id is not null").where(~is_held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, sample_rows / max(own.count(), 1))
-    own = checkpointed(own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    own = checkpointed(own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))), 2 * sample_rows // SAMPLE_ROWS)
     return own, own.count()
 
 
