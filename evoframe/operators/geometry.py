@@ -46,18 +46,27 @@ def packing_scores(circles: DataFrame, target: float = 2.635, cell: float | None
     return out.withColumn("valid", valid).withColumn("target_ratio", F.when(F.col("valid"), F.col("sum_radii") / target).otherwise(0.0))
 
 
+#: The lines of a packing's report.
+BOUNDARY_LINE = "Circle %d at (%.6f, %.6f) with radius %.6f is outside unit square"
+OVERLAP_LINE = "Circles %d and %d overlap: dist=%.6f, r1+r2=%.6f"
+VERDICT_LINE = "Valid: %s, Violations: %d boundary, %d overlaps"
+RADII_LINE = "Min: %.6f, Max: %.6f, Avg: %.6f"
+
+
 def packing_reports(circles: DataFrame, cell: float | None = None) -> DataFrame:
     """Each packing's verdict, a line for each violation, and its radii, as texts. A report is as long as its violations are many."""
-    scores = packing_scores(circles, cell=cell)
-    six = lambda c: F.format_string("%.6f", c)
-    joined = lambda key, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, text.alias("text")))), lambda x: x["text"]), "\n")
-    circle = F.concat(F.lit("Circle "), F.col("idx").cast("string"), F.lit(" at ("), six("x"), F.lit(", "), six("y"), F.lit(") with radius "), six("r"), F.lit(" is outside unit square"))
-    pair = F.concat(F.lit("Circles "), F.col("i").cast("string"), F.lit(" and "), F.col("j").cast("string"), F.lit(" overlap: distance "), six("distance"))
-    out = scores.join(boundary_violations(circles).groupBy("grp").agg(joined(["idx"], circle).alias("boundary_report")), "grp", "left")
-    out = out.join(overlaps(circles, cell).groupBy("grp").agg(joined(["i", "j"], pair).alias("overlap_report")), "grp", "left")
-    verdict = F.concat(F.lit("Valid: "), F.when(F.col("valid"), "True").otherwise("False"), F.lit(", Violations: "), F.col("boundary").cast("string"), F.lit(" boundary, "), F.col("overlaps").cast("string"), F.lit(" overlaps"))
-    radii = F.concat(F.lit("Min: "), six("min_radius"), F.lit(", Max: "), six("max_radius"), F.lit(", Avg: "), six("mean_radius"))
-    return out.na.fill("", ["boundary_report", "overlap_report"]).withColumns({"report": verdict, "radius_stats": radii})
+
+    def lines(rows: DataFrame, order: list[str], line: Column, name: str) -> DataFrame:
+        told = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
+        return rows.groupBy("grp").agg(F.array_join(F.transform(told, lambda x: x["line"]), "\n").alias(name))
+
+    outside_ = lines(boundary_violations(circles), ["idx"], F.format_string(BOUNDARY_LINE, "idx", "x", "y", "r"), "boundary_report")
+    pairs = lines(overlaps(circles, cell), ["i", "j"], F.format_string(OVERLAP_LINE, "i", "j", "distance", "radii"), "overlap_report")
+    out = packing_scores(circles, cell=cell).join(outside_, "grp", "left").join(pairs, "grp", "left")
+    valid = F.when(F.col("valid"), "True").otherwise("False")
+    return out.na.fill("", ["boundary_report", "overlap_report"]).withColumns({
+        "report": F.format_string(VERDICT_LINE, valid, "boundary", "overlaps"), "radius_stats": F.format_string(RADII_LINE, "min_radius", "max_radius", "mean_radius"),
+    })
 
 
 def border_radius(x: Column, y: Column) -> Column:

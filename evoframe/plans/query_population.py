@@ -379,7 +379,7 @@ def packing_violations(spark, sf):
     return G.boundary_violations(views.circles(spark, sf)).select("grp", "idx")
 
 
-_OVER = "SELECT a.grp, a.idx AS i, b.idx AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM circles a JOIN circles b ON a.grp = b.grp AND a.idx < b.idx AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < a.r + b.r - 1e-6"
+_OVER = "SELECT a.grp, a.idx AS i, b.idx AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.r + b.r AS rr FROM circles a JOIN circles b ON a.grp = b.grp AND a.idx < b.idx AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < a.r + b.r - 1e-6"
 
 
 @query(f"WITH o AS ({_OVER}) SELECT grp, i, j, round(d, 9) AS distance FROM o")
@@ -394,7 +394,7 @@ def packing_score(spark, sf):
     return out.select("grp", "n", F.round("sum_radii", 6).alias("sum_radii"), "boundary", "overlaps", "valid", F.round("target_ratio", 6).alias("target_ratio"))
 
 
-@query(f"""WITH o AS ({_OVER}), hits AS (SELECT grp, count(*) AS overlaps, string_agg('Circles ' || i || ' and ' || j || ' overlap: distance ' || printf('%.6f', d), chr(10) ORDER BY i, j) AS text FROM o GROUP BY 1),
+@query(f"""WITH o AS ({_OVER}), hits AS (SELECT grp, count(*) AS overlaps, string_agg('Circles ' || i || ' and ' || j || ' overlap: dist=' || printf('%.6f', d) || ', r1+r2=' || printf('%.6f', rr), chr(10) ORDER BY i, j) AS text FROM o GROUP BY 1),
 s AS (SELECT grp, sum(r) AS total, count(*) FILTER (WHERE x - r < -1e-6 OR x + r > 1 + 1e-6 OR y - r < -1e-6 OR y + r > 1 + 1e-6) AS boundary, min(r) AS low, max(r) AS high, avg(r) AS mean,
 string_agg('Circle ' || idx || ' at (' || printf('%.6f', x) || ', ' || printf('%.6f', y) || ') with radius ' || printf('%.6f', r) || ' is outside unit square', chr(10) ORDER BY idx) FILTER (WHERE x - r < -1e-6 OR x + r > 1 + 1e-6 OR y - r < -1e-6 OR y + r > 1 + 1e-6) AS text FROM circles GROUP BY grp)
 SELECT s.grp, 'Valid: ' || CASE WHEN boundary = 0 AND coalesce(hits.overlaps, 0) = 0 THEN 'True' ELSE 'False' END || ', Violations: ' || boundary || ' boundary, ' || coalesce(hits.overlaps, 0) || ' overlaps' AS report,

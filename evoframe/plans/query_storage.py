@@ -186,21 +186,30 @@ def graph_page(spark, sf):
         F.aggregate("g.edges", F.lit(0).cast("long"), lambda a, e: a + e["source"] * 3 + e["target"]).alias("edge_sum"), (F.col("g.checkpoint_dir") == "here").alias("inlined"),
     )
 
-def _generate(code: str, k: int) -> str:
-    return f"{code}{k}"
+def _respond(system: str, prompt: str) -> str:
+    """An edit that adds a letter to the program's first line."""
+    first = prompt.split("# Program\n```python\n", 1)[1].split("\n", 1)[0]
+    return f"<<<<<<< SEARCH\n{first}\n=======\n{first}x\n>>>>>>> REPLACE"
 
 
 def _evaluate(code: str) -> dict[str, float]:
     return {"score": len(code) / 100.0}
 
 
-@query()
-def evolve_smoke(spark, sf):
-    from evoframe.plans.evolve import SCHEMA, Settings, evolve
+@query("""WITH RECURSIVE c(n, code) AS (SELECT 0, 'seed' || chr(10) || 'end' UNION ALL SELECT n + 1, 'seed' || repeat('x', n + 1) || chr(10) || 'end' FROM c WHERE n < 3)
+SELECT CASE WHEN n = 0 THEN 'seed' ELSE 'i' || n || '_0' END AS id, code, CASE n WHEN 0 THEN NULL WHEN 1 THEN 'seed' ELSE 'i' || (n - 1) || '_0' END AS parent_id, CAST(n AS BIGINT) AS generation, length(code) / 100.0 AS score,
+CASE WHEN n = 0 THEN '' ELSE 'Change 1: ' || chr(39) || 'seed' || repeat('x', n - 1) || chr(39) || ' to ' || chr(39) || 'seed' || repeat('x', n) || chr(39) END AS changes FROM c""")
+def evolution_run(spark, sf):
+    """The whole loop, whose parent is always the best: an archive of one is exploited. It writes a checkpoint after two iterations and goes on from it."""
+    from dataclasses import replace
 
-    scratch(spark)
-    seed = spark.createDataFrame([(-1, "seed", None, 0, 0, 0, {"score": 0.04})], SCHEMA)
-    return evolve(seed, _generate, _evaluate, 2, Settings(population=3, islands=1))
+    from evoframe.plans import evolution as E
+
+    base = scratch(spark)
+    settings = E.Settings(iterations=2, islands=1, archive=1, exploration=0.0, exploitation=1.0, timeout=None, delay=0.0)
+    E.evolved(spark, "seed\nend", _respond, _evaluate, settings, base)
+    state = E.evolved(spark, "unused", _respond, _evaluate, replace(settings, iterations=3), base)
+    return state.programs.select("id", "code", "parent_id", "generation", F.try_element_at("metrics", F.lit("score")).alias("score"), "changes")
 
 
 @query("SELECT instance, CAST(sum(pass::INT) AS BIGINT) AS passed, count(*) AS n, CAST(sum(unknown_error::INT) AS BIGINT) AS errors FROM verification GROUP BY 1")
