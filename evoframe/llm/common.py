@@ -54,6 +54,16 @@ def _allocator() -> ctypes.CDLL | None:
     return libc
 
 
+#: What modules keep in a worker from task to task, and how it is dropped: it goes when another module's function comes in.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def _drop_others(module: str) -> None:
+    for owner, drop in KEPT.items():
+        if owner != module:
+            drop()
+
+
 def _trim() -> None:
     pa.default_memory_pool().release_unused()
     libc = _allocator()
@@ -68,6 +78,7 @@ def lean(f: Callable) -> Callable:
         @wraps(f)
         def run(batches):
             _allocator()
+            _drop_others(f.__module__)
             try:
                 yield from f(batches)
             finally:
@@ -79,6 +90,7 @@ def lean(f: Callable) -> Callable:
         @wraps(f)
         def two(left, right):
             _allocator()
+            _drop_others(f.__module__)
             try:
                 return f(left, right)
             finally:
@@ -89,6 +101,7 @@ def lean(f: Callable) -> Callable:
     @wraps(f)
     def one(t):
         _allocator()
+        _drop_others(f.__module__)
         try:
             return f(t)
         finally:

@@ -35,7 +35,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 SKETCH_BITS, SLICES = 22, 16
 #: So many tasks' counts are summed up in one step; their sums again, until one is left.
 FAN = 32
-BLOCK, BLOCK_POSTINGS = 1 << 20, 1_000_000
+BLOCK, BLOCK_POSTINGS = 1 << 19, 500_000
 #: Documents of a file between steps, of a bucket of lists; pairs of a group, and bytes of packed texts in it; partners of a query that stay together.
 DOCS_PER_FILE, DOCS_PER_BUCKET, PAIRS_PER_GROUP, BYTES_PER_GROUP, PER_LEADER = 1000, 4000, 2000, 3 << 20, 200
 #: Lists of up to so many documents are compared in full at once; longer ones in chunks of about so many; in the second round, so many at most of those outside the largest component meet a chunk at once.
@@ -86,7 +86,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
             ids, rows, again = (batch.column(k).to_numpy() for k in (0, 2, 3))
             for a, b in spans(offsets, BLOCK):
                 values, sizes = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                counts += np.bincount(_slot(values), minlength=len(counts)).astype(np.uint32)
+                np.add.at(counts, _slot(values), 1)
                 yield _row(-1, blob(ids[a:b].astype("<i8"), rows[a:b].astype("<i8"), again[a:b].astype("<i8"), sizes.astype("<u4"), set_names(values, sizes)), "slice")
         for k, part in enumerate(np.split(counts, SLICES)):
             yield _row(k, blob(part), "slice")

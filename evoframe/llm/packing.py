@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoframe.llm.common import lean
+from evoframe.llm.common import KEPT, lean
 from evoframe.llm.pretokens import Words, gather
 
 WINDOW = 2048
@@ -25,7 +25,7 @@ WINDOW = 2048
 BYTES_PER_GROUP = 32 << 20
 SPECIAL = "<|endoftext|>"
 END_ID = 1
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("row", pa.int64())]
 )
@@ -106,18 +106,23 @@ class Encoder:
     faster; only a text with the special token's string goes through the library itself.
     """
 
-    MOST = 200_000
+    MOST = 150_000
 
     def __init__(self, vocabulary: str, ranks: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(vocabulary)
+        self.vocabulary, self.library = vocabulary, None
         self.word = word_encoder(load_ranks(ranks))
         self.reset()
 
     def reset(self) -> None:
         self.words, self.flat, self.offsets = Words(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _by_library(self, text: str) -> np.ndarray:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.vocabulary)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def _grow(self) -> None:
         """Ids of the words that are new."""
         new = self.words.words[len(self.offsets) - 1 :]
@@ -137,7 +142,7 @@ class Encoder:
         ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
         for k, t in enumerate(texts):
             if SPECIAL in t:
-                yield np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
+                yield self._by_library(t)
             else:
                 yield ids[ends[k] : ends[k + 1]]
 
@@ -148,6 +153,9 @@ def encoder(vocabulary: str, ranks: str) -> Encoder:
     return Encoder(vocabulary, ranks)
 
 
+KEPT[__name__] = encoder.cache_clear
+
+
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
     i = size = 0
     for j, t in enumerate(texts):

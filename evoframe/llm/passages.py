@@ -32,7 +32,7 @@ from evoframe.llm.common import U64, blob, checkpointed, dealt, lean, mix, spans
 from evoframe.llm.suffixes import Anchors
 
 THRESHOLD = 50
-BLOCK, BLOCK_ANCHORS = 1 << 18, 1_500_000
+BLOCK, BLOCK_ANCHORS = 1 << 18, 1_000_000
 #: Bytes of text for each group of ranks, and for each group of texts.
 BYTES_PER_RANKS, BYTES_PER_TEXTS = 6 << 20, 4 << 20
 #: Documents without an id are compared as the last of all, and dealt over so many addresses by their text.

@@ -14,7 +14,7 @@ from evoframe.llm.common import checkpointed, lean, spans, text_bytes
 from evoframe.llm.suffixes import Names
 
 CUT = 0.7
-SAMPLE_ROWS, PAIRS, BLOCK = 20_000, 100_000, 1 << 21
+SAMPLE_ROWS, PAIRS, BLOCK = 20_000, 100_000, 1 << 19
 
 #: Byte classes; every byte is in exactly one.
 CLASSES = ["\n", "\t\r\v\f", " ", ".", ",", "!", "?", "|", "#", "$", "%", "&", "*", "'\"", "()[]{}", "-", "_", ";:", "@", "/\\", "=+", "<>", "~^`"]
@@ -166,6 +166,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows, n = learned_rows(labels)
     model = fit(features(docs.select(F.col("doc_id").cast("long"), "text").join(_side(rows, n), "doc_id", "left_semi")), rows, n)
 
+    @lean
     def run(texts: pa.Array) -> pa.Array:
         data, offsets = text_bytes(texts)
         return pa.array(np.concatenate([np.zeros(0), *(model.score(text_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype(np.float32).astype(np.float64)) for a, b in spans(offsets, BLOCK))]))
