@@ -416,3 +416,18 @@ def repaired_radii(spark, sf):
 @query("SELECT id, CAST(greatest(1, 100 // (5 * 10)) AS BIGINT) AS budget, (island + 1) % 5 AS next_island FROM programs")
 def island_budget(spark, sf):
     return _p(spark, sf).select("id", F.greatest(F.lit(1), F.floor(F.lit(100) / (5 * 10))).cast("long").alias("budget"), F.pmod(F.col("island") + 1, F.lit(5)).alias("next_island"))
+
+
+@query("SELECT 'kept' AS state, id FROM programs UNION ALL SELECT 'seeded', -1 UNION ALL SELECT 'resumed', id FROM programs WHERE generation = 0")
+def seed_gate(spark, sf):
+    """The seed joins an empty table at iteration 0 only."""
+    from evoframe.plans.evolve import seeded
+
+    p = _p(spark, sf).select("id", "generation")
+    seed = spark.createDataFrame([(-1, 0)], "id long, generation long")
+    cases = {"kept": seeded(p, seed, 0), "seeded": seeded(p.where("id < 0"), seed, 0), "resumed": seeded(p.where("generation = 0"), seed, 7)}
+    out = None
+    for name, rows in cases.items():
+        rows = rows.select(F.lit(name).alias("state"), "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
