@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evoframe.functions.metrics import hash_order
+from evoframe.session import kept
 
 
 def unfinished(tasks: DataFrame, finished: DataFrame, key: str) -> DataFrame:
@@ -72,9 +73,10 @@ def numbered(rows: DataFrame, partition: list[str], order: list[str], name: str
 
 def _in_ranges(rows: DataFrame, by: str, *order: Column | str) -> DataFrame:
     """rows with _p, the number of their range of (by, order): ranges are as many as shuffles have partitions, so a frequent value of `by` has many. Their number is
-    given, as adaptive execution would else be free to join them, each time in another way."""
+    given, as adaptive execution would else be free to join them, each time in another way. The bounds come from a sample that each plan draws anew, so the rows
+    are kept with their numbers: numbers of rows and of what is in front of them are of the same ranges."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, F.col(by), *order).withColumn("_p", F.spark_partition_id())
+    return kept(rows.repartitionByRange(n, by, *order).withColumn("_p", F.spark_partition_id()))
 
 
 def _before(parts: DataFrame, by: str, what: Column, over: Callable[[str], Column]) -> DataFrame:
@@ -101,8 +103,7 @@ def so_far(rows: DataFrame, by: str, order: str, value: str, name: str) -> DataF
 
 def numbered_all(rows: DataFrame, order: str, name: str = "idx") -> DataFrame:
     """Dense numbers from 0 over the whole table without one task that sorts it all: range partitions, then their counts."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.repartitionByRange(n, F.col(order)).withColumn("_p", F.spark_partition_id())
+    parts = _in_ranges(rows, order)
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min(order).alias("_low"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
     local = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)

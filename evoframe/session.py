@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -39,3 +39,20 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(out))
     sc._evoframe_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder in the shared place that the cluster names; a temporary one only where it names none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="evoframe-"))
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as they are now, written once: what two plans would compute in two ways is the same for both."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
