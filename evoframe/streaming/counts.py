@@ -44,14 +44,26 @@ class RunningBest(StatefulProcessor):
         self.best = handle.getValueState("best", "value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        # A batch's rows come in pieces, in no order. Only those better than all before them in their piece can be better than all before them.
+        kept = [self._rising(pdf[["seq", "value"]]) for pdf in rows]
+        if not kept:
+            return
+        out = pd.concat(kept) if len(kept) > 1 else kept[0]
         best = self.best.get()[0] if self.best.exists() else None
-        for pdf in rows:
-            for seq, value in pdf.sort_values("seq")[["seq", "value"]].itertuples(index=False):
-                if best is None or value > best:
-                    best = value
-                    yield pd.DataFrame({"key": [key[0]], "seq": [seq], "value": [value]})
+        out = self._rising(out, best)
+        if len(out):
+            yield pd.DataFrame({"key": key[0], "seq": out["seq"], "value": out["value"]})
+            if out["value"].notna().any():
+                self.best.update((float(out["value"].max()),))
+
+    @staticmethod
+    def _rising(rows: pd.DataFrame, best: float | None = None) -> pd.DataFrame:
+        """Rows greater than all in front by seq, and than best; those without a value only as long as none has one."""
+        rows = rows.sort_values("seq")
+        so_far = rows["value"].cummax().ffill().shift()
         if best is not None:
-            self.best.update((best,))
+            so_far = so_far.fillna(best).clip(lower=best)
+        return rows[so_far.isna() | (rows["value"] > so_far)]
 
     def close(self) -> None:
         pass

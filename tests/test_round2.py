@@ -41,3 +41,28 @@ def test_ranges_are_the_same_for_both_plans(spark, many_programs, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert n and (mine, theirs) == (0, 0)
+
+
+def test_stream_running_best_of_many_rows(spark, many_programs):
+    """A batch of a key comes in several pieces."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 100)
+    try:
+        mine, theirs, n = against_sql(spark, many_programs, "stream_running_best", "documents", "labels")
+    finally:
+        spark.conf.set(key, before)
+    assert n and (mine, theirs) == (0, 0)
+
+
+def test_running_best_stream_over_batches(spark, tmp_path):
+    """Rows without a value go out until one has a value; a later batch goes on from the best so far."""
+    from evoframe.streaming import counts as C
+
+    schema = "key long, seq long, value double"
+    for k, values in enumerate([[None, 3.0, None, 2.0], [3.0, None, 4.0, 4.0]]):
+        spark.createDataFrame([(1, 10 * k + i, v) for i, v in enumerate(values)][::-1], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        C.running_best(s).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.seq, r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(0, None), (1, 3.0), (12, 4.0)]
