@@ -66,3 +66,16 @@ def test_running_best_stream_over_batches(spark, tmp_path):
         C.running_best(s).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     got = sorted((r.seq, r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(0, None), (1, 3.0), (12, 4.0)]
+
+
+def test_packing_reports_hold_texts_not_pairs(spark):
+    """Lines are put together circle by circle, and those of a packing without a name aren't lost."""
+    from evoframe.operators import geometry as G
+
+    rows = [(None, 1, 2.0, 0.5, 0.1)] + [(1, i, 0.5, 0.5 + i / 1000, 0.01) for i in range(40)]
+    df = G.packing_reports(spark.createDataFrame(rows, "grp long, idx long, x double, y double, r double"), cell=0.05)
+    got = {r.grp: r for r in df.collect()}
+    assert got[None].boundary_report == "Circle 1 at (2.000000, 0.500000) with radius 0.100000 is outside unit square" and got[None].boundary == 1
+    pairs = [(i, j) for i in range(40) for j in range(i + 1, 40) if (j - i) / 1000 < 0.02 - 1e-6 - 1e-12]
+    assert got[1].overlap_report.split("\n") == [f"Circles {i} and {j} overlap: dist={(j - i) / 1000:.6f}, r1+r2=0.020000" for i, j in pairs]
+    assert (got[1].overlaps, got[1].valid, got[1].boundary_report, got[1].n) == (len(pairs), False, "", 40)
