@@ -39,7 +39,13 @@ def reused(cached: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
 
 
 def skipped(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
-    return rows.orderBy(*order).offset(n)
+    """The rows after the first n, in order. An offset would take all rows into one task: here the sorted rows are kept with their places in their partitions, whose sizes tell where the n end."""
+    placed = kept(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    for part in sorted(placed.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).collect()):
+        if n < part["n"]:
+            return placed.where(F.col("_at") >= (part["p"] << 33) + n).drop("_at")
+        n -= part["n"]
+    return placed.where(F.lit(False)).drop("_at")
 
 
 def point_lookup(rows: DataFrame, key: str, value: object) -> DataFrame:

@@ -79,3 +79,13 @@ def test_packing_reports_hold_texts_not_pairs(spark):
     pairs = [(i, j) for i in range(40) for j in range(i + 1, 40) if (j - i) / 1000 < 0.02 - 1e-6 - 1e-12]
     assert got[1].overlap_report.split("\n") == [f"Circles {i} and {j} overlap: dist={(j - i) / 1000:.6f}, r1+r2=0.020000" for i, j in pairs]
     assert (got[1].overlaps, got[1].valid, got[1].boundary_report, got[1].n) == (len(pairs), False, "", 40)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 37, 99, 100, 150])
+def test_skipped_without_one_task(spark, n):
+    from evoframe.operators import relational as R
+
+    rows = spark.range(100).select((F.col("id") * 37 % 100).alias("id")).repartition(7)
+    out = R.skipped(rows, n, F.desc("id"))
+    assert [r.id for r in out.collect()] == list(range(99, -1, -1))[n:]
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
