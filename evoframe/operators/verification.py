@@ -50,8 +50,8 @@ def accept_counts(v: DataFrame) -> DataFrame:
 
 def discriminative_weights(v: DataFrame) -> DataFrame:
     """A test's mean quality of the solutions it accepts less that of those it rejects, an empty side counting 0."""
-    quality = v.groupBy("instance", "solution").agg((F.count_if(passed()) / F.count("*")).alias("quality"))
-    scored = v.join(quality, ["instance", "solution"])
+    one = Window.partitionBy("instance", "solution")
+    scored = v.withColumn("quality", F.count_if(passed()).over(one) / F.count("*").over(one))
     side = lambda want: F.coalesce(F.avg(F.when(passed() == F.lit(want), F.col("quality"))), F.lit(0.0))
     return scored.groupBy("instance", "testing").agg((side(True) - side(False)).alias("weight"))
 

@@ -16,6 +16,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of files for each task of a wide table: some 450,000 order lines.
+TASK_BYTES = 8 * 2**20
+
+
+def dealt(df: DataFrame, *keys: str, of: DataFrame) -> DataFrame:
+    """df by its keys into as many partitions as the files of `of` are large, so that a task's share stays the same as tables grow."""
+    size = int(str(of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(of.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), *keys)
+
+
 def programs(spark: SparkSession, sf_dir: str, code: bool = True) -> DataFrame:
     """Documents as programs: a binary tree of parents, five islands, metrics from sizes and labels; NaN noise on every 97th."""
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
@@ -34,8 +44,10 @@ def programs(spark: SparkSession, sf_dir: str, code: bool = True) -> DataFrame:
 
 
 def solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("instance"), F.col("l_linenumber").cast("long").alias("solution"), "l_quantity")
-    return line.groupBy("instance", "solution").agg(F.max("l_quantity").alias("qty"))
+    """Dealt out by instance once: what groups or ranks within an instance needs no other exchange."""
+    rows = read(spark, sf_dir, "lineitem")
+    line = rows.select(F.col("l_orderkey").alias("instance"), F.col("l_linenumber").cast("long").alias("solution"), "l_quantity")
+    return dealt(line, "instance", of=rows).groupBy("instance", "solution").agg(F.max("l_quantity").alias("qty"))
 
 
 def verification(spark: SparkSession, sf_dir: str) -> DataFrame:

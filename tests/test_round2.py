@@ -89,3 +89,20 @@ def test_skipped_without_one_task(spark, n):
     out = R.skipped(rows, n, F.desc("id"))
     assert [r.id for r in out.collect()] == list(range(99, -1, -1))[n:]
     assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["rank_discriminative", "rank_coverage", "rank_baseline", "accept_counts", "pass_counts", "zero_variance_prune"])
+def test_verification_is_dealt_out_once(spark, name):
+    """What is counted and ranked within an instance needs one exchange by instance (and that once for each side)."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+    assert shuffles and all("REPARTITION_BY_NUM" in x for x in shuffles)
+
+
+def test_partitions_follow_the_files(spark, monkeypatch):
+    from evoframe.plans import views
+
+    sf = "/root/testdata/sf0.01"
+    few = views.solutions(spark, sf).rdd.getNumPartitions()
+    monkeypatch.setattr(views, "TASK_BYTES", views.TASK_BYTES // 100)
+    assert views.solutions(spark, sf).rdd.getNumPartitions() > few
