@@ -88,8 +88,10 @@ def repaired_radii(centers: DataFrame) -> DataFrame:
         x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
         r = np.minimum.reduce([x, y, 1 - x, 1 - y])
         for i in range(len(r)):
-            for j in range(i + 1, len(r)):
-                gap = float(np.hypot(x[i] - x[j], y[i] - y[j]))
+            gaps = np.hypot(x[i] - x[i + 1 :], y[i] - y[i + 1 :])
+            # Radii only shrink, so pairs that don't overlap as i begins won't later on.
+            for k in np.flatnonzero(r[i] + r[i + 1 :] > gaps):
+                j, gap = i + 1 + k, float(gaps[k])
                 if r[i] + r[j] > gap:
                     r[i], r[j] = r[i] * gap / (r[i] + r[j]), r[j] * gap / (r[i] + r[j])
         return pdf.assign(r=r)[["grp", "idx", "x", "y", "r"]]
