@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,37 @@ from evoframe.operators.verification import PASS
 VERIFICATION = "instance LONG, solution LONG, testing LONG, result BOOLEAN, unknown_error BOOLEAN, ground BOOLEAN"
 
 
-def arriving(spark: SparkSession, path: str, schema: str = VERIFICATION, files_per_trigger: int | None = None) -> DataFrame:
+def arriving(spark: SparkSession, path: str, schema: str = VERIFICATION, files_per_trigger: int | None = None, bytes_per_trigger: int | None = None) -> DataFrame:
+    """A batch is bounded by files or by bytes. By files, the batches are as many as the writer had tasks, and each one goes through every partition of the state."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return reader.parquet(path)
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, in bounded memory; otherwise it is in the executors' heaps, and copied for each batch."""
+    own = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",  # counting looks every key up once more
+    }
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def running_counts(stream: DataFrame) -> DataFrame:
     """Passes, rows and errors of each instance as they arrive."""
     return stream.groupBy("instance").agg(F.count_if(F.expr(PASS)).alias("passed"), F.count("*").alias("n"), F.count_if("unknown_error").alias("errors"))

@@ -121,3 +121,25 @@ def test_repaired_radii_of_many_circles(spark):
     began = time.perf_counter()
     assert G.repaired_radii(df).agg(F.count_if(F.col("r") >= 0)).first()[0] == 4000
     assert time.perf_counter() - began < 12
+
+
+@pytest.mark.parametrize("size", [None, 1])
+def test_stream_appends_of_many_files(spark, monkeypatch, size):
+    """Batches follow the bytes that arrive, not the files; small batches give the same rows."""
+    from pathlib import Path
+
+    from evoframe.plans import query_storage as Q
+    from evoframe.plans import views
+
+    sf, made, scratch = "/root/testdata/sf0.001", [], Q.scratch
+    monkeypatch.setattr(Q, "scratch", lambda s: made.append(scratch(s)) or made[-1])
+    monkeypatch.setattr(views, "TASK_BYTES", 10_000)
+    if size:
+        monkeypatch.setattr(Q, "BATCH_BYTES", size)
+        monkeypatch.setattr(views, "TASK_BYTES", 2**20)
+    got = QUERIES["stream_appends"](spark, sf)
+    want = views.verification(spark, sf).where("testing < 2").select("instance", "solution", "testing")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    path, _, state = (Path(p.removeprefix("file:")) for p in made)
+    files, batches = len(list(path.glob("*.parquet"))), len(list((state / "commits").glob("[0-9]*")))
+    assert batches == files if size else files > 10 and batches == 2
