@@ -141,8 +141,8 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_results(df: DataFrame, path: str, by: str) -> None:
-    """A folder of JSON for each instance."""
-    df.write.mode("overwrite").partitionBy(by).json(path)
+    """A folder of JSON for each value, compressed: names and flags repeat in every line, and take many times their input. Readers see it by the files' ending."""
+    df.write.mode("overwrite").partitionBy(by).option("compression", "gzip").json(path)
 
 
 @dataclass(frozen=True)

@@ -143,3 +143,18 @@ def test_stream_appends_of_many_files(spark, monkeypatch, size):
     path, _, state = (Path(p.removeprefix("file:")) for p in made)
     files, batches = len(list(path.glob("*.parquet"))), len(list((state / "commits").glob("[0-9]*")))
     assert batches == files if size else files > 10 and batches == 2
+
+
+def test_results_are_written_small(spark, monkeypatch):
+    from pathlib import Path
+
+    from evoframe.plans import query_storage as Q
+    from evoframe.plans import views
+
+    made, scratch = [], Q.scratch
+    monkeypatch.setattr(Q, "scratch", lambda s: made.append(scratch(s)) or made[-1])
+    sf = "/root/testdata/sf0.001"
+    got, want = QUERIES["results_write"](spark, sf), views.verification(spark, sf)
+    assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == want.count()
+    files = list(Path(made[0].removeprefix("file:")).rglob("part-*"))
+    assert files and sum(f.stat().st_size for f in files) < 20 * got.count()
