@@ -32,9 +32,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return _parsed(spark.read.text(path), schema)
 
 
-def read_json_dir(spark: SparkSession, path: str, schema: str = PROGRAMS) -> DataFrame:
-    """One JSON document a file; files that don't parse are left out."""
-    return _parsed(spark.read.text(path, wholetext=True), schema)
+#: Files of a folder are read by tasks of at most so many bytes, or of so many of Spark's own shares of small files.
+TASK_BYTES, SHARES = 64 * 2**20, 16
+
+
+def _few_tasks(files: DataFrame, out: DataFrame) -> DataFrame:
+    """out, made of a folder's files row by row, in larger tasks: Spark counts a file as 4 MB at least, so a task has 32 small files, which take less time than its start."""
+    plan = files._jdf.queryExecution()
+    shares, size = plan.toRdd().getNumPartitions(), int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    n = max(files.sparkSession.sparkContext.defaultParallelism, -(-shares // SHARES), -(-size // TASK_BYTES))
+    return out.coalesce(n) if n < shares else out
+
+
+def read_json_dir(spark: SparkSession, path: str, schema: str = PROGRAMS, compressed: bool = False) -> DataFrame:
+    """One JSON document a file; files that don't parse are left out. compressed: some of them are, which their ending tells; that reader is slow to open a file."""
+    files = spark.read.text(path, wholetext=True) if compressed else spark.read.format("binaryFile").load(path)
+    text = files if compressed else files.select(F.col("content").cast("string").alias("value"))
+    return _few_tasks(files, _parsed(text, schema))
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +79,7 @@ def read_event_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Folders of event logs, with the folder's name as log."""
     rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     seq = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.json$", 1).try_cast("long")
-    return rows.withColumns({"seq": seq, "log": F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)}).where("seq is not null")
+    return _few_tasks(rows, rows.withColumns({"seq": seq, "log": F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)}).where("seq is not null"))
 
 
 def write_files(rows: DataFrame, path: str, mode: int | None = None) -> None:
@@ -113,9 +127,10 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     """(name, text, bytes, size): text where the content is UTF-8, else bytes."""
     files = spark.read.format("binaryFile").load(path)
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.select(
+    out = files.select(
         F.regexp_extract("path", "[^/]+$", 0).alias("name"), text.alias("text"), F.when(text.isNull(), F.col("content")).alias("bytes"), F.col("length").alias("size")
     )
+    return _few_tasks(files, out)
 
 
 def routed(artifacts: DataFrame, threshold: int = 32 * 1024) -> DataFrame:

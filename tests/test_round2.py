@@ -158,3 +158,26 @@ def test_results_are_written_small(spark, monkeypatch):
     assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == want.count()
     files = list(Path(made[0].removeprefix("file:")).rglob("part-*"))
     assert files and sum(f.stat().st_size for f in files) < 20 * got.count()
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    """Spark's own shares are 32 small files each; every file is read all the same."""
+    import gzip
+
+    from evoframe.sources import storage as S
+
+    rows = spark.range(4000).select(F.concat(F.lit("p"), F.col("id").cast("string"), F.lit(".json")).alias("name"), F.when(F.col("id") == 7, "{broken").otherwise(F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.lit("café").alias("code")))).cast("binary").alias("content"))
+    path = str(tmp_path / "programs")
+    S.write_files(rows, path)
+    programs, artifacts = S.read_json_dir(spark, path), S.read_artifacts(spark, path)
+    assert programs.rdd.getNumPartitions() <= 8 and artifacts.rdd.getNumPartitions() <= 8
+    assert {(r.id, r.code) for r in programs.collect()} == {(str(i), "café") for i in range(4000) if i != 7}
+    assert artifacts.select("name").distinct().count() == artifacts.where("text is not null and bytes is null").count() == 4000
+    logs = spark.range(4000).select(F.concat(F.col("id") % 9, F.lit("/"), F.col("id"), F.lit(".json")).alias("name"), F.to_json(F.struct("id")).cast("binary").alias("content"))
+    S.write_files(logs, str(tmp_path / "logs"))
+    events = S.read_event_logs(spark, str(tmp_path / "logs"), "id LONG")
+    assert events.rdd.getNumPartitions() <= 8 and events.where("id = seq AND log = id % 9").count() == 4000
+    (tmp_path / "packed").mkdir()
+    (tmp_path / "packed" / "a.json.gz").write_bytes(gzip.compress(b'{"id": "a"}'))
+    (tmp_path / "packed" / "b.json").write_bytes(b'{"id": "b"}')
+    assert {r.id for r in S.read_json_dir(spark, str(tmp_path / "packed"), compressed=True).collect()} == {"a", "b"}
