@@ -7,6 +7,7 @@ import json
 import os
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -129,36 +130,134 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.when(a == b, 0).otherwise(F.levenshtein(a, b))
 
 
-def _bit_distance(a: str | None, b: str | None) -> int | None:
-    """Levenshtein distance by bit vectors as long as the longer text, one step for each character of the shorter."""
-    if a is None or b is None:
-        return None
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """The longer and the shorter text without what both begin and end with, which doesn't change their distance."""
     if len(a) < len(b):
         a, b = b, a
     i = len(os.path.commonprefix([a, b]))
     a, b = a[i:], b[i:]
     i = len(os.path.commonprefix([a[::-1], b[::-1]]))
-    a, b = a[: len(a) - i], b[: len(b) - i]
+    return a[: len(a) - i], b[: len(b) - i]
+
+
+def _bit_distance(a: str, b: str) -> int:
+    """Levenshtein distance of trimmed texts by bit vectors as long as the longer one, one step for each character of the shorter."""
     if not b:
         return len(a)
     n, at = len(a), {}
     for i, c in enumerate(a):
         at.setdefault(c, []).append(i)
-    full, top, where = (1 << n) - 1, n - 1, {}
+    full, where = (1 << n) - 1, {}
     for c in set(b) & set(at):
         marks = bytearray(n // 8 + 1)
         for i in at[c]:
             marks[i >> 3] |= 1 << (i & 7)
         where[c] = int.from_bytes(marks, "little")
-    up, down, distance = full, 0, n
+    up, down = full, 0
     for c in b:
         x = where.get(c, 0)
-        zero = (((x & up) + up) ^ up) | x | down
-        plus, minus = down | (full & ~(zero | up)), zero & up
-        distance += ((plus >> top) & 1) - ((minus >> top) & 1)
-        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
-        up, down = minus | (full & ~(zero | plus)), zero & plus
-    return distance
+        zero = ((((x & up) + up) ^ up) | x | down) & full
+        plus = (down | ((zero | up) ^ full)) << 1 | 1
+        up, down = ((zero & up) << 1 | ((zero | plus) ^ full)) & full, zero & plus
+    return len(b) + up.bit_count() - down.bit_count()
+
+
+#: Words of bit vectors that are stepped at once, and of one set of marks; below so many words, single numbers are faster.
+WORDS, MARKS, FEW_WORDS = 8192, 1 << 20, 400
+
+
+def _wave_distances(pairs: list[tuple[str, str]]) -> list[int]:
+    """Distances of trimmed pairs side by side, the bit vectors cut into words: at step t a pair's word k is at character t - k of its shorter text.
+
+    A word takes what its neighbour carried over one step before. Words that haven't begun have no marks and stay as they are;
+    what those at their end go on to do isn't read.
+    """
+    width = [-(-len(a) // 64) for a, _ in pairs]
+    tables, base = [np.zeros(max(width), np.uint64)], max(width)
+    steps = max(len(b) + w for (_, b), w in zip(pairs, width, strict=True))
+    rows = np.zeros((steps, len(pairs)), np.int64)
+    for i, ((a, b), w) in enumerate(zip(pairs, width, strict=True)):
+        x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+        known, code = np.unique(y, return_inverse=True)
+        where = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        marks = np.zeros((len(known), w * 64), np.uint8)
+        own = np.flatnonzero(known[where] == x)
+        marks[where[own], own] = 1
+        tables.append(np.packbits(marks, axis=1, bitorder="little").view("<u8").astype(np.uint64).ravel())
+        rows[: len(y), i] = base + code * w
+        base += len(tables[-1])
+    table, k = np.concatenate(tables), np.concatenate([np.arange(w) for w in width])
+    last = np.cumsum(width) - 1
+    begin = last + 1 - np.array(width)
+    first, others = (k == 0).astype(np.uint64), np.where(k == 0, 0, 1).astype(np.uint64)
+    size, one, top = len(k), np.uint64(1), np.uint64(63)
+    up, down = np.full(size, 2**64 - 1, np.uint64), np.zeros(size, np.uint64)
+    plus, minus, x, zero, rest = (np.zeros(size, np.uint64) for _ in range(5))
+    over, under, to, old = np.zeros(size, np.uint64), np.zeros(size, np.uint64), k.copy(), k.copy()
+    ends = np.zeros((2, steps, len(pairs)), np.uint64)
+    for t in range(steps):
+        np.right_shift(plus[:-1], top, out=over[1:])
+        np.right_shift(minus[:-1], top, out=under[1:])
+        np.bitwise_or(over, first, out=over)
+        np.bitwise_and(under, others, out=under)
+        to, old = old, to
+        np.add(old[:-1], 1, out=to[1:])  # the mark of the character that the word in front was at
+        to[begin] = rows[t]
+        np.take(table, to, out=x, mode="clip")
+        np.bitwise_or(x, under, out=x)
+        np.bitwise_and(x, up, out=zero)
+        np.add(zero, up, out=zero)
+        np.bitwise_xor(zero, up, out=zero)
+        np.bitwise_or(zero, x, out=zero)
+        np.bitwise_or(zero, down, out=zero)
+        np.bitwise_or(zero, up, out=plus)
+        np.invert(plus, out=plus)
+        np.bitwise_or(plus, down, out=plus)
+        np.bitwise_and(zero, up, out=minus)
+        np.take(plus, last, out=ends[0, t], mode="clip")
+        np.take(minus, last, out=ends[1, t], mode="clip")
+        np.left_shift(plus, one, out=x)
+        np.bitwise_or(x, over, out=x)
+        np.left_shift(minus, one, out=rest)
+        np.bitwise_or(rest, under, out=rest)
+        np.bitwise_and(x, zero, out=down)
+        np.bitwise_or(zero, x, out=zero)
+        np.invert(zero, out=zero)
+        np.bitwise_or(zero, rest, out=up)
+    out = []
+    for i, ((a, b), w) in enumerate(zip(pairs, width, strict=True)):
+        end, bit = slice(w - 1, w - 1 + len(b)), np.uint64((len(a) - 1) % 64)
+        more, less = (int(((ends[j, end, i] >> bit) & one).sum()) for j in (0, 1))
+        out.append(len(a) + more - less)
+    return out
+
+
+def _distances(a: list[str | None], b: list[str | None]) -> list[int | None]:
+    """Pairs of similar length go side by side; those whose wave would run mostly idle, or with very many marks, go alone."""
+    out: list[int | None] = [None] * len(a)
+    waves = []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if x is None or y is None:
+            continue
+        x, y = _trimmed(x, y)
+        w = -(-len(x) // 64)
+        marks = w * len(set(y))
+        if 4 * w > len(y) or marks > MARKS // 4:
+            out[i] = _bit_distance(x, y)
+        else:
+            waves.append((len(y) + w, w, marks, i, x, y))
+    waves.sort(key=lambda r: r[:4])
+    j = 0
+    while j < len(waves):
+        k, words, marks = j, 0, 0
+        while k < len(waves) and (k == j or (words + waves[k][1] <= WORDS and marks + waves[k][2] <= MARKS)):
+            words, marks, k = words + waves[k][1], marks + waves[k][2], k + 1
+        own = waves[j:k]
+        found = _wave_distances([r[4:] for r in own]) if words >= FEW_WORDS else [_bit_distance(*r[4:]) for r in own]
+        for r, d in zip(own, found, strict=True):
+            out[r[3]] = d
+        j = k
+    return out
 
 
 def whole_edit_distance(a: Column, b: Column) -> Column:
@@ -166,7 +265,7 @@ def whole_edit_distance(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("long")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_bit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+        return pd.Series(_distances(a.tolist(), b.tolist()), dtype="Int64")
 
     return run(a, b)
 

@@ -181,3 +181,20 @@ def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
     (tmp_path / "packed" / "a.json.gz").write_bytes(gzip.compress(b'{"id": "a"}'))
     (tmp_path / "packed" / "b.json").write_bytes(b'{"id": "b"}')
     assert {r.id for r in S.read_json_dir(spark, str(tmp_path / "packed"), compressed=True).collect()} == {"a", "b"}
+
+
+def test_edit_distances_side_by_side(monkeypatch):
+    """Pairs of all lengths at once, next to pairs that go alone; far fewer steps than characters."""
+    import random
+
+    from evoframe.functions import text as T
+    from tests.test_whole_job import brute_distance
+
+    rng, seen, wave = random.Random(8), [], T._wave_distances
+    monkeypatch.setattr(T, "FEW_WORDS", 1)
+    monkeypatch.setattr(T, "_wave_distances", lambda pairs: seen.append(len(pairs)) or wave(pairs))
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    a = [word("abcé\U0001f600", rng.randint(0, 300)) for _ in range(60)] + [None, "x", "", "a" * 200, "b" * 64, "c" * 128]
+    b = [word("abcd", rng.randint(0, 300)) for _ in range(60)] + ["x", None, "", "b" * 190, "a" * 64, "c" * 127 + "d"]
+    assert T._distances(a, b) == [None if x is None or y is None else brute_distance(x, y) for x, y in zip(a, b, strict=True)]
+    assert sum(seen) > 40 and max(seen) > 20
