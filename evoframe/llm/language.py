@@ -8,7 +8,7 @@ the run-in.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ BATCH, UPDATES = 256, 400
 UNKNOWN = "und"
 #: Up to so many chosen documents their ids are broadcast; beyond (thousands of languages), they are joined in a shuffle.
 BROADCAST_ROWS = 500_000
-#: Bytes of text prepared at once, and positions of a batch.
-BLOCK, POSITIONS = 1 << 21, 1 << 19
+#: Bytes of text prepared at once, and positions of a batch (fewer where more than four numbers of each are kept).
+BLOCK, POSITIONS = 1 << 21, 1 << 21
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -139,28 +139,66 @@ class BiGru:
         steps, n, h = int(size[0]), len(size), self.h
         active = np.searchsorted(-size, -np.arange(steps), side="left").tolist()  # sequences longer than t
         x = data[np.minimum(start[None, :] + np.arange(steps)[:, None], len(data) - 1)]
-        forward, sums = np.zeros((steps, n, h), np.float32), np.zeros((n, len(self.p["bias"])), np.float32)
-        state = np.zeros((n, h), np.float32)
+        labels = len(self.p["bias"])
+        few = labels < h  # then what the output takes from the forward states is kept instead of them
+        forward, sums = np.empty((steps, labels, n) if few else (steps, n, h), np.float32), np.zeros((labels, n), np.float32)
+        wf, wb, bias = self.p["out"][:h].T.copy(), self.p["out"][h:].T.copy(), self.p["bias"][:, None]
+        state, step = np.zeros((n, h), np.float32), self._stepper("f", n)
         for t in range(steps):
             k = active[t]
-            own = state[:k]
-            z, _, c = self._step("f", self.p["fx"].take(x[t, :k], 0), own)
-            own += z * (c - own)
-            forward[t, :k] = own
+            step(x[t, :k], state[:k])
+            if few:
+                np.matmul(wf, state[:k].T, out=forward[t, :, :k])
+            else:
+                forward[t, :k] = state[:k]
         state[:] = 0
-        wf, wb, bias = self.p["out"][:h], self.p["out"][h:], self.p["bias"]
+        step = self._stepper("b", n)
         for t in range(steps - 1, -1, -1):
             k = active[t]
-            own = state[:k]
-            z, _, c = self._step("b", self.p["bx"].take(x[t, :k], 0), own)
-            own += z * (c - own)
-            e = np.exp(np.minimum(forward[t, :k] @ wf + own @ wb + bias, 60))
-            e *= (((t >= low[:k]) & (t < high[:k])) / e.sum(1))[:, None]
-            sums[:k] += e
-        out = np.empty_like(sums)
-        out[order] = sums
+            step(x[t, :k], state[:k])
+            e = wb @ state[:k].T
+            e += forward[t, :, :k] if few else wf @ forward[t, :k].T
+            e += bias
+            np.minimum(e, 60, out=e)
+            np.exp(e, out=e)
+            e *= ((t >= low[:k]) & (t < high[:k])) / e.sum(0)
+            sums[:, :k] += e
+        out = np.empty((n, len(sums)), np.float32)
+        out[order] = sums.T
         return out
 
+    def _stepper(self, d: str, n: int) -> Callable[[np.ndarray, np.ndarray], None]:
+        """_step and the update of up to n states in place, without padding: each gate in an array of its own, whose rows lie together.
+
+        A gate is half of 1 + tanh; the halves are in the weights, which powers of two leave exact.
+        """
+        h, half = self.h, np.float32(0.5)
+        tables = [np.ascontiguousarray(w) for w in np.split(self.p[f"{d}x"], 3, 1)]
+        tables[0], tables[1] = tables[0] * half, tables[1] * half
+        wz, wr, wc = self.p[f"{d}g"][:, :h] * half, self.p[f"{d}g"][:, h:] * half, self.p[f"{d}c"] * half
+        into, kept = np.empty((n, h), np.float32), [np.empty((n, h), np.float32) for _ in range(3)]
+
+        def step(x: np.ndarray, state: np.ndarray) -> None:
+            k = len(x)
+            i, (z, r, c) = into[:k], (w[:k] for w in kept)
+            for gate, w, table in ((z, wz, tables[0]), (r, wr, tables[1])):
+                np.matmul(state, w, out=gate)
+                np.take(table, x, 0, out=i, mode="clip")
+                gate += i
+                np.tanh(gate, out=gate)
+                gate += 1
+            r *= state
+            np.matmul(r, wc, out=c)
+            np.take(tables[2], x, 0, out=i, mode="clip")
+            c += i
+            np.tanh(c, out=c)
+            c -= state
+            c *= half
+            c *= z
+            state += c
+
+        return step
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Mean probabilities over all positions of each text; zeros for an empty one."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -176,7 +214,7 @@ class BiGru:
         by = np.argsort(stop - start, kind="stable")[::-1]
         a = 0
         while a < len(by):
-            own = by[a : a + max(1, POSITIONS // int((stop - start)[by[a]]))]
+            own = by[a : a + max(1, 4 * POSITIONS // max(4, min(self.h, len(self.p["bias"]))) // int((stop - start)[by[a]]))]
             np.add.at(out, owner[own], self.pooled(data, start[own], stop[own], low[own], high[own]))
             a += len(own)
         return out / np.maximum(sizes, 1)[:, None]

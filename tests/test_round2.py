@@ -198,3 +198,19 @@ def test_edit_distances_side_by_side(monkeypatch):
     b = [word("abcd", rng.randint(0, 300)) for _ in range(60)] + ["x", None, "", "b" * 190, "a" * 64, "c" * 127 + "d"]
     assert T._distances(a, b) == [None if x is None or y is None else brute_distance(x, y) for x, y in zip(a, b, strict=True)]
     assert sum(seen) > 40 and max(seen) > 20
+
+
+@pytest.mark.parametrize("labels", [3, 20])
+def test_language_scores_by_steps_in_place(labels):
+    """Against the steps that the network is trained by, for fewer and for more labels than hidden units."""
+    import numpy as np
+    from evoframe.llm import language as L
+
+    model, rng = L.BiGru(labels), np.random.default_rng(4)
+    texts = [bytes(rng.integers(0, 256, n, np.uint8)) for n in (1, 2, 40, 900, 0, 1024)]
+    x, mask = L.padded(texts)
+    both = np.concatenate([model._run(d, x, mask)[0] for d in "fb"], 2)
+    p = L._softmax(both @ model.p["out"] + model.p["bias"]) * mask[:, :, None]
+    want = p.sum(0) / np.maximum(mask.sum(0), 1)[:, None]
+    assert np.abs(model.score(texts) - want).max() < 1e-5
+    assert callable(model._stepper("f", 5))
