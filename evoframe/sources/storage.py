@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,14 +124,75 @@ def latest_by_time(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return files.agg(F.max_by(F.regexp_replace("path", r"/[^/]+$", ""), F.struct("modificationTime", "path")).alias("path"))
 
 
-def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text, bytes, size): text where the content is UTF-8, else bytes."""
-    files = spark.read.format("binaryFile").load(path)
+#: Files of a folder of artifacts, names that are dealt out together, and bytes of artifacts in a batch.
+FOLDER_FILES, NAMES, BATCH_BYTES = 10_000, 200, 4 * 2**20
+
+
+def write_artifacts(rows: DataFrame, path: str) -> list[str]:
+    """name, content (binary): a file for each row with both, as it is, in folders under the path; gives the folders. A task writes folders of its own, of so many files
+    at most, and a repeated name goes into the next one. Folders of tasks that were run again aren't among those given."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+        from pyspark import TaskContext
+
+        fs, root = FileSystem.from_uri(path)
+        own, made, names = TaskContext.get().taskAttemptId(), 0, set()
+        for batch in batches:
+            for name, content in zip(batch.column("name"), batch.column("content"), strict=True):
+                name = name.as_py()
+                if not made or len(names) == FOLDER_FILES or name in names:
+                    fs.create_dir(f"{root}/{own}/{made}", recursive=True)
+                    yield pa.RecordBatch.from_pydict({"folder": [f"{path}/{own}/{made}"]})
+                    made, names = made + 1, set()
+                names.add(name)
+                with fs.open_output_stream(f"{root}/{own}/{made - 1}/{name}", compression=None) as out:
+                    out.write(content.as_buffer())
+
+    there = rows.select("name", "content").where("name is not null and content is not null")
+    return sorted(r.folder for r in there.mapInArrow(write, "folder string").collect())
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The names of folders' files, some to a row."""
+    from pyarrow.fs import FileSelector, FileSystem, FileType
+
+    for batch in batches:
+        for folder in batch.column("folder").to_pylist():
+            fs, root = FileSystem.from_uri(folder)
+            names = [f.base_name for f in fs.get_file_info(FileSelector(root)) if f.type == FileType.File]
+            for at in range(0, len(names), NAMES):
+                yield pa.RecordBatch.from_pydict({"folder": [folder], "names": pa.array([names[at : at + NAMES]], pa.list_(pa.string()))})
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow.fs import FileSystem
+
+    names, contents, size = [], [], 0
+    packed = lambda: pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "content": pa.array(contents, pa.binary())})
+    for batch in batches:
+        for row in batch.to_pylist():
+            fs, root = FileSystem.from_uri(row["folder"])
+            for name in row["names"]:
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
+                    content = f.read()
+                if names and size + len(content) > BATCH_BYTES:
+                    yield packed()
+                    names, contents, size = [], [], 0
+                names.append(name)
+                contents.append(content)
+                size += len(content)
+    if names:
+        yield packed()
+
+
+def read_artifacts(spark: SparkSession, *folders: str) -> DataFrame:
+    """(name, text, bytes, size) of each file: text where the content is UTF-8, else bytes. Tasks list the folders, each of which is one task's, and read the files."""
+    n = max(spark.sparkContext.defaultParallelism, len(folders))
+    listed = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(n).mapInArrow(_listed, "folder string, names array<string>")
+    files = listed.repartition(n).mapInArrow(_contents, "name string, content binary")
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    out = files.select(
-        F.regexp_extract("path", "[^/]+$", 0).alias("name"), text.alias("text"), F.when(text.isNull(), F.col("content")).alias("bytes"), F.col("length").alias("size")
-    )
-    return _few_tasks(files, out)
+    return files.select("name", text.alias("text"), F.when(text.isNull(), F.col("content")).alias("bytes"), F.octet_length("content").cast("long").alias("size"))
 
 
 def routed(artifacts: DataFrame, threshold: int = 32 * 1024) -> DataFrame:
