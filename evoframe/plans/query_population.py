@@ -400,7 +400,7 @@ string_agg('Circle ' || idx || ' at (' || printf('%.6f', x) || ', ' || printf('%
 SELECT s.grp, 'Valid: ' || CASE WHEN boundary = 0 AND coalesce(hits.overlaps, 0) = 0 THEN 'True' ELSE 'False' END || ', Violations: ' || boundary || ' boundary, ' || coalesce(hits.overlaps, 0) || ' overlaps' AS report,
 coalesce(s.text, '') AS boundary_report, coalesce(hits.text, '') AS overlap_report, 'Min: ' || printf('%.6f', low) || ', Max: ' || printf('%.6f', high) || ', Avg: ' || printf('%.6f', mean) AS radius_stats FROM s LEFT JOIN hits USING (grp)""")
 def packing_report(spark, sf):
-    return G.packing_reports(views.circles(spark, sf), cell=0.05).select("grp", "report", "boundary_report", "overlap_report", "radius_stats")
+    return G.packing_reports(views.circles(spark, sf), cell=0.05, columns=["grp", "report", "boundary_report", "overlap_report", "radius_stats"])
 
 
 @query("SELECT idx, round(least(x, y, 1 - x, 1 - y), 9) AS radius FROM circles")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
@@ -52,6 +54,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def whole_executor(spark: SparkSession) -> ResourceProfile | None:
+    """A profile whose tasks take all cores of an executor; None where these aren't known, or tasks can't have profiles."""
+    conf = spark.sparkContext.getConf()
+    few = re.fullmatch(r"local-cluster\[\s*\d+\s*,\s*(\d+)\s*,.*", spark.sparkContext.master)
+    cores = int(few[1]) if few else int(conf.get("spark.executor.cores", "0"))
+    if cores < 2 or not few and spark.sparkContext.master.startswith("local"):
+        return None
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cores)).build
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows as they are now, written once: what two plans would compute in two ways is the same for both."""
     shared_dir(df.sparkSession)
